@@ -2,40 +2,33 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waygrid.plans.scratch import shared_dir, written
+
+__all__ = ["fold", "keep_ids", "shared_dir", "table", "written"]
+
+#: Rows of one or two numbers that may be broadcast: some 30 MB of hash table at most.
+BROADCAST_ROWS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: ``spark.checkpoint.dir``, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return base.rstrip("/")
+def fold(key, n: int):
+    """``crc32(key as text) mod n``: the fixed split of rows into learning and held-out ones."""
+    return F.crc32(key.cast("string").cast("binary")) % F.lit(n)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def keep_ids(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose key is (``left_semi``) or isn't (``left_anti``) in ``ids``, a written table of keys.
 
-    This cuts the lineage: what follows reads files that outlive any executor, so a lost executor costs its
-    own unfinished tasks only and nothing above is computed twice.
+    A counted, small enough list of keys goes to the rows, so that texts stay where they are; a longer one meets
+    them in a shuffle.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/waygrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (file sizes for scans); an upper-bound check for broadcasts."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
-def fold(key: str, n: int):
-    """``crc32(key as text) mod n``: the fixed split of rows into learning and held-out ones."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(n)
+    ids = ids.select(ids[key].alias("_id"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
+    return docs.join(ids, docs[key] == ids["_id"], how)

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokens
+from . import bpe, html, minhash, tokens
 from .common import shared_dir, table
 
 
@@ -17,9 +17,48 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), cache)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_byte_bpe)}
-ORACLE: dict[str, str] = {}
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_html_text, op4_byte_bpe, op5_minhash)}
+
+#: Links and components in SQL; the driver's tables have no white space but blanks, tabs and line ends.
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM words
+), classes AS (
+  SELECT min(doc_id) AS node, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)
+), items AS (
+  SELECT node, n, unnest(s) AS item FROM classes
+), pairs AS (
+  SELECT a.node AS a, b.node AS b FROM items a JOIN items b ON a.item = b.item AND a.node < b.node
+    AND 80 * greatest(a.n, b.n) <= 100 * least(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), links AS (
+  SELECT a, b FROM pairs UNION SELECT b, a FROM pairs
+), reach AS (
+  SELECT node AS root, node FROM classes
+  UNION
+  SELECT r.root, l.b FROM reach r JOIN links l ON r.node = l.a
+), components AS (
+  SELECT node, min(root) AS component FROM reach GROUP BY node
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(m.component, d.doc_id) AS component_id, coalesce(m.component, d.doc_id) = d.doc_id AS kept
+FROM sets d LEFT JOIN classes c ON c.s = list_sort(d.s) AND len(d.s) > 0 LEFT JOIN components m ON m.node = c.node
+"""
+
+ORACLE: dict[str, str] = {"op5_minhash": OP5_SQL}
