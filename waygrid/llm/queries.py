@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, minhash, tokens
+from . import bpe, html, langid, minhash, quality, tokens, toxicity
 from .common import shared_dir, table
 
 
@@ -21,6 +21,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held_out=2)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -29,7 +33,18 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_html_text, op4_byte_bpe, op5_minhash)}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(spark, table(spark, sf_dir, "documents"), folds=3, held_out=1)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_out=0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_html_text, op3_toxicity, op4_byte_bpe, op5_minhash, op8_language, op10_quality)
+}
 
 #: Links and components in SQL; the driver's tables have no white space but blanks, tabs and line ends.
 OP5_SQL = r"""
