@@ -6,8 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, html, langid, minhash, quality, tokens, toxicity
+from . import ann, bpe, decontaminate, html, langid, licenses, minhash, quality, tokens, toxicity
 from .common import shared_dir, table
 
 
@@ -33,17 +34,38 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+#: The documents as files: a source is a tree of folders of fifty, the first of each folder is its licence file.
+PATH = "concat(source, '/', doc_id div 50, CASE WHEN doc_id % 50 = 0 THEN '/LICENSE' ELSE concat('/', doc_id, '.txt') END)"
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", F.expr(PATH).alias("path"), "text")
+    return licenses.scan(spark, files)
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(spark, table(spark, sf_dir, "documents"), folds=3, held_out=1)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and item: ``doc_id, item_id, distance``."""
+    found = decontaminate.find_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    pairs = found.select("doc_id", F.explode(F.arrays_zip("item_ids", "distances")).alias("hit"))
+    return pairs.select("doc_id", F.col("hit.item_ids").alias("item_id"), F.col("hit.distances").alias("distance"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_out=0)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_html_text, op3_toxicity, op4_byte_bpe, op5_minhash, op8_language, op10_quality)
+    for f in (op1_token_counts, op2_html_text, op3_toxicity, op4_byte_bpe, op5_minhash, op6_licenses, op7_neighbours, op8_language, op9_decontaminate, op10_quality)
 }
 
 #: Links and components in SQL; the driver's tables have no white space but blanks, tabs and line ends.
