@@ -9,8 +9,8 @@ class is its connected component.  The work goes in five moves:
     all bands.  So a bucket of m members gives m - 1 candidate pairs, not m squared.
 3.  The XOR population count of two odd sketches estimates high similarities closely; pairs clearly below the
     threshold go.  The others are confirmed on their full sets, and confirmed links are closed to components.
-4.  Buckets whose members still lie in several components are compared across components, in blocks of bounded
-    size and on sketches alone; what passes is confirmed on full sets too.
+4.  Buckets whose members still lie in several components are compared across components in blocks of bounded
+    size, on sketches and then on full sets; a block gives only links that join components.
 5.  Components are closed again over all links.
 
 At the threshold 0.8 a pair shares no band with probability (1 - 0.8^6)^40, about 5 in a million, and a true
@@ -157,6 +157,17 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(differing <= most).select("a", "b")
 
 
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    total = len(x) + len(y)
+    if percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # merges two sorted runs
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (total - common)
+
+
 def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold: 100 * intersection >= percent * union."""
     ids = written(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "candidates")
@@ -169,55 +180,95 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), _U) for v in (a, b))
-                total = len(x) + len(y)
-                common = total - len(np.union1d(x, y)) if percent * max(len(x), len(y)) <= 100 * min(len(x), len(y)) else 0
-                keep.append(100 * common >= percent * (total - common))
+                keep.append(reaches(*(np.frombuffer(v.as_buffer(), _U) for v in (a, b)), percent))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     kind = docs.schema["key"].dataType.simpleString()
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _crossing(blocks: DataFrame, most: int) -> DataFrame:
-    """Plausible pairs across components within blocks ``block, side, key, component, sketch``."""
-    kind = blocks.schema["key"].dataType.simpleString()
-
-    def compared(rows: list[tuple]) -> list[tuple]:
-        """Sides 0 and 1 against each other; a block of side 2 alone against itself."""
-        sides = [[r for r in rows if r[1] == s] for s in (0, 1, 2)]
-        labels = {c: i for i, c in enumerate({r[3] for r in rows})}
-        found = []
-        for first, second in ((sides[0], sides[1]), (sides[2], sides[2])):
-            if not first or not second:
-                continue
-            x, y = (np.array([r[4] for r in side], np.int64) for side in (first, second))
-            cx, cy = (np.array([labels[r[3]] for r in side]) for side in (first, second))
+def _plausible_in_block(rows: list[tuple], most: int) -> list[tuple[int, int, int]]:
+    """Positions of pairs across components with sketches in reach, and their differing bits; closest first.
+
+    Rows are ``block, side, key, component, sketch, ...``: sides 0 and 1 meet each other, side 2 meets itself.
+    """
+    labels = {c: i for i, c in enumerate({r[3] for r in rows})}
+    component = np.array([labels[r[3]] for r in rows])
+    sketch = np.array([r[4] for r in rows], np.int64)
+    sides = [np.array([i for i, r in enumerate(rows) if r[1] == s], int) for s in (0, 1, 2)]
+    found = []
+    for x, y in ((sides[0], sides[1]), (sides[2], sides[2])):
+        if len(x) and len(y):
             differing = np.zeros((len(x), len(y)), np.int32)
-            for w in range(x.shape[1]):
-                differing += np.bitwise_count(x[:, w, None] ^ y[None, :, w]).astype(np.int32)
-            at = np.nonzero((differing <= most) & (cx[:, None] != cy[None, :]))
-            found += [(min(a, b), max(a, b)) for a, b in ((first[i][2], second[j][2]) for i, j in zip(*at)) if a != b]
-        return found
+            for w in range(sketch.shape[1]):
+                differing += np.bitwise_count(sketch[x, w, None] ^ sketch[None, y, w]).astype(np.int32)
+            at = np.nonzero((differing <= most) & (component[x][:, None] != component[y][None, :]))
+            found += zip(differing[at].tolist(), x[at[0]].tolist(), y[at[1]].tolist())
+    return [(i, j, n) for n, i, j in sorted(found)]
+
+
+def _by_block(blocks: DataFrame, columns: list[str], out: list[str], work) -> DataFrame:
+    """Run ``work`` on the rows of each block; a task holds one block and one Arrow batch at a time.
+
+    ``work`` gives tuples of ``out``: each name is that of an input column, or ``a`` or ``b``, which are keys.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    schema = ", ".join(f"{c} {kinds['key' if c in 'ab' else c]}" for c in out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(found: list[tuple], like: pa.Schema) -> pa.RecordBatch:
+            types = [like.field("key" if c in "ab" else c).type for c in out]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=out)
+
         held: list[tuple] = []
         for batch in batches:
             found: list[tuple] = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][0] != row[0]:
-                    found += compared(held)
+                    found += work(held)
                     held = []
                 held.append(row)
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in set(found)], schema=out_schema(batch))
+            yield batch_of(found, batch.schema)
         if held:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in set(compared(held))], schema=out_schema(batch))
+            yield batch_of(work(held), batch.schema)
+
+    return blocks.select(*columns).repartition("block").sortWithinPartitions("block", "key").mapInArrow(run, schema)
+
+
+def _crossing_links(docs: DataFrame, blocks: DataFrame, most: int, size: int, percent: int) -> DataFrame:
+    """Links across components within blocks ``block, side, key, component, sketch``, confirmed on full sets.
+
+    Rows without a plausible partner in their block go first.  The others are met by their sets; in a block the
+    closest pairs are tried first, and a pair whose components are joined by then is not needed: so a block
+    gives fewer links than it has rows, though every pair that could join two components is tried.
+    """
+
+    def with_partner(rows: list[tuple]) -> list[tuple]:
+        found = _plausible_in_block(rows, most)
+        return [rows[i] for i in sorted({x for i, j, _ in found for x in (i, j)})]
+
+    def joining(rows: list[tuple]) -> list[tuple]:
+        sets = [np.frombuffer(r[5], _U) for r in rows]
+        root = {r[3]: r[3] for r in rows}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
 
-    def out_schema(batch: pa.RecordBatch) -> pa.Schema:
-        return pa.schema([("a", batch.schema.field("key").type), ("b", batch.schema.field("key").type)])
+        links = []
+        for i, j, _ in _plausible_in_block(rows, most):
+            x, y = top(rows[i][3]), top(rows[j][3])
+            if x != y and reaches(sets[i], sets[j], percent):
+                root[x] = y
+                links.append((min(rows[i][2], rows[j][2]), max(rows[i][2], rows[j][2])))
+        return links
 
-    dealt = blocks.select("block", "side", "key", "component", "sketch").repartition("block").sortWithinPartitions("block", "key")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    columns = ["block", "side", "key", "component", "sketch"]
+    rows = written(_by_block(blocks, columns, columns, with_partner), "leftover")
+    sets = written(_sets(keep_ids(docs, written(rows.select("key").distinct(), "candidates"), "key"), size), "sets")
+    return _by_block(rows.join(sets, "key"), [*columns, "shingles"], ["a", "b"], joining)
 
 
 def _leftover_blocks(members: DataFrame, centers: DataFrame, components: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -281,8 +332,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     links = written(_confirmed(named, written(_plausible(written(star, "star"), sketches, most), "plausible"), size, percent), "links")
     # What the centres did not join.
     blocks = _leftover_blocks(members.select("band", "key"), centers, connected_components(links), sketches)
-    more = _confirmed(named, written(_crossing(blocks, most), "crossing"), size, percent)
-    components = connected_components(links.union(written(more, "links")))
+    more = written(_crossing_links(named, blocks, most, size, percent), "links")
+    components = connected_components(links.union(more))
     found = components.select("node", F.col("component").alias("found"))
     joined = written(classes.join(found, "node", "left").select("digest", F.coalesce("found", "node").alias("component_id")), "joined")
     out = signed.filter(~alone).select("key", "n_shingles", "digest").join(joined, "digest").select("key", "n_shingles", "component_id")
