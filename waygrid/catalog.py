@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waygrid import queries as registry
+
+SUBJECTS = ("geo", "spatial", "aggregates", "ordered", "raster", "graph", "text", "streams")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _loaded():
+    for subject in SUBJECTS:
+        importlib.import_module(f"waygrid.queries.{subject}")
+    return registry
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Where each site lies, its nearest edge, and how its trip crosses the zones."""
+    return _loaded().QUERIES["trip_overview"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_loaded().QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_loaded().ORACLE)

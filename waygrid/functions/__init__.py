@@ -1 +1 @@
-
+"""Column expressions: geometry, text, time and encoding."""

@@ -1 +1 @@
-
+"""Stateful detectors over Structured Streaming, with batch twins."""
