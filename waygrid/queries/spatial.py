@@ -68,21 +68,21 @@ def nearest_by_sector(spark, sf):
 
 
 SEGMENT_D = """SELECT p.pid, s.wid, CASE WHEN l = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((p.x - s.x1) * (s.x2 - s.x1) + (p.y - s.y1) * (s.y2 - s.y1)) / l)) END AS t, s.x1, s.y1, s.x2, s.y2, p.x, p.y
-  FROM $people p CROSS JOIN (SELECT *, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS l FROM $walls) s WHERE p.pid % 3 = 0"""
+  FROM $people p CROSS JOIN (SELECT *, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS l FROM $walls) s"""
 
 
 @query(f"""SELECT pid, wid, round(d, 6) AS d, round(t, 6) AS t FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, wid) AS n, min(d) OVER (PARTITION BY pid) AS best FROM (
   SELECT pid, wid, t, sqrt((x - (x1 + t * (x2 - x1))) * (x - (x1 + t * (x2 - x1))) + (y - (y1 + t * (y2 - y1))) * (y - (y1 + t * (y2 - y1)))) AS d FROM ({SEGMENT_D}) q) p WHERE d <= 500) o
 WHERE n <= 8 AND d <= best + 400""")
 def nearest_edges(spark, sf):
-    people = fixture(spark, sf, "people").filter("pid % 3 = 0")
+    people = fixture(spark, sf, "people")
     found = spatial.nearest_segments(people, fixture(spark, sf, "walls"), "pid", "wid", 500)
     return found.select("pid", "wid", F.round("d", 6).alias("d"), F.round("t", 6).alias("t"))
 
 
 @query(f"""SELECT DISTINCT pid FROM (SELECT pid, sqrt((x - (x1 + t * (x2 - x1))) * (x - (x1 + t * (x2 - x1))) + (y - (y1 + t * (y2 - y1))) * (y - (y1 + t * (y2 - y1)))) AS d FROM ({SEGMENT_D}) q) p WHERE d <= 25""")
 def on_road(spark, sf):
-    people = fixture(spark, sf, "people").filter("pid % 3 = 0")
+    people = fixture(spark, sf, "people")
     return spatial.nearest_segments(people, fixture(spark, sf, "walls"), "pid", "wid", 25, k=1).select("pid")
 
 
