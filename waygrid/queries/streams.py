@@ -1 +1,77 @@
-"""Not written yet."""
+"""Streams replayed to their end, and stored samples run through the same detectors."""
+
+from pyspark.sql import functions as F
+
+from waygrid.queries import query
+from waygrid.streaming import detectors, replay
+
+SECONDS = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+
+
+def _events(df):
+    return df.withColumns({"time": SECONDS})
+
+
+@query("SELECT user_id, count(*) AS samples, round(avg(value), 6) AS seconds FROM @events GROUP BY user_id")
+def running_means(spark, sf):
+    """Learned times as running means, kept in streaming state."""
+    stream = replay.table_stream(spark, sf, "events")
+    means = stream.groupBy("user_id").agg(F.count("*").alias("samples"), F.avg("value").alias("seconds"))
+    return replay.run_to_end(means, "complete").withColumn("seconds", F.round("seconds", 6))
+
+
+@query("SELECT CAST(epoch_us(ts) // 21600000000 AS BIGINT) AS span, event_type, count(*) AS n, round(max(value), 2) AS worst FROM @events GROUP BY 1, 2")
+def perf_windows(spark, sf):
+    """Counters in tumbling windows of six hours by event time, with a watermark for what comes late."""
+    stream = replay.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    spans = stream.groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("worst"))
+    got = replay.run_to_end(spans, "complete")
+    return got.select(F.floor(F.unix_seconds("window.start") / 21600).alias("span"), "event_type", "n", F.round("worst", 2).alias("worst"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM @events")
+def imported_once(spark, sf):
+    """A polled folder imported with each key once, however often its files come again."""
+    stream = replay.table_stream(spark, sf, "events").select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
+    return replay.run_to_end(stream)
+
+
+RIDES = """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS time, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM @events),
+run AS (SELECT user_id, n, CASE WHEN kind = 'signup' THEN 'boarded' ELSE '' END AS phase, CASE WHEN kind = 'signup' THEN time ELSE 0 END AS since, CAST(NULL AS DOUBLE) AS departed, time FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.n,
+ CASE WHEN e.kind = 'signup' THEN 'boarded' WHEN r.phase <> '' AND e.time - r.since > 864000 THEN '' WHEN e.kind = 'purchase' AND r.phase = 'boarded' THEN 'away' WHEN e.kind = 'view' AND r.phase = 'away' THEN '' ELSE r.phase END AS phase,
+ CASE WHEN e.kind = 'signup' THEN e.time WHEN r.phase <> '' AND e.time - r.since > 864000 THEN 0 WHEN e.kind = 'purchase' AND r.phase = 'boarded' THEN e.time WHEN e.kind = 'view' AND r.phase = 'away' THEN 0 ELSE r.since END AS since,
+ CASE WHEN e.kind = 'view' AND r.phase = 'away' AND e.time - r.since <= 864000 THEN r.since END AS departed, e.time FROM run r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, round(departed, 3) AS departed, round(time, 3) AS arrived, round(time - departed, 3) AS seconds FROM run WHERE departed IS NOT NULL"""
+
+
+def _rides(df):
+    return df.select("user_id", F.round("departed", 3).alias("departed"), F.round("arrived", 3).alias("arrived"), F.round("seconds", 3).alias("seconds"))
+
+
+@query(RIDES)
+def rides(spark, sf):
+    """Rides from boarding to arrival over stored sightings."""
+    events = _events(spark.read.parquet(f"{sf}/events.parquet"))
+    step = detectors.rides("signup", "purchase", "view", 864000)
+    return _rides(detectors.over_table(events, "user_id", ["time", "event_type"], step, ("", 0.0), "user_id bigint, departed double, arrived double, seconds double", ["time", "event_id"]))
+
+
+@query(RIDES)
+def rides_stream(spark, sf):
+    """The same rides from a stream, with keyed state."""
+    stream = _events(replay.table_stream(spark, sf, "events"))
+    step = detectors.rides("signup", "purchase", "view", 864000)
+    out = "user_id bigint, departed double, arrived double, seconds double"
+    return _rides(replay.run_to_end(detectors.over_stream(stream, "user_id", ["time", "event_type"], step, ("", 0.0), "phase string, since double", out, ["time", "event_id"])))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS time, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM @events),
+run AS (SELECT user_id, n, time, value, true AS passed FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, CASE WHEN e.time - r.time >= 36000 AND abs(e.value - r.value) >= 8 THEN e.time ELSE r.time END AS time,
+ CASE WHEN e.time - r.time >= 36000 AND abs(e.value - r.value) >= 8 THEN e.value ELSE r.value END AS value, e.time - r.time >= 36000 AND abs(e.value - r.value) >= 8 AS passed FROM run r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, round(time, 3) AS time, value FROM run WHERE passed""")
+def reroutes(spark, sf):
+    """A new route only after enough time and enough change."""
+    events = _events(spark.read.parquet(f"{sf}/events.parquet"))
+    got = detectors.over_table(events, "user_id", ["time", "value"], detectors.debounce(36000, 8), (None, None), "user_id bigint, time double, value double", ["time", "event_id"])
+    return got.select("user_id", F.round("time", 3).alias("time"), "value")

@@ -46,8 +46,8 @@ def _aliased(sql: str) -> str:
         tail = "" if alias else found[0][len("$" + found[1]) :]
         return f"({TABLES[found[1]]}) AS {alias or found[1]}{tail}"
 
-    while "$" in sql:
-        sql = re.sub(r"\$(\w+)(?:[ \n]+(?:AS[ \n]+)?([A-Za-z]\w*))?", put, sql)
+    while re.search(r"\$[a-z]", sql):
+        sql = re.sub(r"\$([a-z]\w*)(?:[ \n]+(?:AS[ \n]+)?([A-Za-z]\w*))?", put, sql)
     return sql
 
 
