@@ -26,8 +26,9 @@ def test_swaps_free_neutral_mentions():
     pairs = [p for t in texts for p in toxicity.swapped(t)]
     plain = toxicity.Scorer(toxicity.fit(slots, labels, []))
     fair = toxicity.Scorer(toxicity.fit(slots, labels, pairs))
-    neutral = "a walk with women in the park"
-    assert plain.score(neutral) > 0.5 > fair.score(neutral)
+    # Without the penalty the group's name alone decides; with it, all groups of a kind score alike.
+    assert plain.score("women") > 0.5 > fair.score("women")
+    assert abs(fair.score("women") - fair.score("men")) < 0.1 < plain.score("women") - plain.score("men")
     assert fair.score("what an idiot and moron") > 0.5
 
 
