@@ -16,7 +16,9 @@ repeated rows get equal answers; an empty table gives an empty one; extra column
 
 from __future__ import annotations
 
+import gc
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +31,7 @@ from .common import fold, written
 
 WORDS, GRAMS, LANGUAGES, LONGEST = 60_000, 60_000, 64, 4
 #: Distinct entries that a task counts before it passes them on; rows of a worker's score table.
-FLUSH, MEMO = 400_000, 400_000
+FLUSH, MEMO = 400_000, 800_000
 #: Smoothing count.
 ALPHA = 0.5
 
@@ -83,36 +85,34 @@ def _most_frequent(counts: DataFrame, most: int) -> dict[str, dict[str, int]]:
 
 
 class Model:
-    """Log frequencies by language of words and n-grams."""
+    """Log frequencies by language of words and n-grams, one table row each."""
 
     def __init__(self, languages: dict[str, tuple[int, int]], words: dict[str, dict[str, int]], parts: dict[str, dict[str, int]]):
         """``languages``: for each, the total counts of words and of n-grams."""
         self.languages = sorted(languages)
-        place = {lang: i for i, lang in enumerate(self.languages)}
         totals = np.array([languages[lang] for lang in self.languages], float).reshape(len(self.languages), 2)
-        self.words, self.parts = (self._logs(items, place, totals[:, i]) for i, items in enumerate((words, parts)))
-
-    @staticmethod
-    def _logs(items, place, totals) -> dict[str, np.ndarray]:
-        floor = totals + ALPHA * len(items)
-        out = {}
-        for item, by_lang in items.items():
-            counts = np.full(len(place), ALPHA)
+        self.words = {w: i for i, w in enumerate(words)}
+        self.parts = {g: len(words) + i for i, g in enumerate(parts)}
+        self.logs = np.vstack([self._logs(items, totals[:, i]) for i, items in enumerate((words, parts))])
+
+    def _logs(self, items: dict[str, dict[str, int]], totals: np.ndarray) -> np.ndarray:
+        place = {lang: i for i, lang in enumerate(self.languages)}
+        counts = np.full((len(items), len(place)), ALPHA)
+        for i, by_lang in enumerate(items.values()):
             for lang, n in by_lang.items():
                 if lang in place:
-                    counts[place[lang]] += n
-            out[item] = np.log(counts / floor).astype(np.float32)
-        return out
+                    counts[i, place[lang]] += n
+        return np.log(counts / (totals + ALPHA * len(items))).astype(np.float32)
 
-    def word(self, word: str) -> np.ndarray:
-        """Log frequency, or the mean log frequency of the longest n-grams of which any is known."""
+    def rows_of(self, word: str) -> tuple[list[int], float]:
+        """Table rows that score a word and their weight: its own, or those of its longest known n-grams."""
         known = self.words.get(word)
-        if known is None:
-            for n in range(LONGEST, 0, -1):
-                if found := [self.parts[g] for g in grams(word, n) if g in self.parts]:
-                    return np.sum(found, axis=0) / n
-            return np.zeros(len(self.languages), np.float32)
-        return known
+        if known is not None:
+            return [known], 1.0
+        for n in range(LONGEST, 0, -1):
+            if rows := [at for g in grams(word, n) if (at := self.parts.get(g)) is not None]:
+                return rows, 1.0 / n
+        return [], 0.0
 
 
 class Guesser:
@@ -123,13 +123,24 @@ class Guesser:
         self.place: dict[str, int] = {}
         self.table = np.zeros((MEMO, len(model.languages) + 1), np.float32)  # scores, and the number of words
 
-    def add(self, run: str) -> None:
-        if len(self.place) == MEMO:  # the newer half goes; places are in order of arrival
-            self.place = {k: v for k, v in self.place.items() if v < MEMO // 2}
-        at = self.place[run] = len(self.place)
-        words = LETTERS.findall(run)
-        self.table[at, :-1] = np.sum([self.model.word(w) for w in words], axis=0) if words else 0
-        self.table[at, -1] = len(words)
+    def add(self, runs: list[str]) -> None:
+        """Score new runs, all in one pass."""
+        rows, weights, owner, words = [], [], [], []
+        for i, run in enumerate(runs):
+            found = LETTERS.findall(run)
+            words.append(len(found))
+            for word in found:
+                own, weight = self.model.rows_of(word)
+                rows += own
+                weights += [weight] * len(own)
+                owner += [i] * len(own)
+        start = len(self.place)
+        block = self.table[start : start + len(runs)]
+        scores = self.model.logs[np.array(rows, np.int64)] * np.array(weights, np.float32)[:, None]
+        for lang in range(len(self.model.languages)):
+            block[:, lang] = np.bincount(np.array(owner, np.int64), scores[:, lang], len(runs))
+        block[:, -1] = words
+        self.place.update(zip(runs, range(start, start + len(runs))))
 
     def guess(self, text: str | None) -> tuple[str, float]:
         runs = (text or "").lower().split()
@@ -138,12 +149,12 @@ class Guesser:
         sums = np.zeros(self.table.shape[1])
         for start in range(0, len(runs), MEMO // 4):
             part = runs[start : start + MEMO // 4]
-            missing = sorted(set(part).difference(self.place))
-            if len(self.place) + len(missing) > MEMO:
+            missing = set(part).difference(self.place)
+            if len(self.place) + len(missing) > MEMO:  # the newer half goes; places are in order of arrival
                 self.place = {k: v for k, v in self.place.items() if v < MEMO // 2}
-                missing = sorted(set(part).difference(self.place))
-            for run in missing:
-                self.add(run)
+                missing = set(part).difference(self.place)
+            if missing:
+                self.add(sorted(missing))
             sums += self.table[np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=float)
         words = sums[-1]
         if not words:
@@ -153,6 +164,18 @@ class Guesser:
         return self.model.languages[best], float(1 / np.exp((sums - sums[best]) / np.sqrt(words)).sum())
 
 
+_guessers: dict[str, Guesser] = {}
+
+
+def _guesser(name: str, model: Model) -> Guesser:
+    """The guesser of this worker, kept from task to task; one model at a time."""
+    if name not in _guessers:
+        gc.set_threshold(1_000_000)  # the memo holds no cycles and is large to walk
+        _guessers.clear()
+        _guessers[name] = Guesser(model)
+    return _guessers[name]
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = docs.select(docs[lang].alias("lang"), docs[text].alias("item")).dropna().withColumn("n", F.lit(1).cast("long"))
     words = written(_counted(rows, _words), "words")
@@ -166,10 +189,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 def identify(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, lang_pred, score`` of every row: one pass over whole texts."""
     sent = spark.sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
+    kind, name = docs.schema[key].dataType.simpleString(), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        guesser = Guesser(sent.value)
+        guesser = _guesser(name, sent.value)
         for batch in batches:
             found = [guesser.guess(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["key", "lang_pred", "score"])
