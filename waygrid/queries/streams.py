@@ -5,11 +5,9 @@ from pyspark.sql import functions as F
 from waygrid.queries import query
 from waygrid.streaming import detectors, replay
 
-SECONDS = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-
 
 def _events(df):
-    return df.withColumns({"time": SECONDS})
+    return df.withColumn("time", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
 
 
 @query("SELECT user_id, count(*) AS samples, round(avg(value), 6) AS seconds FROM @events GROUP BY user_id")
