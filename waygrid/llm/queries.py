@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html, langid, licenses, minhash, quality, tokens, toxicity
+from . import ann, bpe, decontaminate, html, langid, licenses, minhash, oracles, quality, tokens, toxicity
 from .common import shared_dir, table
 
 
@@ -98,4 +98,4 @@ SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(m.component, d
 FROM sets d LEFT JOIN classes c ON c.s = list_sort(d.s) AND len(d.s) > 0 LEFT JOIN components m ON m.node = c.node
 """
 
-ORACLE: dict[str, str] = {"op5_minhash": OP5_SQL}
+ORACLE: dict[str, str] = {"op5_minhash": OP5_SQL, "op6_licenses": oracles.licenses_sql()}
