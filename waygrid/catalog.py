@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waygrid import queries as registry
 
-SUBJECTS = ("geo", "spatial", "aggregates", "ordered", "raster", "graph", "lines", "text", "streams")
+SUBJECTS = ("geo", "spatial", "aggregates", "ordered", "raster", "graph", "lines", "text", "world", "streams")
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -21,6 +21,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,39 +44,46 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _counted(rows: DataFrame, expand) -> DataFrame:
-    """``lang, item, n`` (items with counts; ``expand`` makes items of one) summed in each task, then over all."""
+def _counted(rows: DataFrame, gather, expand) -> DataFrame:
+    """``lang, item, n`` of rows ``lang, item, n``, summed in each task, then over all.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    ``gather(counter, item, n)`` adds a row to the counter of its language; when the counters are full, or the task
+    ends, ``expand`` makes the items to be passed on of what was gathered.
+    """
 
-        def passed_on() -> pa.RecordBatch:
-            keys = list(counts)
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "item", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_lang: dict[str, Counter] = {}
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for lang, counter in by_lang.items():
+                items: Counter = Counter()
+                for item, n in counter.items():
+                    for part in expand(item):
+                        items[part] += n
+                columns = [pa.array([lang] * len(items), pa.string()), pa.array(list(items), pa.string()), pa.array(list(items.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "item", "n"])
+            by_lang.clear()
 
         for batch in batches:
             for lang, item, n in zip(*(c.to_pylist() for c in batch.columns)):
-                for part, times in expand(item):
-                    counts[lang, part] += n * times
-                if len(counts) >= FLUSH:
-                    yield passed_on()
-        yield passed_on()
+                gather(by_lang.setdefault(lang, Counter()), item, n)
+            if sum(map(len, by_lang.values())) >= FLUSH:
+                yield from passed_on()
+        yield from passed_on()
 
     return rows.mapInArrow(run, "lang string, item string, n bigint").groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
-def _words(text: str) -> Iterator[tuple[str, int]]:
-    for run, n in Counter(text.lower().split()).items():
-        for word in LETTERS.findall(run):
-            yield word, n
+def _add_runs(counter: Counter, text: str, n: int) -> None:
+    counter.update(text.lower().split())
+
+
+def _add(counter: Counter, word: str, n: int) -> None:
+    counter[word] += n
 
 
-def _grams(word: str) -> Iterator[tuple[str, int]]:
-    for n in range(1, LONGEST + 1):
-        for gram in grams(word, n):
-            yield gram, 1
+def _grams(word: str) -> list[str]:
+    return [g for n in range(1, LONGEST + 1) for g in grams(word, n)]
 
 
 def _most_frequent(counts: DataFrame, most: int) -> dict[str, dict[str, int]]:
@@ -149,13 +157,16 @@ class Guesser:
         sums = np.zeros(self.table.shape[1])
         for start in range(0, len(runs), MEMO // 4):
             part = runs[start : start + MEMO // 4]
-            missing = set(part).difference(self.place)
-            if len(self.place) + len(missing) > MEMO:  # the newer half goes; places are in order of arrival
-                self.place = {k: v for k, v in self.place.items() if v < MEMO // 2}
-                missing = set(part).difference(self.place)
-            if missing:
+            at = np.fromiter(map(self.place.get, part, repeat(-1)), np.int64, len(part))
+            new = np.nonzero(at < 0)[0].tolist()
+            if new:
+                missing = {part[i] for i in new}
+                if len(self.place) + len(missing) > MEMO:  # the newer half goes; places are in order of arrival
+                    self.place = {k: v for k, v in self.place.items() if v < MEMO // 2}
+                    missing, new = set(part).difference(self.place), range(len(part))
                 self.add(sorted(missing))
-            sums += self.table[np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=float)
+                at[list(new)] = [self.place[part[i]] for i in new]
+            sums += self.table[at].sum(axis=0, dtype=float)
         words = sums[-1]
         if not words:
             return "und", 0.0
@@ -178,8 +189,8 @@ def _guesser(name: str, model: Model) -> Guesser:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = docs.select(docs[lang].alias("lang"), docs[text].alias("item")).dropna().withColumn("n", F.lit(1).cast("long"))
-    words = written(_counted(rows, _words), "words")
-    parts = written(_counted(words, _grams), "grams")
+    words = written(_counted(rows, _add_runs, LETTERS.findall), "words")
+    parts = written(_counted(words, _add, _grams), "grams")
     totals = [df.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect() for df in (words, parts)]
     by_lang = [{r["lang"]: r["n"] for r in rows} for rows in totals]
     languages = {x: (by_lang[0][x], by_lang[1][x]) for x in by_lang[0] if x in by_lang[1]}

@@ -119,7 +119,8 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, cach
     texts = missing.join(docs, "key")
     _encoded(spark, texts, tokenizer_path).withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_dir)
     stored = spark.read.schema(CACHE).parquet(cache_dir).filter(mine).select("digest", "n_tokens")
-    # Two runs that share a cache may both have added a digest: one count is kept.
-    stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Two runs that share a cache may both have added a digest: one count is kept.  Written, so that both sides of
+    # the last join are plain scans and the adaptive join can split a hot digest.
+    stored = written(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     out = digests.join(stored, "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
