@@ -35,8 +35,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, as the near-duplicate query groups them."""
-    return _without(docs, minhash.near_duplicates(docs, size=2, percent=80).filter(~F.col("kept")), "copies")
+    """The document with the smallest id of each group of near copies: five-word shingles, a similarity of 0.8."""
+    return _without(docs, minhash.near_duplicates(docs, size=5, percent=80).filter(~F.col("kept")), "copies")
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
