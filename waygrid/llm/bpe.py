@@ -26,8 +26,10 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import worker_state
+
 #: Entries that a worker's memos may hold: bounds its memory, never the result.
-RUNS, PIECES, PAIRS, HEADS = 600_000, 400_000, 500_000, 200_000
+RUNS, PIECES, PAIRS, HEADS = 450_000, 150_000, 300_000, 100_000
 #: Above any rank.
 END = 1 << 40
 
@@ -192,16 +194,16 @@ class ByteBPE:
 #: A blank next to other white space or at the end, or separators on which engines disagree.
 ODD_SPACE = re.compile(r"\s \s|  | $|^ |[\x1c-\x1f]")
 
-_made: dict[tuple[str, str], ByteBPE] = {}
-
 
 def _encoder(name: str, pattern: str) -> ByteBPE:
     """The encoder of this worker; the ranks come from the file that Spark has sent along."""
-    if (name, pattern) not in _made:
+
+    def made() -> ByteBPE:
         gc.set_threshold(1_000_000)  # the memos hold no cycles and are large to walk
         with open(SparkFiles.get(name), "rb") as file:
-            _made[name, pattern] = ByteBPE(load_ranks(file), pattern)
-    return _made[name, pattern]
+            return ByteBPE(load_ranks(file), pattern)
+
+    return worker_state(f"bpe {name} {pattern}", made)
 
 
 def encode_documents(

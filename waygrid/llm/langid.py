@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, written
+from .common import fold, worker_state, written
 
 WORDS, GRAMS, LANGUAGES, LONGEST = 60_000, 60_000, 64, 4
 #: Distinct entries that a task counts before it passes them on; rows of a worker's score table.
@@ -175,16 +175,14 @@ class Guesser:
         return self.model.languages[best], float(1 / np.exp((sums - sums[best]) / np.sqrt(words)).sum())
 
 
-_guessers: dict[str, Guesser] = {}
-
-
 def _guesser(name: str, model: Model) -> Guesser:
-    """The guesser of this worker, kept from task to task; one model at a time."""
-    if name not in _guessers:
+    """The guesser of this worker, kept from task to task."""
+
+    def made() -> Guesser:
         gc.set_threshold(1_000_000)  # the memo holds no cycles and is large to walk
-        _guessers.clear()
-        _guessers[name] = Guesser(model)
-    return _guessers[name]
+        return Guesser(model)
+
+    return worker_state(f"language {name}", made)
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from waygrid.plans.components import connected_components
 
 from .bpe import trim
-from .common import keep_ids, written
+from .common import keep_ids, worker_state, written
 
 BANDS, ROWS, BITS = 40, 6, 1024
 SAMPLES = BANDS * ROWS
@@ -55,8 +55,6 @@ _BAND = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=_U) * _U(2) + _U(1)
 _SALT = _rng.integers(1, 1 << 63, SAMPLES, dtype=_U)
 _STEP = _U(0x9E3779B97F4A7C15)
 
-_words: dict[bytes, int] = {}
-
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values so that every bit depends on all others."""
@@ -70,10 +68,11 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode().lower().split()  # on bytes, both touch ASCII alone
     if not words:
         return np.empty(0, _U)
-    trim(_words, MEMO)
-    for word in set(words).difference(_words):
-        _words[word] = xxhash.xxh3_64_intdigest(word)
-    hashes = np.fromiter(map(_words.__getitem__, words), _U, len(words))
+    known: dict[bytes, int] = worker_state("words", dict)
+    trim(known, MEMO)
+    for word in set(words).difference(known):
+        known[word] = xxhash.xxh3_64_intdigest(word)
+    hashes = np.fromiter(map(known.__getitem__, words), _U, len(words))
     size = min(size, len(words))
     out = hashes[: len(words) - size + 1].copy()
     for i in range(1, size):

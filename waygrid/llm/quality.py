@@ -165,14 +165,18 @@ def isotonic(score: np.ndarray, positive: np.ndarray, count: np.ndarray) -> tupl
     return np.array([x[0] for x in pools]), np.array([x[1] / x[2] for x in pools])
 
 
-def _scored(rows: DataFrame, spread: FourierMap, weights: list[np.ndarray], carried: str, names: list[str]) -> DataFrame:
-    """Adds ``raw``: the score by the weights of the row's fold (the first weights where it has none)."""
+def _scored(rows: DataFrame, spread: FourierMap, weights: list[np.ndarray], carried: str, names: list[str], curve: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """Adds ``raw``: the score by the weights of the row's fold, put through the calibration curve if there is one.
+
+    One Python pass does both: a task with two would hold two workers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = spread(_stats(batch.column(0)))
             part = batch.column(1).to_numpy()
             raw = (x * np.stack(weights)[part]).sum(axis=1)
+            raw = np.interp(raw, *curve) if curve else raw
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(raw)], names=[*names, "raw"])
 
     return rows.select("stats", "fold", *names).mapInArrow(run, f"{carried}, raw double")
@@ -198,18 +202,9 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, key:
     without = [_solved(everything - s) for s in sums]
     binned = _scored(rows, spread, without, "label int", ["label"]).groupBy(F.round(F.least(F.greatest("raw", F.lit(-1.0)), F.lit(2.0)) * BINS / 3).alias("bin"))
     bins = binned.agg(F.avg("raw").alias("raw"), F.sum("label").alias("positive"), F.count("*").alias("n")).orderBy("bin").toArrow()
-    edges, chances = isotonic(*(bins[c].to_numpy().astype(float) for c in ("raw", "positive", "n")))
-    weights = [_solved(everything)]
-
-    calibrated = _scored(stats.withColumn("fold", F.lit(0)), spread, weights, f"key {kind}", ["key"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = np.interp(batch.column(1).to_numpy(), edges, chances)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["key", "score"])
-
-    out = calibrated.mapInArrow(run, f"key {kind}, score double")
-    return out.select(F.col("key").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    curve = isotonic(*(bins[c].to_numpy().astype(float) for c in ("raw", "positive", "n")))
+    out = _scored(stats.withColumn("fold", F.lit(0)), spread, [_solved(everything)], f"key {kind}", ["key"], curve)
+    return out.select(F.col("key").alias(key), F.col("raw").alias("score"), (F.col("raw") >= threshold).cast("int").alias("predicted"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import trim
-from .common import written
+from .common import worker_state, written
 
 CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokenizer", T.StringType())])
 
@@ -72,13 +72,8 @@ class Counter:
         return sum(map(runs.__getitem__, words))
 
 
-_made: dict[str, Counter] = {}
-
-
 def _counter(name: str) -> Counter:
-    if name not in _made:
-        _made[name] = Counter(SparkFiles.get(name))
-    return _made[name]
+    return worker_state(f"tokens {name}", lambda: Counter(SparkFiles.get(name)))
 
 
 def content_digest(text):

@@ -17,6 +17,7 @@ table gives an empty one; ties don't arise, as each row has its own score.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import trim
-from .common import fold, written
+from .common import fold, worker_state, written
 
 #: Labelled rows that a fit may read, hashed features, and features that a model keeps.
 SAMPLE, SPACE, KEPT = 12_000, 1 << 20, 20_000
@@ -35,7 +36,8 @@ SAMPLE, SPACE, KEPT = 12_000, 1 << 20, 20_000
 SWAP_PENALTY, RIDGE, CLEAR = 4.0, 1e-5, 3.0
 #: Weight of a positive row: missing one is worse than keeping a close call.
 POSITIVE = 2.0
-MEMO = 400_000
+#: Words that a worker remembers.
+MEMO = 300_000
 
 # Names of groups, by kind; a name is swapped for the others of its list.
 IDENTITY_GROUPS = (
@@ -58,23 +60,21 @@ SWAPS = {w: [x for x in group if x != w] for group in IDENTITY_GROUPS for w in g
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 
-_slots: dict[str, tuple[int, ...]] = {}
-
 
 def word_slots(word: str) -> tuple[int, ...]:
     """Hashed features of a word: itself and its first five and six letters, so that unseen endings count."""
-    known = _slots.get(word)
-    if known is None:
-        trim(_slots, MEMO)
-        parts = ["=" + word] + [f"<{word[:n]}" for n in (5, 6) if len(word) >= n]
-        known = _slots[word] = tuple(xxhash.xxh3_64_intdigest(p) % SPACE for p in parts)
-    return known
+    parts = ["=" + word] + [f"<{word[:n]}" for n in (5, 6) if len(word) >= n]
+    return tuple(xxhash.xxh3_64_intdigest(p) % SPACE for p in parts)
 
 
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct feature slots of a whole text."""
     words = set(WORD.findall((text or "").lower()))
-    return np.fromiter(set(chain.from_iterable(map(word_slots, words))), np.int32)
+    known: dict[str, tuple[int, ...]] = worker_state("toxicity words", dict)
+    trim(known, MEMO // 3)
+    for word in words.difference(known):
+        known[word] = word_slots(word)
+    return np.sort(np.fromiter(set(chain.from_iterable(map(known.__getitem__, words))), np.int32))
 
 
 def swapped(text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -201,10 +201,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score_documents(spark, docs: DataFrame, model, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``key, score, predicted`` of every row.  The model is at most ``KEPT`` weights."""
     kind = docs.schema[key].dataType.simpleString()
-    sent = spark.sparkContext.broadcast(model)
+    sent, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = worker_state(f"toxicity {name}", lambda: Scorer(sent.value))
         for batch in batches:
             scores = [scorer.score(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["key", "score"])
