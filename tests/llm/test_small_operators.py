@@ -128,6 +128,42 @@ def test_licenses_are_stated_or_inherited(spark):
     assert got == {1: ("MIT", None), 2: ("GPL-3.0", "a/b"), 3: ("GPL-3.0", None), 4: ("Apache-2.0", None), 5: (None, None), 6: (None, None), 7: ("MIT", "a")}
 
 
+GPL_HEADER = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version. */
+int main;"""
+MIT_PARAGRAPH = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+    "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+    "persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+
+
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_licenses_in_headers_texts_and_identifiers(spark, wrapped):
+    rest = " ".join(f"word{i}" for i in range(400))
+    said = {
+        1: ("// SPDX-License-Identifier: MIT", "MIT"),
+        2: ("# spdx-license-identifier: apache-2.0\ncode", "Apache-2.0"),
+        3: ("/* SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */", "GPL-2.0"),
+        4: (GPL_HEADER, "GPL-3.0"),
+        5: (" ".join(GPL_HEADER.split()) + " " + rest, "GPL-3.0"),
+        6: (GPL_HEADER.replace("version 3", "version 2"), "GPL-2.0"),
+        7: (GPL_HEADER.replace("General", "Lesser General"), "LGPL-3.0"),
+        8: (MIT_PARAGRAPH, "MIT"),
+        9: ("Released under the MIT License. " + rest, "MIT"),
+        10: ("# This Source Code Form is subject to the terms of\n# the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed", "MPL-2.0"),
+        11: ("GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n" + rest, "GPL-3.0"),
+        12: ("SPDX-License-Identifier: Zlib", "Zlib"),
+        13: ("a driving license and the permission to park mit dem Auto " + rest, None),
+        14: ("We compared the GNU General Public License and others, of which 3 " + rest, None),
+    }
+    rows = [(i, "x/LICENSE" if i == 11 else f"{i}/file.c", text.replace(" ", "\n# ") if wrapped and i in (8, 9, 10) else text) for i, (text, _) in said.items()]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {i: name for i, (_, name) in said.items()}
+
+
 def test_ranks_file_form():
     assert bpe.load_ranks([base64.b64encode(b"ab") + b" 7", b""]) == {b"ab": 7}
     assert np.all([len(k) >= 1 for k in RANKS])
