@@ -66,6 +66,20 @@ def test_language_odd_texts(spark):
     assert {r["lang_pred"] for r in langid.language(spark, docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_small_and_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "WORDS", 40)
+    monkeypatch.setattr(langid, "GRAMS", 40)
+    hot = [(f"en{i} the{i % 50} and{i % 60} of{i % 70}", "en") for i in range(600)]
+    rare = [("გამარჯობა მეგობარო", "zz")]  # in its own script, far behind the hot language's counts
+    model = langid.learn(spark.createDataFrame(hot + rare, "text string, lang string"))
+    asked = spark.createDataFrame([(1, "გამარჯობა"), (2, "მეგობრები გამარ"), (3, "the1 and2 of3")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark, asked, model).collect()} == {1: "zz", 2: "zz", 3: "en"}
+    many = [(f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + i) * 2}", f"l{i:03}") for i in range(90)]
+    model = langid.learn(spark.createDataFrame(many, "text string, lang string"))
+    asked = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(many)], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark, asked, model).collect()} == {i: lang for i, (_, lang) in enumerate(many)}
+
+
 def test_neighbours_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 24))

@@ -5,9 +5,9 @@ A known word scores the log of its frequency in each language.  An unknown word
 gets the language with the highest sum.
 
 Words and n-grams are counted over all learning rows; counts are summed inside tasks first, so a language or a
-word that fills a third of the rows costs each task one row.  The model is bounded: the ``WORDS`` most frequent
-words and ``GRAMS`` most frequent n-grams by count, over at most ``LANGUAGES`` languages; rarer words are what the
-back-off is for.
+word that fills a third of the rows costs each task one row.  Each language, however many there are, has in the model
+its own ``WORDS`` most frequent words and ``GRAMS`` most frequent n-grams, so none is crowded out by a larger one; rarer
+words are what the back-off is for.  The model holds only the counts that are there, and grows with the languages.
 
 Cases: a null text or one without letters is ``und`` with score 0, as is every text if nothing could be
 learned; rows with a null text or language teach nothing; equal sums go to the alphabetically first language;
@@ -25,13 +25,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fold, worker_state, written
 
-WORDS, GRAMS, LANGUAGES, LONGEST = 60_000, 60_000, 64, 4
-#: Distinct entries that a task counts before it passes them on; rows of a worker's score table.
+WORDS, GRAMS, LONGEST = 60_000, 60_000, 4
+#: Distinct entries that a task counts before it passes them on; rows of a worker's score table (fewer for many languages).
 FLUSH, MEMO = 400_000, 800_000
 #: Smoothing count.
 ALPHA = 0.5
@@ -87,9 +87,19 @@ def _grams(word: str) -> list[str]:
 
 
 def _most_frequent(counts: DataFrame, most: int) -> dict[str, dict[str, int]]:
-    """Counts by language of the items with the largest totals."""
-    top = counts.groupBy("item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    return {r["item"]: r["by_lang"] for r in top.orderBy(F.desc("total"), "item").limit(most).toLocalIterator()}
+    """Counts by language of the items that are among the ``most`` frequent ones of any language.
+
+    The least count to be kept comes from the number of items with each count, so no task sees a whole language;
+    of the items with just that count a fixed share is kept, by their hashes.
+    """
+    sizes = counts.groupBy("lang", "n").agg(F.count("*").alias("size"))
+    room = F.lit(most) + F.col("size") - F.sum("size").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    kept = sizes.select(F.col("lang").alias("l"), F.col("n").alias("least"), (room / F.col("size")).alias("share")).filter("share > 0")
+    own = counts.join(F.broadcast(kept), (F.col("lang") == F.col("l")) & (F.col("n") == F.col("least")))
+    own = own.filter(F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("item").distinct()
+    top = counts.join(written(own, "kept"), "item", "left_semi")
+    top = top.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
+    return {r["item"]: r["by_lang"] for r in top.orderBy("item").toLocalIterator()}
 
 
 class Model:
@@ -101,16 +111,24 @@ class Model:
         totals = np.array([languages[lang] for lang in self.languages], float).reshape(len(self.languages), 2)
         self.words = {w: i for i, w in enumerate(words)}
         self.parts = {g: len(words) + i for i, g in enumerate(parts)}
-        self.logs = np.vstack([self._logs(items, totals[:, i]) for i, items in enumerate((words, parts))])
-
-    def _logs(self, items: dict[str, dict[str, int]], totals: np.ndarray) -> np.ndarray:
+        # A row has what its counts add to the logs; ``floors`` are the logs of words and of n-grams without a count.
         place = {lang: i for i, lang in enumerate(self.languages)}
-        counts = np.full((len(items), len(place)), ALPHA)
-        for i, by_lang in enumerate(items.values()):
-            for lang, n in by_lang.items():
-                if lang in place:
-                    counts[i, place[lang]] += n
-        return np.log(counts / (totals + ALPHA * len(items))).astype(np.float32)
+        found = [[(place[lang], n) for lang, n in by_lang.items() if lang in place] for items in (words, parts) for by_lang in items.values()]
+        self.starts = np.cumsum([0, *map(len, found)])
+        self.langs = np.array([lang for row in found for lang, _ in row], np.int32)
+        self.gains = np.log(np.array([n for row in found for _, n in row], float) / ALPHA + 1).astype(np.float32)
+        self.floors = np.array([np.log(ALPHA / (totals[:, i] + ALPHA * max(1, len(items)))) for i, items in enumerate((words, parts))])
+
+    def sums(self, rows: list[int], weights: list[float], owner: list[int], n: int) -> np.ndarray:
+        """Scores by language of ``n`` owners of weighted rows."""
+        at, weight, own = np.array(rows, np.int64), np.array(weights, float), np.array(owner, np.int64)
+        size = self.starts[at + 1] - self.starts[at]
+        each = np.repeat(np.arange(len(at)), size)
+        entry = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size) + self.starts[at][each]
+        scores = np.bincount(own[each] * len(self.languages) + self.langs[entry], weight[each] * self.gains[entry], n * len(self.languages)).reshape(n, -1).astype(float)
+        for floor, mine in zip(self.floors, (at < len(self.words), at >= len(self.words))):
+            scores += np.bincount(own[mine], weight[mine], n)[:, None] * floor
+        return scores
 
     def rows_of(self, word: str) -> tuple[list[int], float]:
         """Table rows that score a word and their weight: its own, or those of its longest known n-grams."""
@@ -129,7 +147,8 @@ class Guesser:
     def __init__(self, model: Model):
         self.model = model
         self.place: dict[str, int] = {}
-        self.table = np.zeros((MEMO, len(model.languages) + 1), np.float32)  # scores, and the number of words
+        self.rows = max(4, min(MEMO, 16 * MEMO // (len(model.languages) + 1)))
+        self.table = np.zeros((self.rows, len(model.languages) + 1), np.float32)  # scores, and the number of words
 
     def add(self, runs: list[str]) -> None:
         """Score new runs, all in one pass."""
@@ -144,9 +163,7 @@ class Guesser:
                 owner += [i] * len(own)
         start = len(self.place)
         block = self.table[start : start + len(runs)]
-        scores = self.model.logs[np.array(rows, np.int64)] * np.array(weights, np.float32)[:, None]
-        for lang in range(len(self.model.languages)):
-            block[:, lang] = np.bincount(np.array(owner, np.int64), scores[:, lang], len(runs))
+        block[:, :-1] = self.model.sums(rows, weights, owner, len(runs))
         block[:, -1] = words
         self.place.update(zip(runs, range(start, start + len(runs))))
 
@@ -155,14 +172,14 @@ class Guesser:
         if not runs or not self.model.languages:
             return "und", 0.0
         sums = np.zeros(self.table.shape[1])
-        for start in range(0, len(runs), MEMO // 4):
-            part = runs[start : start + MEMO // 4]
+        for start in range(0, len(runs), self.rows // 4):
+            part = runs[start : start + self.rows // 4]
             at = np.fromiter(map(self.place.get, part, repeat(-1)), np.int64, len(part))
             new = np.nonzero(at < 0)[0].tolist()
             if new:
                 missing = {part[i] for i in new}
-                if len(self.place) + len(missing) > MEMO:  # the newer half goes; places are in order of arrival
-                    self.place = {k: v for k, v in self.place.items() if v < MEMO // 2}
+                if len(self.place) + len(missing) > self.rows:  # the newer half goes; places are in order of arrival
+                    self.place = {k: v for k, v in self.place.items() if v < self.rows // 2}
                     missing, new = set(part).difference(self.place), range(len(part))
                 self.add(sorted(missing))
                 at[list(new)] = [self.place[part[i]] for i in new]
@@ -189,7 +206,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = docs.select(docs[lang].alias("lang"), docs[text].alias("item")).dropna().withColumn("n", F.lit(1).cast("long"))
     words = written(_counted(rows, _add_runs, LETTERS.findall), "words")
     parts = written(_counted(words, _add, _grams), "grams")
-    totals = [df.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect() for df in (words, parts)]
+    totals = [df.groupBy("lang").agg(F.sum("n").alias("n")).collect() for df in (words, parts)]
     by_lang = [{r["lang"]: r["n"] for r in rows} for rows in totals]
     languages = {x: (by_lang[0][x], by_lang[1][x]) for x in by_lang[0] if x in by_lang[1]}
     return Model(languages, _most_frequent(words, WORDS), _most_frequent(parts, GRAMS))
