@@ -74,6 +74,25 @@ def test_main_text(page, text):
     assert html.main_text(page)[0] == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article style='overflow:hidden'>Kept</article>", "Kept"),
+        ("<article><div aria-hidden=false>One</div><p title='The hidden valley'>Two</p><p data-x='display:none'>Three</p></article>", "One Two Three"),
+        ("<article>A<div hidden>x</div><div aria-hidden='true'>y</div><div style='color:red; DISPLAY : none'>z</div><p>B</article>", "A B"),
+        ("<article class='post tag-social'>Kept</article>", "Kept"),
+        ("<div class='content has-sidebar'><article>Kept</article></div>", "Kept"),
+        ("<div class='row related-search-off'><main>Kept</main></div>", "Kept"),
+        ("<div class='modal social'><article class='widget'>Kept<div class=comments>x</div></article></div>", "Kept"),
+        ("<article>Kept</article><div class=comments><article class=comment>A reader</article></div>", "Kept"),
+        ("<article>Kept<div class='site-footer'>x</div><div id=adBanner>y</div></article>", "Kept"),
+        ("<div hidden><article>x</article></div>", ""),
+    ],
+)
+def test_furniture_is_told_by_whole_names(page, text):
+    assert html.main_text(page)[0] == text
+
+
 def test_short_blocks_follow_their_neighbours():
     prose = "the cat and the dog are in the house and they have been there for a long time with all of their friends and it was good for them to be there " * 2
     links = "<ul>" + "".join(f"<li><a href=x>Section {i} of the list of links</a></li>" for i in range(4)) + "</ul>"

@@ -7,6 +7,10 @@ label of the nearest decided blocks: both sides' if they agree, else the nearer
 article (``article`` or ``main``), blocks outside it are bad, and inside it only furniture and runs of link
 lists are, so that short lines, tables and headings of an article are never lost.
 
+Furniture is known by its element, by being hidden, or by a word of its classes, id or role that stands first or last in
+a name (``site-footer``, but not ``has-sidebar``, ``tag-social`` or ``search-off``).  Where such names would hide every
+article of a page, they hide neither articles nor what an article stands in.
+
 Cases: a null or empty page, or one of markup alone, has the empty text; broken markup (unclosed tags, comments
 or quotes) is read as far as it goes; repeated rows give repeated rows; whole pages are read, however long.
 """
@@ -46,6 +50,10 @@ FURNITURE = frozenset(
 )
 # Elements by their part in a page.
 DROPPED = frozenset("nav footer aside form head title button select option textarea label input iframe object embed canvas video audio noscript template svg math dialog menu".split())
+# Words that make a name one of a topic, a layout or a state instead.
+TOPIC = frozenset("tag tags category cat topic format type status is in".split())
+LAYOUT = frozenset("has with without no not layout".split())
+STATES = frozenset("off none no hidden disabled closed inactive free less".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
@@ -57,7 +65,9 @@ TOKEN = re.compile(
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)>""",
     re.DOTALL | re.IGNORECASE,
 )
-MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
+UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
+ARTICLE = re.compile(r"<(?:article|main)\b", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Lengths in characters and densities as shares, after which a block counts as clear.
@@ -73,41 +83,52 @@ class Block:
     label: str = ""
 
 
-def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
+def _names_furniture(value: str) -> bool:
+    """Whether a class, id or role has a furniture word as one of its names, or first or last in one."""
+    for name in value.split():
+        words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
+        if words and not FURNITURE.isdisjoint((words[0], words[-1])) and words[-1] not in STATES and words[0] not in TOPIC and LAYOUT.isdisjoint(words):
+            return True
+    return False
+
+
+def _furniture(tag: str, attrs: str, in_article: bool) -> int:
+    """2 for furniture by element or hidden, 1 for that by name, else 0."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return 2
     if not attrs or tag in ("html", "body"):
-        return False
-    for value in MARKED.findall(attrs):
-        words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)]
-        if words and words[0] not in ("has", "with", "no") and not FURNITURE.isdisjoint(words):
-            return True
-    return re.search(r"\bhidden\b|display\s*:\s*none", attrs) is not None
+        return 0
+    given: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(attrs):
+        given.setdefault(name.lower(), html.unescape(value.strip("\"'")))
+    if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or UNSHOWN.search(given.get("style", "")):
+        return 2
+    return int(tag != "main" and any(_names_furniture(given[x]) for x in ("class", "id", "role") if x in given))
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str, names_hide_articles: bool = True) -> list[Block]:
     """The blocks of a page in order, each with its text, the characters in links, and where it stands."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, inside furniture, number of the article it is in
+    stack: list[tuple[str, int, int]] = []  # tag, inside furniture (and how known), number of the article it is in
     parts: list[str] = []
     links = articles = in_link = 0
-    furniture, article = False, 0
+    furniture, article = 0, 0
 
     def flush() -> None:
         nonlocal links
         if parts:
             if text := " ".join("".join(parts).split()):
-                found.append(Block(text, links, furniture, article))
+                found.append(Block(text, links, furniture > 0, article))
             parts.clear()
             links = 0
 
     def close(at: int) -> None:
         nonlocal furniture, article, in_link
-        if any(x[0] not in INLINE for x in stack[at:]) or furniture != (at > 0 and stack[at - 1][1]):
+        if any(x[0] not in INLINE for x in stack[at:]) or furniture != (stack[at - 1][1] if at else 0):
             flush()
         in_link = max(0, in_link - sum(x[0] == "a" for x in stack[at:]))
         del stack[at:]
-        furniture, article = stack[-1][1:] if stack else (False, 0)
+        furniture, article = stack[-1][1:] if stack else (0, 0)
 
     def text(raw: str) -> None:
         nonlocal links
@@ -151,7 +172,9 @@ def blocks(page: str) -> list[Block]:
             flush()
         if tag in VOID:
             continue
-        inside = furniture or _is_furniture(tag, token["attrs"], article > 0)
+        inside = max(furniture, _furniture(tag, token["attrs"], article > 0))
+        if inside == 1 and tag in ("article", "main") and not article and not names_hide_articles:
+            inside = 0
         if inside != furniture:
             flush()
         if tag in ("article", "main") and not inside and not article:
@@ -160,7 +183,7 @@ def blocks(page: str) -> list[Block]:
         elif not token["attrs"].endswith("/") or not inline:
             stack.append((tag, inside, article))
             in_link += tag == "a"
-        furniture, article = stack[-1][1:] if stack else (False, 0)
+        furniture, article = stack[-1][1:] if stack else (0, 0)
     text(page[at:])
     flush()
     return found
@@ -226,6 +249,8 @@ def second_pass(found: list[Block]) -> None:
 def main_text(page: str | None) -> tuple[str, int, int]:
     """The text of the good blocks in page order, how many there are, and how many blocks the page has."""
     found = blocks(page or "")
+    if page and not any(b.article and not b.furniture for b in found) and ARTICLE.search(page):
+        found = blocks(page, names_hide_articles=False)
     first_pass(found)
     second_pass(found)
     good = [b.text for b in found if b.label == "good"]
