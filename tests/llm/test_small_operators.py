@@ -57,6 +57,16 @@ def test_token_cache_encodes_only_what_is_missing(spark, tmp_path):
     assert a == {1: 4, 2: 4, 3: 0, 4: 4} and b[5] == (14, 2, False) and b[6] == (0, 0, False) and b[1] == (18, 4, True)
 
 
+def test_token_counts_of_null_and_repeated_keys(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(None, "only here"), (None, "one two three four five"), (7, "short"), (7, "a much longer text of the same key"), (8, None), (7, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = tokens.count_tokens(spark, docs, path, f"file://{tmp_path}/cache").collect()
+    want = [(key, len((text or "").encode()), COUNTER.count(text or "")) for key, text in rows]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_bytes"], r["n_tokens"])) for r in got)
+    assert spark.read.parquet(f"{tmp_path}/cache").count() == 5  # each text once, the empty one too
+
+
 @pytest.mark.parametrize(
     "page, text",
     [

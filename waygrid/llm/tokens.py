@@ -6,7 +6,8 @@ counts, and reads all counts back from the cache.  Normalised means: runs of ASC
 and the ends are trimmed, which this tokenizer's own normaliser and splitter make of them anyway, so texts with
 one digest have one count.
 
-Cases: a null text counts as empty (0 tokens); copies share one encoding; an empty table gives an empty one;
+Cases: a null text counts as empty (0 tokens); a null key is a key like others, and one key may have several texts;
+copies share one encoding; an empty table gives an empty one;
 other columns are ignored.  The cache must be a folder that driver and executors share.
 """
 
@@ -99,19 +100,22 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, cach
     """``key, n_bytes, n_tokens, over_limit`` of every document, through the cache in ``cache_dir``.
 
     Texts move once, and only those to be encoded are kept: the representative of each missing digest is
-    chosen from digests alone (map-side minima, so a text that fills a third of the rows costs one row per
-    task), then met by its key.  The last join carries no texts; a hot digest there is split by the adaptive
-    skew join.
+    chosen from digests and hashed keys alone (map-side minima, so a text that fills a third of the rows costs one
+    row per task), then met by both, so that neither a null key nor one key with several texts can take another
+    text's place.  Rows that repeat key and text are one before they move.  The last join carries no texts; a hot
+    digest there is split by the adaptive skew join.
     """
     with open(tokenizer_path, "rb") as file:
         version = hashlib.sha256(file.read()).hexdigest()[:16]
     docs = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    digests = written(docs.select("key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("digest")), "digests")
+    digest = content_digest(F.col("text")).alias("digest")
+    digests = written(docs.select("key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest), "digests")
     mine = F.col("tokenizer") == version
     spark.createDataFrame([], CACHE).write.mode("append").partitionBy("tokenizer").parquet(cache_dir)  # so that a new folder can be read
     stored = spark.read.schema(CACHE).parquet(cache_dir).filter(mine).select("digest", "n_tokens")
-    missing = digests.groupBy("digest").agg(F.min("key").alias("key")).join(stored, "digest", "left_anti")
-    texts = missing.join(docs, "key")
+    missing = digests.groupBy("digest").agg(F.min(F.xxhash64("key")).alias("owner")).join(stored, "digest", "left_anti")
+    texts = docs.select(F.xxhash64("key").alias("owner"), digest, "text").groupBy("owner", "digest").agg(F.first("text").alias("text"))
+    texts = missing.join(texts, ["owner", "digest"])
     _encoded(spark, texts, tokenizer_path).withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_dir)
     stored = spark.read.schema(CACHE).parquet(cache_dir).filter(mine).select("digest", "n_tokens")
     # Two runs that share a cache may both have added a digest: one count is kept.  Written, so that both sides of
