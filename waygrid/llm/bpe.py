@@ -5,7 +5,8 @@ longest vocabulary entry at each position.  A token sequence is the BPE encoding
 neighbours is *compatible*: merging the bytes of the two by rank leaves those two tokens.  So the encoder
 places longest matches from left to right, asks a memo whether neighbours are compatible, and where they are
 not falls back to the next shorter entry, or takes back the last token.  An end position that has been given
-up once is never tried again, which keeps the walk linear in the piece.
+up once is never tried again, and no step looks further ahead than the longest entry, so the walk is linear in the
+piece.  Memos hold vocabulary entries and short strings only, so their bytes are bounded by their numbers of entries.
 
 Cases: a null or empty text has no tokens (count 0, the digests of zero bytes); any text is encoded whole;
 repeated rows give repeated rows; an empty table gives an empty one; further columns are ignored unless named.
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import worker_state
 
-#: Entries that a worker's memos may hold: bounds its memory, never the result.
-RUNS, PIECES, PAIRS, HEADS = 450_000, 150_000, 300_000, 100_000
+#: Entries that a worker's memos may hold, and characters of one that is kept: bounds its memory, never the result.
+RUNS, PIECES, PAIRS, KEPT = 450_000, 150_000, 300_000, 48
 #: Above any rank.
 END = 1 << 40
 
@@ -64,10 +65,10 @@ class ByteBPE:
             automaton.add_word(key, key)
         automaton.make_automaton()
         self.automaton = automaton
+        self.longest = max(map(len, self.parts))
         self.fits: dict[tuple[str, str], bool] = {}
         self.edges: dict[str, tuple[list[tuple[str, int]], list[tuple[str, int]]]] = {}
         self.prefixes: dict[str, str] = {}
-        self.heads: dict[str, str] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.runs: dict[str, tuple[int, ...]] = {}
 
@@ -119,14 +120,11 @@ class ByteBPE:
             known = self.prefixes[token] = next((x for n in range(len(token) - 1, 0, -1) if (x := token[:n]) in self.parts), "")
         return known
 
-    def head(self, rest: str) -> str:
-        """The longest entry that ``rest`` starts with."""
-        known = self.heads.get(rest)
-        if known is None:
-            trim(self.heads, HEADS)
-            size = self.automaton.longest_prefix(rest)  # of the path, which may go on beyond an entry
-            known = self.heads[rest] = rest[:size] if rest[:size] in self.parts else self.shorter(rest[:size])
-        return known
+    def head(self, s: str, at: int) -> str:
+        """The longest entry that starts at a position; only as much as an entry can hold is looked at."""
+        ahead = s[at : at + self.longest]
+        size = self.automaton.longest_prefix(ahead)  # of the path, which may go on beyond an entry
+        return ahead[:size] if ahead[:size] in self.parts else self.shorter(ahead[:size])
 
     def placed(self, s: str) -> list[str]:
         """Tokens of a piece, by backtracking from longest matches."""
@@ -147,7 +145,7 @@ class ByteBPE:
             if token:
                 out.append(token)
                 at += len(token)
-                token = self.head(s[at:]) if at < end else ""
+                token = self.head(s, at) if at < end else ""
             else:
                 given_up.add(at)
                 last = out.pop()
@@ -159,10 +157,12 @@ class ByteBPE:
         """Ids of one match of the pattern."""
         found = self.pieces.get(piece)
         if found is None:
-            trim(self.pieces, PIECES)
             s = piece.encode().decode("latin-1")
             whole = self.ranks.get(s)
-            found = self.pieces[piece] = (whole,) if whole is not None else tuple(self.ranks[x] for x in self.placed(s))
+            found = (whole,) if whole is not None else tuple(map(self.ranks.__getitem__, self.placed(s)))
+            if len(piece) <= KEPT:
+                trim(self.pieces, PIECES)
+                self.pieces[piece] = found
         return found
 
     def encode_run(self, run: str) -> tuple[int, ...]:
@@ -181,10 +181,14 @@ class ByteBPE:
         first, *rest = text.split(" ")
         runs = self.runs
         trim(runs, RUNS)
+        long: dict[str, tuple[int, ...]] = {}  # remembered for this text alone
         for run in set(rest).difference(runs):
-            runs[run] = self.encode_run(" " + run)
+            (runs if len(run) <= KEPT else long)[run] = self.encode_run(" " + run)
         out = list(self.encode_run(first))
-        out.extend(chain.from_iterable(map(runs.__getitem__, rest)))
+        if long:
+            out.extend(chain.from_iterable(runs[run] if run in runs else long[run] for run in rest))
+        else:
+            out.extend(chain.from_iterable(map(runs.__getitem__, rest)))
         return out
 
     def decode(self, ids: list[int]) -> bytes:
