@@ -9,6 +9,8 @@ The fit reads at most ``SAMPLE`` labelled rows, chosen by a hash of their key (a
 a few thousand parameters); scoring reads every whole text of every row, in one pass without a shuffle.
 Labels, language, source and key are never inputs of a score.
 
+Bounds: the model keeps at most ``KEPT`` of the hashed features that differ by ``CLEAR`` standard deviations.
+
 Cases: a null or empty text scores as a text without words does (the base rate); without any labelled row, or
 with one class only, every score is the base rate (0 without labels); repeated rows get equal scores; an empty
 table gives an empty one; ties don't arise, as each row has its own score.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -77,15 +80,27 @@ def features(text: str | None) -> np.ndarray:
     return np.sort(np.fromiter(set(chain.from_iterable(map(known.__getitem__, words))), np.int32))
 
 
-def swapped(text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features of each sentence that names a group, with those of the sentence with the group swapped."""
-    found = []
-    for sentence in SENTENCE.findall(text or ""):
-        words = WORD.findall(sentence.lower())
-        for i, word in enumerate(words):
-            for other in SWAPS.get(word, ()):
-                found.append((features(sentence), features(" ".join(words[:i] + [other] + words[i + 1 :]))))
-    return found
+def swapped(text: str | None) -> list[tuple[tuple[int, ...], tuple[int, ...], int]]:
+    """What each swap of a group's name changes in its sentence: slots that go, slots that come, and how often.
+
+    Only these slots are worked out: a name's own slots go where no other word of the sentence has them.  Swaps of one
+    sentence that change the same are one entry, so a sentence gives no more entries than there are pairs of names.
+    """
+    found: Counter = Counter()
+    for sentence in SENTENCE.findall((text or "").lower()):
+        words = Counter(WORD.findall(sentence))
+        named = words.keys() & SWAPS.keys()
+        if not named:
+            continue
+        held = Counter(chain.from_iterable(map(word_slots, words)))
+        for word in named:
+            left = words[word] > 1
+            gone = frozenset(s for s in word_slots(word) if held[s] == 1 and not left)
+            for other in SWAPS[word]:
+                new = frozenset(s for s in word_slots(other) if not held[s] or s in gone)
+                if gone != new:
+                    found[tuple(sorted(gone - new)), tuple(sorted(new - gone))] += words[word]
+    return [(*change, n) for change, n in sorted(found.items())]
 
 
 class Rows:
@@ -105,10 +120,24 @@ class Rows:
         return np.bincount(self.col, v[self.row], width)
 
 
-def fit(slots: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], rounds: int = 800, swap_penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, np.ndarray, float]:
-    """Slots, weights and bias.
+def chosen_slots(seen: np.ndarray, classes: tuple[int, int], pairs: list[tuple]) -> np.ndarray:
+    """Features whose rates in the two classes differ most clearly, and those that a swap touches.
+
+    ``seen`` has the rows of each class with each slot; ``classes`` is the number of rows of each class.
+    """
+    total, n = seen.sum(axis=0), sum(classes)
+    spread = np.sqrt((total + 1) / n * (1 / classes[0] + 1 / classes[1]))
+    clear = np.abs(seen[1] / classes[1] - seen[0] / classes[0]) / spread
+    clear[(total < 2) | (clear < CLEAR)] = 0
+    for gone, new, _ in pairs:
+        clear[[*gone, *new]] += 1e3  # what a swap touches must be in the model, or it can't be held back
+    chosen = np.argsort(-clear, kind="stable")[:KEPT]
+    return chosen[clear[chosen] > 0].astype(np.int64)
+
+
+def fit(slots: list[np.ndarray], labels: np.ndarray, pairs: list[tuple], chosen: np.ndarray | None = None, rounds: int = 800, swap_penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, np.ndarray, float]:
+    """Slots, weights and bias over the ``chosen`` slots (those of ``slots`` where they aren't given).
 
-    Kept are the features whose rates in the two classes differ most clearly, and those that a swap touches.
     The loss is the mean log loss, a small ridge, and the mean squared score change over all swaps; its minimum
     is found by full-batch steps with a step size for each weight.
     """
@@ -116,21 +145,16 @@ def fit(slots: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarra
     if positive in (0, n):
         rate = positive / n if n else 0.0
         return np.empty(0, np.int64), np.empty(0), float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
-    seen = np.zeros((2, SPACE))
-    for slot, label in zip(slots, labels):
-        seen[int(label), slot] += 1
-    total = seen.sum(axis=0)
-    spread = np.sqrt((total + 1) / n * (1 / positive + 1 / (n - positive)))
-    clear = np.abs(seen[1] / positive - seen[0] / (n - positive)) / spread
-    clear[(total < 2) | (clear < CLEAR)] = 0
-    for a, b in pairs:
-        clear[np.setxor1d(a, b)] += 1e3  # what a swap touches must be in the model, or it can't be held back
-    chosen = np.argsort(-clear, kind="stable")[:KEPT]
-    chosen = chosen[clear[chosen] > 0]
+    if chosen is None:
+        seen = np.zeros((2, SPACE))
+        for slot, label in zip(slots, labels):
+            seen[int(label), slot] += 1
+        chosen = chosen_slots(seen, (n - positive, positive), pairs)
     column = np.full(SPACE, -1)
     column[chosen] = np.arange(len(chosen))
     width = len(chosen)
-    x, before, after = Rows(slots, column), Rows([a for a, _ in pairs], column), Rows([b for _, b in pairs], column)
+    x, before, after = Rows(slots, column), *(Rows([np.asarray(p[i], np.int64) for p in pairs], column) for i in (0, 1))
+    often = np.array([p[2] for p in pairs], float)
     weight = np.where(labels > 0, POSITIVE, 1.0) / n
     w, bias = np.zeros(width), float(np.log(positive / (n - positive)))
     mean, square = np.zeros(width + 1), np.zeros(width + 1)
@@ -138,15 +162,15 @@ def fit(slots: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarra
         error = (1 / (1 + np.exp(-np.clip(x.dot(w) + bias, -40, 40))) - labels) * weight
         slope = x.back(error, width) + RIDGE * w
         if pairs:
-            change = before.dot(w) - after.dot(w)
-            slope += 2 * swap_penalty / len(pairs) * (before.back(change, width) - after.back(change, width))
+            change = (before.dot(w) - after.dot(w)) * often
+            slope += 2 * swap_penalty / often.sum() * (before.back(change, width) - after.back(change, width))
         slope = np.append(slope, error.sum())
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope * slope
         move = 0.1 * (1 - step / (rounds + 1)) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
         w -= move[:-1]
         bias -= float(move[-1])
-    return chosen.astype(np.int64), w, bias
+    return chosen, w, bias
 
 
 class Scorer:
@@ -171,31 +195,47 @@ class Scorer:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on at most ``SAMPLE`` rows of ``docs`` that have a label, those of the smallest key hashes.
 
-    The driver receives feature slots of the sample only, some 10 MB at most for texts of usual length.
+    Features are counted by class in Spark; the driver receives these counts (``SPACE`` rows at most), the distinct
+    swaps with their numbers, and of each sampled row only the slots that were chosen.
     """
     named = labels.select(labels[key].alias("key"), labels[label].alias("label")).dropna()
     named = named.groupBy("key").agg(F.max("label").alias("label"))
     present = docs.select(docs[key].alias("key")).dropna().join(named, "key")
-    sample = written(present.orderBy(F.xxhash64("key"), "key").limit(SAMPLE), "sample")
-    texts = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(sample.distinct()), "key")
+    sample = written(present.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).distinct(), "sample")
+    texts = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(sample), "key")
+    change = pa.struct([("gone", pa.list_(pa.int32())), ("new", pa.list_(pa.int32())), ("n", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x.as_py() for x in batch.column(0)]
+            slots = pa.array([features(x) for x in found], pa.list_(pa.int32()))
+            changes = pa.array([[dict(zip(("gone", "new", "n"), c)) for c in swapped(x)] for x in found], pa.list_(change))
+            yield pa.RecordBatch.from_arrays([slots, batch.column(1), changes], names=["slots", "label", "changes"])
+
+    rows = texts.select("text", (F.col("label") > 0).cast("int").alias("label")).mapInArrow(described, "slots array<int>, label int, changes array<struct<gone:array<int>,new:array<int>,n:bigint>>")
+    rows = written(rows, "described")
+    classes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(classes) < 2:
+        return fit([], np.repeat(list(classes), list(classes.values())), [])
+    changes = rows.select(F.explode("changes").alias("c")).groupBy("c.gone", "c.new").agg(F.sum("c.n").alias("n")).orderBy("gone", "new")
+    pairs = [(tuple(r["gone"]), tuple(r["new"]), r["n"]) for r in changes.collect()]
+    counts = rows.select("label", F.explode("slots").alias("slot")).groupBy("slot").agg(*(F.count_if(F.col("label") == c).alias(f"n{c}") for c in (0, 1))).toArrow()
+    seen = np.zeros((2, SPACE))
+    for c in (0, 1):
+        seen[c, counts["slot"].to_numpy()] = counts[f"n{c}"].to_numpy()
+    chosen = chosen_slots(seen, (classes[0], classes[1]), pairs)
+    sent = rows.sparkSession.sparkContext.broadcast(np.sort(chosen))
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots, before, after = [], [], []
-            for value in batch.column(0):
-                text = value.as_py()
-                slots.append(features(text))
-                pairs = swapped(text)
-                before.append([a for a, _ in pairs])
-                after.append([b for _, b in pairs])
-            nested = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.list_(pa.int32())), batch.column(1), pa.array(before, nested), pa.array(after, nested)], names=["slots", "label", "before", "after"])
-
-    rows = texts.select("text", F.col("label").cast("int").alias("label")).mapInArrow(run, "slots array<int>, label int, before array<array<int>>, after array<array<int>>").toArrow()
-    slots = [x.values.to_numpy() for x in rows["slots"] if x.is_valid]
-    pairs = [(np.asarray(a), np.asarray(b)) for x, y in zip(rows["before"].to_pylist(), rows["after"].to_pylist()) for a, b in zip(x, y)]
-    order = sorted(range(len(slots)), key=lambda i: slots[i].tobytes())  # so that the order of tasks doesn't matter
-    return fit([slots[i] for i in order], np.asarray(rows["label"].to_pylist(), float)[order], pairs)
+            slots = [np.intersect1d(x.values.to_numpy(), sent.value, assume_unique=True).astype(np.int32) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.list_(pa.int32())), batch.column(1)], names=["slots", "label"])
+
+    got = rows.select("slots", "label").mapInArrow(narrowed, "slots array<int>, label int").toArrow()
+    slots = [x.values.to_numpy() for x in got["slots"]]
+    truth = got["label"].to_numpy()
+    order = sorted(range(len(slots)), key=lambda i: (slots[i].tobytes(), truth[i]))  # so that the order of tasks doesn't matter
+    return fit([slots[i] for i in order], truth[order].astype(float), pairs, chosen)
 
 
 def score_documents(spark, docs: DataFrame, model, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
