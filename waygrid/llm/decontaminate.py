@@ -6,10 +6,13 @@ bit-parallel algorithm measures the edit distance between the whole item and the
 passage overlap and are measured once.
 
 Texts and items are compared in lower case with every run of other characters than letters and digits as one
-blank.  The items of one scan are bounded by ``SCAN`` characters; a larger benchmark is scanned in blocks of that
-size, each with all documents, so nothing that is broadcast grows with the tables.
+blank.  Both stand between blanks, so an item is found at the borders of words only (``cat`` isn't in
+``concatenate``), and words that run into its ends cost edits of its budget.  The items of one scan are bounded by
+``SCAN`` characters; a larger benchmark is scanned in blocks of that size, each with all documents, so nothing that is
+broadcast grows with the tables (one item is never divided).
 
-Cases: null or empty texts match nothing; null, empty or letterless items are ignored; equal items all match;
+Cases: null or empty texts match nothing; null, empty or letterless items are ignored; an item with a null key is
+one like others; equal items all match; an item of few characters has no budget and is found wherever its words stand;
 repeated rows get equal answers; an empty table on either side gives no matches; a null key is kept as it is;
 texts are scanned whole; extra columns are ignored.
 """
@@ -33,7 +36,9 @@ _other = re.compile(r"[\W_]+")
 
 
 def normalised(text: str | None) -> str:
-    return _other.sub(" ", (text or "").lower()).strip()
+    """Words with a blank around each; empty if there are none."""
+    words = _other.sub(" ", (text or "").lower()).strip()
+    return f" {words} " if words else ""
 
 
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
@@ -79,7 +84,7 @@ class Matcher:
     """Finds the items of one block in texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(key, item, math.floor(rate * len(item)), item_masks(item)) for key, item in items]
+        self.items = [(key, item, math.floor(rate * (len(item) - 2)), item_masks(item)) for key, item in items]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for number, (_, item, budget, _) in enumerate(self.items):
             for offset, piece in pieces(item, budget):
@@ -118,12 +123,12 @@ def find_items(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str
     """``key, item_ids, distances`` of each document that holds an item; one row for each block that it matches."""
     kind, item_kind = docs.schema[key].dataType, items.schema[item_key].dataType
     docs = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    items = items.select(items[item_key].alias("item"), items[item_text].alias("text")).dropna()
+    items = items.select(items[item_key].alias("item"), items[item_text].alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / scan))
     out = None
     for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item", "text").collect()
+        own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()
         sent = spark.sparkContext.broadcast([(r["item"], t) for r in own if (t := normalised(r["text"]))])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
