@@ -5,9 +5,10 @@ A known word scores the log of its frequency in each language.  An unknown word
 gets the language with the highest sum.
 
 Words and n-grams are counted over all learning rows; counts are summed inside tasks first, so a language or a
-word that fills a third of the rows costs each task one row.  Each language, however many there are, has in the model
-its own ``WORDS`` most frequent words and ``GRAMS`` most frequent n-grams, so none is crowded out by a larger one; rarer
-words are what the back-off is for.  The model holds only the counts that are there, and grows with the languages.
+word that fills a third of the rows costs each task one row.  A word or n-gram is known if it makes up a share of
+``KNOWN`` of all words or n-grams of some language; rarer ones are what the back-off is for.  The share is the same at
+every size of input and is taken in each language, however many there are, so none is crowded out by a larger one.
+The model holds only the counts that are there, and grows with the languages.
 
 Cases: a null text or one without letters is ``und`` with score 0, as is every text if nothing could be
 learned; rows with a null text or language teach nothing; equal sums go to the alphabetically first language;
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import gc
 import re
+import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -25,18 +27,21 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, worker_state, written
 
-WORDS, GRAMS, LONGEST = 60_000, 60_000, 4
+#: Least share of a language's words or n-grams that makes one known, and the longest n-gram.
+KNOWN, LONGEST = 3e-6, 4
 #: Distinct entries that a task counts before it passes them on; rows of a worker's score table (fewer for many languages).
 FLUSH, MEMO = 400_000, 800_000
 #: Smoothing count.
 ALPHA = 0.5
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: of what counts as a word character, numerals in any form are none.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W_{NUMERALS}]+")
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -86,18 +91,12 @@ def _grams(word: str) -> list[str]:
     return [g for n in range(1, LONGEST + 1) for g in grams(word, n)]
 
 
-def _most_frequent(counts: DataFrame, most: int) -> dict[str, dict[str, int]]:
-    """Counts by language of the items that are among the ``most`` frequent ones of any language.
-
-    The least count to be kept comes from the number of items with each count, so no task sees a whole language;
-    of the items with just that count a fixed share is kept, by their hashes.
-    """
-    sizes = counts.groupBy("lang", "n").agg(F.count("*").alias("size"))
-    room = F.lit(most) + F.col("size") - F.sum("size").over(Window.partitionBy("lang").orderBy(F.desc("n")))
-    kept = sizes.select(F.col("lang").alias("l"), F.col("n").alias("least"), (room / F.col("size")).alias("share")).filter("share > 0")
-    own = counts.join(F.broadcast(kept), (F.col("lang") == F.col("l")) & (F.col("n") == F.col("least")))
-    own = own.filter(F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("item").distinct()
-    top = counts.join(written(own, "kept"), "item", "left_semi")
+def _known(counts: DataFrame, totals: dict[str, int]) -> dict[str, dict[str, int]]:
+    """Counts by language of the items that make up a share of ``KNOWN`` in some language."""
+    spark = counts.sparkSession
+    least = spark.createDataFrame([(lang, n * KNOWN) for lang, n in totals.items()], "lang string, least double")
+    own = counts.join(F.broadcast(least), "lang").filter("n >= least").select("item").distinct()  # one row a language is sent
+    top = counts.join(written(own, "known"), "item", "left_semi")
     top = top.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
     return {r["item"]: r["by_lang"] for r in top.orderBy("item").toLocalIterator()}
 
@@ -209,7 +208,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     totals = [df.groupBy("lang").agg(F.sum("n").alias("n")).collect() for df in (words, parts)]
     by_lang = [{r["lang"]: r["n"] for r in rows} for rows in totals]
     languages = {x: (by_lang[0][x], by_lang[1][x]) for x in by_lang[0] if x in by_lang[1]}
-    return Model(languages, _most_frequent(words, WORDS), _most_frequent(parts, GRAMS))
+    return Model(languages, *(_known(counts, of) for counts, of in zip((words, parts), by_lang)))
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
