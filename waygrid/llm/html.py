@@ -1,11 +1,11 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  The first pass decides the clear ones: blocks inside page
-furniture (menus, footers, forms, adverts, comments ...) and link-dense blocks are bad, long blocks with many
-stop words are good.  What is short or has few stop words stays ambiguous and, in the second pass, takes the
-label of the nearest decided blocks: both sides' if they agree, else the nearer one's.  Where a page marks its
-article (``article`` or ``main``), blocks outside it are bad, and inside it only furniture and runs of link
-lists are, so that short lines, tables and headings of an article are never lost.
+A page is cut into blocks at block-level tags.  The first pass decides the clear ones by stop-word density, length and
+link density: long blocks with many stop words are good, link-dense ones without them and runs of links are bad, and so
+is page furniture (menus, footers, forms, adverts, comments ...).  What is short, or neither, stays ambiguous and, in the
+second pass, takes the label of the nearest decided blocks: both sides' if they agree, else the nearer one's.  Where a
+page marks its article (``article`` or ``main``), blocks outside it are bad; inside it, a block has its neighbours among
+the article's own blocks, furniture aside, and the article's two ends count as good ones, as do ties.
 
 Furniture is known by its element, by being hidden, or by a word of its classes, id or role that stands first or last in
 a name (``site-footer``, but not ``has-sidebar``, ``tag-social`` or ``search-off``).  Where such names would hide every
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -59,10 +60,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 OUTER = frozenset("html body article main".split())
 
+# Attributes end at the tag's own or the next tag's bracket, and no part of them is read twice, so that broken markup takes no
+# longer than other markup.
+_ATTRS = r"""(?:"[^"]*"|'[^']*'|[^'"<>])*+"""
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe)\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)>""",
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})(?:>|(?=<)|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
@@ -106,10 +110,53 @@ def _furniture(tag: str, attrs: str, in_article: bool) -> int:
     return int(tag != "main" and any(_names_furniture(given[x]) for x in ("class", "id", "role") if x in given))
 
 
+class _Open:
+    """The open elements of a page, with the places of each name, of block elements, and of those that end no other."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int]] = []  # tag, inside furniture (and how known), number of the article it is in
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.outlines: list[int] = []  # not inline
+        self.walls: list[int] = []  # neither inline nor closing themselves
+
+    def push(self, tag: str, furniture: int, article: int) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, furniture, article))
+        self.places[tag].append(at)
+        if tag not in INLINE:
+            self.outlines.append(at)
+            if tag not in CLOSES_ITSELF:
+                self.walls.append(at)
+
+    def cut(self, at: int) -> list[str]:
+        """Close all from a place on; their names."""
+        names = [x[0] for x in self.stack[at:]]
+        del self.stack[at:]
+        for name in names:
+            self.places[name].pop()
+        for places in (self.outlines, self.walls):
+            while places and places[-1] >= at:
+                places.pop()
+        return names
+
+    def last(self, tag: str) -> int:
+        return self.places[tag][-1] if self.places.get(tag) else -1
+
+    def ended_by(self, tag: str) -> int:
+        """The place of the element that an end tag closes; an inline one closes nothing beyond its block.  -1 if none."""
+        at = self.last(tag)
+        return -1 if tag in INLINE and self.outlines and at < self.outlines[-1] else at
+
+    def ended_before(self, tag: str) -> int:
+        """The place of the paragraph, or list item and the like, that the start of a block closes; -1 if none."""
+        at = max(self.last("p"), self.last(tag) if tag in CLOSES_ITSELF else -1)
+        return -1 if self.walls and at < self.walls[-1] else at
+
+
 def blocks(page: str, names_hide_articles: bool = True) -> list[Block]:
     """The blocks of a page in order, each with its text, the characters in links, and where it stands."""
     found: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, inside furniture (and how known), number of the article it is in
+    opened = _Open()
     parts: list[str] = []
     links = articles = in_link = 0
     furniture, article = 0, 0
@@ -124,11 +171,10 @@ def blocks(page: str, names_hide_articles: bool = True) -> list[Block]:
 
     def close(at: int) -> None:
         nonlocal furniture, article, in_link
-        if any(x[0] not in INLINE for x in stack[at:]) or furniture != (stack[at - 1][1] if at else 0):
+        if opened.outlines and opened.outlines[-1] >= at or furniture != (opened.stack[at - 1][1] if at else 0):
             flush()
-        in_link = max(0, in_link - sum(x[0] == "a" for x in stack[at:]))
-        del stack[at:]
-        furniture, article = stack[-1][1:] if stack else (0, 0)
+        in_link = max(0, in_link - opened.cut(at).count("a"))
+        furniture, article = opened.stack[-1][1:] if opened.stack else (0, 0)
 
     def text(raw: str) -> None:
         nonlocal links
@@ -146,29 +192,19 @@ def blocks(page: str, names_hide_articles: bool = True) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        inline = tag in INLINE
         if token["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
-            else:
-                if tag not in INLINE:
-                    flush()
+            if (place := opened.ended_by(tag)) >= 0:
+                close(place)
+            elif not inline:
+                flush()
             continue
         if tag == "br":
             parts.append(" ")
             continue
-        inline = tag in INLINE
         if not inline:
-            for i in range(len(stack) - 1, -1, -1):
-                name = stack[i][0]
-                if name == "p" or name == tag and tag in CLOSES_ITSELF:
-                    close(i)
-                    break
-                if name not in INLINE and name not in CLOSES_ITSELF:
-                    break
+            if (place := opened.ended_before(tag)) >= 0:
+                close(place)
             flush()
         if tag in VOID:
             continue
@@ -179,16 +215,21 @@ def blocks(page: str, names_hide_articles: bool = True) -> list[Block]:
             flush()
         if tag in ("article", "main") and not inside and not article:
             articles += 1
-            stack.append((tag, inside, articles))
+            opened.push(tag, inside, articles)
         elif not token["attrs"].endswith("/") or not inline:
-            stack.append((tag, inside, article))
+            opened.push(tag, inside, article)
             in_link += tag == "a"
-        furniture, article = stack[-1][1:] if stack else (0, 0)
+        furniture, article = opened.stack[-1][1:] if opened.stack else (0, 0)
     text(page[at:])
     flush()
     return found
 
 
+def stop_density(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def first_pass(found: list[Block]) -> None:
     """Label the clear blocks ``good`` or ``bad`` and leave ``""`` on the others."""
     marked = any(b.article and not b.furniture for b in found)
@@ -197,53 +238,53 @@ def first_pass(found: list[Block]) -> None:
         link_dense = b.links > MANY_LINKS * size
         if b.furniture or marked and not b.article:
             b.label = "bad"
-        elif not b.article and (link_dense or size < SHORT and b.links):
-            b.label = "bad"
-        elif size >= SHORT and not link_dense:
-            words = WORD.findall(b.text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if stops >= (SOME_STOPS if b.article else MANY_STOPS) and size >= (SHORT if b.article else LONG):
-                b.label = "good"
-    if marked:
-        for start in range(len(found)):  # lists of links inside an article
-            run = start
-            while run < len(found) and found[run].article and not found[run].label and found[run].links > 0.9 * len(found[run].text):
-                run += 1
-            if run - start >= LINK_RUN:
-                for b in found[start:run]:
-                    b.label = "bad"
+        elif size < SHORT:
+            b.label = "bad" if b.links and not b.article else ""
+        elif link_dense:  # teasers and inline lists of links; linked prose of an article stays open
+            b.label = "bad" if not b.article or stop_density(b.text) < SOME_STOPS else ""
+        elif size >= (SHORT if b.article else LONG) and stop_density(b.text) >= (SOME_STOPS if b.article else MANY_STOPS):
+            b.label = "good"
+    run: list[Block] = []
+    for b in [*found, Block("", 0, False, 0)]:  # lists of links inside an article
+        if b.article and not b.furniture and b.label != "good" and b.links > 0.9 * len(b.text):
+            run.append(b)
+        else:
+            if len(run) >= LINK_RUN:
+                for x in run:
+                    x.label = "bad"
+            run = []
 
 
 def second_pass(found: list[Block]) -> None:
-    """Give each undecided block the label of its nearest decided neighbours; inside an article, of good ones."""
-    n = len(found)
-    before, after = [-1] * n, [n] * n
-    last = -1
-    for i in range(n):
-        before[i] = last
-        if found[i].label:
-            last = i
-    last = n
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        if found[i].label:
-            last = i
-    given = []
+    """Give each undecided block the label of its nearest decided neighbours."""
+    whole, by_article = list(range(len(found))), defaultdict(list)
     for i, b in enumerate(found):
-        if b.label:
-            given.append(b.label)
-            continue
-        left = found[before[i]].label if before[i] >= 0 else ""
-        right = found[after[i]].label if after[i] < n else ""
-        if b.article or not left and not right:
-            given.append("good")  # an article's furniture and link lists are decided; nothing else of it may go
-        elif left == right or not left or not right:
-            given.append(left or right)
-        else:
-            nearer_left, nearer_right = i - before[i], after[i] - i
-            given.append(left if nearer_left < nearer_right else right if nearer_right < nearer_left else "good" if len(b.text) >= SHORT else "bad")
-    for b, label in zip(found, given):
-        b.label = label
+        if b.article and not b.furniture:
+            by_article[b.article].append(i)
+    given = _inherited(found, whole, "") | {i: x for own in by_article.values() for i, x in _inherited(found, own, "good").items()}
+    for i, label in given.items():
+        found[i].label = label
+
+
+def _inherited(found: list[Block], places: list[int], ends: str) -> dict[int, str]:
+    """Labels for the undecided blocks among ``places``, whose two ends have the label ``ends``; ties and no labels at all are good."""
+    labels = [ends, *(found[i].label for i in places), ends]
+    left, right = [0] * len(labels), [len(labels) - 1] * len(labels)
+    for i in range(1, len(labels)):
+        left[i] = i - 1 if labels[i - 1] else left[i - 1]
+    for i in range(len(labels) - 2, -1, -1):
+        right[i] = i + 1 if labels[i + 1] else right[i + 1]
+    given = {}
+    for i, place in enumerate(places, 1):
+        if not labels[i]:
+            a, b, nearer = labels[left[i]], labels[right[i]], (i - left[i]) - (right[i] - i)
+            if a == b or not a or not b:
+                given[place] = a or b or "good"
+            elif nearer:
+                given[place] = a if nearer < 0 else b
+            else:
+                given[place] = "good" if ends or len(found[place].text) >= SHORT else "bad"
+    return given
 
 
 def main_text(page: str | None) -> tuple[str, int, int]:
