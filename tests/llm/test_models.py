@@ -1,10 +1,13 @@
 """Classifiers by held-out accuracy and planted cases; neighbours against brute force; the pipeline stage by stage."""
 
+import random
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from waygrid.llm import ann, langid, quality, queries, toxicity
+from waygrid.llm import ann, decontaminate, langid, minhash, quality, queries, toxicity
 
 
 def agreement(found, truth, column, key="doc_id"):
@@ -67,8 +70,7 @@ def test_language_odd_texts(spark):
 
 
 def test_language_small_and_many_languages(spark, monkeypatch):
-    monkeypatch.setattr(langid, "WORDS", 40)
-    monkeypatch.setattr(langid, "GRAMS", 40)
+    monkeypatch.setattr(langid, "KNOWN", 0.004)
     hot = [(f"en{i} the{i % 50} and{i % 60} of{i % 70}", "en") for i in range(600)]
     rare = [("გამარჯობა მეგობარო", "zz")]  # in its own script, far behind the hot language's counts
     model = langid.learn(spark.createDataFrame(hot + rare, "text string, lang string"))
@@ -113,3 +115,165 @@ def test_pipeline_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == docs.count() and last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert corpus_pipeline.STAGES[0][1](spark, docs.limit(0), sf).count() == 0
+
+
+def naive_swaps(text):
+    """Feature sets of whole sentences before and after each swap."""
+    found = {}
+    for sentence in toxicity.SENTENCE.findall(text.lower()):
+        words = toxicity.WORD.findall(sentence)
+        for i, word in enumerate(words):
+            for other in toxicity.SWAPS.get(word, ()):
+                a, b = (set(toxicity.features(x).tolist()) for x in (sentence, " ".join(words[:i] + [other] + words[i + 1 :])))
+                if a != b:
+                    change = tuple(sorted(a - b)), tuple(sorted(b - a))
+                    found[change] = found.get(change, 0) + 1
+    return sorted((*k, n) for k, n in found.items())
+
+
+def test_swaps_equal_those_of_whole_sentences():
+    rng = random.Random(4)
+    words = [*list(toxicity.SWAPS)[:14], "muslimhood", "the", "christi", "womenfolk", "transgende"]
+    for _ in range(200):
+        text = " ".join(rng.choice(words) + rng.choice(["", "", ". "]) for _ in range(15))
+        assert toxicity.swapped(text) == naive_swaps(text)
+
+
+def test_a_long_sentence_of_names_is_quick():
+    text = " ".join(f"{name} word{i}" for i in range(300) for name in toxicity.SWAPS) + " women"
+    began = time.time()
+    toxicity.swapped(text)
+    assert time.time() - began < 1
+
+
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en"), (2, "\u00b2\u00bd \u2460 12 _", "en"), (3, "a\u00b2", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark, docs, langid.learn(docs)).collect()}
+    assert got[2] == "und" and got[3] == "en"
+
+
+def test_language_scores_equal_a_plain_count(spark):
+    """Word counts, n-gram counts and sums of logs worked out with dictionaries."""
+    rows = [("the cat and the dog", "en"), ("der hund und die katze", "de"), ("a dog and a cat", "en"), ("die katze", "de"), (None, "en"), ("x", None)]
+    words = {}
+    for text, lang in rows:
+        if text and lang:
+            for w in text.split():
+                words.setdefault(lang, {}).setdefault(w, 0)
+                words[lang][w] += 1
+    parts = {lang: {} for lang in words}
+    for lang, counts in words.items():
+        for w, n in counts.items():
+            for size in range(1, 5):
+                for g in langid.grams(w, size):
+                    parts[lang][g] = parts[lang].get(g, 0) + n
+    known = [{x for counts in table.values() for x in counts} for table in (words, parts)]
+
+    def score(text, lang):
+        total = 0.0
+        for w in text.split():
+            table, own, names = (words, [w], known[0]) if w in known[0] else (parts, [], known[1])
+            for size in range(4, 0, -1):
+                if own:
+                    break
+                own = [g for g in langid.grams(w, size) if g in known[1]]
+                weight = 1 / size
+            weight = 1.0 if table is words else weight
+            for x in own:
+                total += weight * np.log((table[lang].get(x, 0) + langid.ALPHA) / (sum(table[lang].values()) + langid.ALPHA * len(names)))
+        return total
+
+    asked = ["the hund", "kat", "catze und", "dogged"]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    guesser = langid.Guesser(model)
+    for text in asked:
+        want = {lang: score(text, lang) for lang in ("de", "en")}
+        best = max(sorted(want), key=want.get)
+        share = 1 / sum(np.exp((want[x] - want[best]) / np.sqrt(len(text.split()))) for x in want)
+        lang, got = guesser.guess(text)
+        assert lang == best and abs(got - share) < 1e-4
+
+
+def test_ridge_equals_a_direct_solution(spark):
+    rng = np.random.default_rng(2)
+    stats = rng.normal(size=(300, len(quality.STATISTICS)))
+    labels = (stats[:, 0] > 0).astype(float)
+    spread = quality.FourierMap(stats.mean(axis=0), stats.std(axis=0))
+    rows = spark.createDataFrame([([float(v) for v in s], float(y), i % quality.FOLDS) for i, (s, y) in enumerate(zip(stats, labels))], "stats array<double>, label double, fold int").repartition(5)
+    sums = quality._normal_equations(rows, spread)
+    x = spread(stats)
+    assert np.allclose(sum(sums), x.T @ np.hstack([x, labels[:, None]]))
+    for f in range(quality.FOLDS):
+        own = x[np.arange(300) % quality.FOLDS == f]
+        assert np.allclose(sums[f][:, :-1], own.T @ own)
+    penalty = quality.RIDGE * 300 * np.eye(x.shape[1]) / quality.FEATURES
+    penalty[-1, -1] = 1e-9
+    assert np.allclose(quality._solved(sum(sums)), np.linalg.solve(x.T @ x + penalty, x.T @ labels), atol=1e-6)
+
+
+def test_deep_buckets_and_split_blocks_find_neighbours(spark, monkeypatch):
+    """Composed rotations, and blocks so small that rows and queries of a bucket are in several."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 32))
+    x = np.repeat(centres, 60, axis=0) + 0.25 * rng.normal(size=(2400, 32))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    for name, value in (("ROOM", 8), ("BLOCK", 16), ("ASKED", 3)):
+        monkeypatch.setattr(ann, name, value)
+    assert ann.depth_for(2400, 64) == 2
+    rows = df.selectExpr("vec_id as id", "embedding as vector")
+    few = ann.probes_needed(rows, rows.filter("id % 20 = 0"), 2, 10)
+    assert few < 0.05 * ann.TABLES * 64 * 64  # clustered vectors need few of all buckets
+    got = ann.nearest(df, df.filter("vec_id % 20 = 0"), k=10).toPandas()
+    hits = 0
+    for q, mine in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        best = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        hits += len(set(best) & set(mine["vec_id"]))
+        assert np.allclose(sorted(mine["score"]), mine.sort_values("rank")["score"]) and np.allclose(mine["score"], d[mine["vec_id"]], rtol=1e-12)
+    assert hits / (10 * 120) >= 0.9
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    plain = "the boat came into the harbour and all of the people were there to see it when it was morning"
+    rows = [(1, plain, "en", "a", 5), (1, plain, "en", "a", 5), (2, plain, "en", "b", 5), (None, plain, "en", "a", 5), (None, None, None, None, None), (3, None, "en", "a", 0), (4, "", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("kept"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, plain[:60])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "quality"):  # nothing could be learned: nothing goes
+        assert stages[name](spark, docs, str(tmp_path)).count() == 7, name
+    single = stages["near_duplicates"](spark, docs, str(tmp_path))
+    assert single.columns == docs.columns and sorted(str(r["doc_id"]) for r in single.collect()) == ["1", "3", "4", "None", "None"]
+    clean = stages["decontamination"](spark, docs, str(tmp_path))
+    assert sorted(str(r["doc_id"]) for r in clean.collect()) == ["3", "4", "None", "None"]
+    assert stages["byte_bpe"](spark, docs, str(tmp_path)).count() == 7
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_pipeline_equals_its_operators_one_by_one(spark):
+    """The rows of run() against decisions taken from each operator's own results, collected."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r["doc_id"]: r["score"] for r in toxicity.toxicity(spark, docs, labels).collect()}
+    docs = docs.filter(F.col("doc_id").isin([d for d, s in toxic.items() if s < 0.3]))
+    good = {r["doc_id"] for r in quality.quality(spark, docs, labels).collect() if r["score"] >= 0.3}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in good}
+    sets = {d: set(minhash.shingle_set(t, 5).tolist()) for d, t in texts.items()}
+    group = {d: d for d in sets}
+
+    def top(d):
+        while group[d] != d:
+            d = group[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                group[y] = x
+    single = {d for d in sets if top(d) == d}
+    items = [t for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if (t := decontaminate.normalised(r["text"]))]
+    matcher = decontaminate.Matcher(list(enumerate(items)), decontaminate.RATE)
+    want = {d for d in single if not matcher.matches(texts[d])}
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == want

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -143,6 +144,99 @@ def test_planted_items_are_found(spark):
     assert decontaminate.find_items(spark, spark.createDataFrame(docs, "doc_id long, text string"), none).collect() == []
 
 
+@pytest.mark.parametrize("item, text, found", [("cat", "concatenate", False), ("cat", "a Cat!", True), ("ai", "training", False), ("art", "party art", True), ("art", "", False)])
+def test_items_stand_between_words(item, text, found):
+    matcher = decontaminate.Matcher([(1, decontaminate.normalised(item))], decontaminate.RATE)
+    assert bool(matcher.matches(text)) == found
+
+
+def test_items_equal_brute_force(spark):
+    """Every item against every stretch of every text, by the plain edit distance."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(25)]
+    items = [(i if i % 5 else None, " ".join(rng.choice(words) for _ in range(rng.randint(1, 14)))) for i in range(40)]
+    docs = []
+    for i in range(60):
+        parts = [rng.choice(words) for _ in range(rng.randint(0, 30))]
+        if i % 2:
+            near = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, 5)):
+                near[rng.randrange(len(near))] = rng.choice("abcd ")
+            parts.insert(rng.randrange(len(parts) + 1), "".join(near))
+        docs.append((i, rng.choice([" ", "  ", ", "]).join(parts)))
+    want = set()
+    for d, text in docs:
+        for _, item in items:
+            a, b = decontaminate.normalised(item), decontaminate.normalised(text)
+            distance = naive_distance(a, b) if b else 99
+            if distance <= int(decontaminate.RATE * (len(a) - 2)):
+                want.add((d, item, distance))
+    by_key = {}
+    for k, item in items:
+        by_key.setdefault(k, set()).add(item)
+    got = decontaminate.find_items(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), scan=300)
+    pairs = sorted((r["doc_id"], str(k), n) for r in got.collect() for k, n in zip(r["item_ids"], r["distances"]))
+    assert pairs == sorted((d, str(k), n) for d, item, n in want for k, other in items if other == item) and pairs
+
+
+def test_long_runs_are_linear_and_bounded():
+    coder = bpe.ByteBPE(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(2)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "\u7684\u4e00\u662f\u4e0d\u4e86", "ab"):
+        text = "".join(rng.choice(alphabet) for _ in range(200_000))
+        began = time.time()
+        ids = coder.encode(text)
+        assert time.time() - began < 5 and coder.decode(ids) == text.encode()
+        assert coder.encode(text[:3000]) == THEIRS.encode_ordinary(text[:3000])
+    assert max(map(len, [*coder.runs, *coder.pieces]), default=0) <= bpe.KEPT
+
+
+@pytest.mark.parametrize("page", ["<b>" * 8000 + "</i>" * 8000, "<a " * 8000, "<a " * 8000 + "'>", '<a "' * 8000, "<script " * 8000, "<div>" + "<b>" * 8000 + "<hr>" * 8000, "<i><div>" + "<b>" * 8000 + "</i>" * 8000, "<article>" + "<p><a>x</a></p>" * 8000])
+def test_broken_pages_take_no_longer(page):
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 1
+
+
+PROSE = "the cat and the dog are in the house and they have been there for a long time with all of their friends and it was good for them to be there "
+
+
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        # A teaser of links and the short line between two of them go; a lone link line and low-density text between prose stay.
+        (f"<p>{PROSE}</p><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul><p>See also</p><ul><li><a>four</a><li><a>five</a><li><a>six</a></ul><p>{PROSE}</p>", f"{PROSE}{PROSE}"),
+        (f"<p>{PROSE}</p><p><a>Source</a></p><p>{PROSE}</p>", f"{PROSE}Source {PROSE}"),
+        (f"<p>{PROSE}</p><pre>x = 1; y = 2; zz = foo(bar, 3); qq = foo(bar, 4); rr = foo(bar, 5); ss = x</pre>", f"{PROSE}x = 1; y = 2; zz = foo(bar, 3); qq = foo(bar, 4); rr = foo(bar, 5); ss = x"),
+        (f"<p>{PROSE}</p><p><a>Harbour tickets today</a> <a>Bridge opening soon</a> <a>Market prices rising</a> <a>Weather outlook</a></p>", PROSE),
+        ("<p>Short</p><form>Subscribe</form><p>End</p>", "Short End"),
+    ],
+)
+def test_densities_decide_inside_articles(inside, text):
+    assert html.main_text(f"<nav><a>Home</a></nav><article>{inside}</article>")[0] == " ".join(text.split())
+
+
+def test_both_passes_decide_blocks_of_pages(spark):
+    """How many blocks of the driver's pages each pass decides, and both against a plain restatement of the rules."""
+    decided = {"density": 0, "neighbours": 0}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        found = html.blocks(r["html"] or "")
+        html.first_pass(found)
+        own = [b for b in found if b.article and not b.furniture]
+        for b in own:
+            words = html.WORD.findall(b.text.lower())
+            dense = sum(w in html.STOP_WORDS for w in words) >= html.SOME_STOPS * max(1, len(words))
+            assert b.label == ("good" if len(b.text) >= html.SHORT and dense and b.links <= html.MANY_LINKS * len(b.text) else "")
+        first = [b.label for b in own]
+        html.second_pass(found)
+        for i, b in enumerate(own):
+            near = sorted((abs(i - j), x != "good") for j, x in [(-1, "good"), *((j, x) for j, x in enumerate(first) if x), (len(own), "good")])
+            assert b.label == ("bad" if near[0][1] else "good")
+        decided["density"] += sum(map(bool, first))
+        decided["neighbours"] += len(first) - sum(map(bool, first))
+    assert decided["density"] > 1000 and decided["neighbours"] > 500
+
+
 def test_licenses_are_stated_or_inherited(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."),
