@@ -1,11 +1,14 @@
 """Edge cases of operators that the driver's tables don't hold."""
 
+import itertools
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from waygrid.functions import geo, text
-from waygrid.operators import network, spatial
+from waygrid.operators import lines, network, spatial
 from waygrid.plans import paths
 from waygrid.plans.components import connected_components
 from waygrid.sources.literals import literal_to_json
@@ -18,6 +21,66 @@ def test_literals():
     assert literal_to_json("{[1] = 'a', [2] = 'b'}") == '["a", "b"]'
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("{0x1F, -0x10, .5, 1e3}", "[31, -16, 0.5, 1000.0]"),
+        ("--[[ long\n]] x = [==[a]]b]==]", '{"x": "a]]b"}'),
+        ("{'\\65\\x42\\195\\169\\z   \n c'}", '["ABéc"]'),
+        ("{inf, -inf, nan, -nan(ind), 1.#INF}", '["inf", "-inf", "nan", "nan", "inf"]'),
+        ("A = 1\nB = {[1414] = {n = {}}}", '{"A": 1, "B": {"1414": {"n": {}}}}'),
+        ("{1 2}", None), ("{a=,}", None), ("{1}}", None), ("x = f()", None), ("", None), ("{a = 1,, b = 2}", None),
+    ],
+)
+def test_forms_of_literals(text, want):
+    assert literal_to_json(text) == want
+
+
+def test_first_wins_equals_a_plain_loop(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), i, float(rng.randrange(60)), float(rng.randrange(60))) for i in range(400)] + [(1, 1000 + i, 5.0, 5.0) for i in range(50)]
+    want = {}
+    for kind, at, x, y in sorted(rows):
+        near = [k for k in want if k[0] == kind and (k[2] - x) ** 2 + (k[3] - y) ** 2 <= 49]
+        key = min(near, key=lambda k: k[1]) if near else (kind, at, x, y)
+        want[key] = want.get(key, 0) + 1
+    df = spark.createDataFrame(rows, "kind int, at long, x double, y double")
+    got = {(r["kind"], r["kept"], r["x"], r["y"]): r["n"] for r in lines.merged_near(df, ["kind"], "at", 7.0).collect()}
+    assert got == want
+    assert lines.merged_near(df.limit(0), ["kind"], "at", 7.0).count() == 0
+
+
+def test_orders_of_trips_of_any_length(spark):
+    rng = random.Random(5)
+    legs = []
+    for trip, n in ((1, 1), (2, 3), (3, 5), (4, 9)):
+        at = [(rng.random(), rng.random()) for _ in range(n + 1)]
+        legs += [(trip, i, j, ((at[i][0] - at[j][0]) ** 2 + (at[i][1] - at[j][1]) ** 2) ** 0.5) for i in range(n + 1) for j in range(n + 1) if i != j]
+    cost = {leg[:3]: leg[3] for leg in legs}
+    got = {r["trip"]: (r["stops"], r["total"]) for r in paths.best_orders(spark.createDataFrame(legs, "trip long, i long, j long, cost double")).collect()}
+    for trip, n in ((1, 1), (2, 3), (3, 5)):
+        best = min(sum(cost[trip, a, b] for a, b in zip((0, *p), p)) for p in itertools.permutations(range(1, n + 1)))
+        assert abs(got[trip][1] - best) < 1e-9 and sorted(got[trip][0]) == list(range(1, n + 1))
+    assert sorted(got[4][0]) == list(range(1, 10)) and abs(sum(cost[4, a, b] for a, b in zip((0, *got[4][0]), got[4][0])) - got[4][1]) < 1e-9
+
+
+def test_wide_circles_are_one_town(spark, tmp_path):
+    rows = [(0, 0), (1, 1), (3, 3)]
+    spark.createDataFrame([(k, n, "x") for k, n in rows], "c_custkey long, c_nationkey int, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    at = {k: (k * 7919 % 10007, k * 104729 % 10009) for k, _ in rows}
+    from waygrid.queries import graph
+    from waygrid.sources import fixtures
+
+    wide = fixtures.TABLES["circles"].replace("35 + c_custkey % 30", "5500")
+    assert max(abs(at[0][i] - at[1][i]) for i in (0, 1)) > 200
+    original, fixtures.TABLES["circles"] = fixtures.TABLES["circles"], wide
+    try:
+        towns = {r["cid"]: r["town"] for r in graph.hostile_towns(spark, str(tmp_path)).collect()}
+    finally:
+        fixtures.TABLES["circles"] = original
+    assert towns[0] == towns[1] == 0
+
+
 def test_components_of_a_chain_and_odd_rows(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (7, 3)], "a long, b long").union(spark.createDataFrame([(None, 5)], "a long, b long"))
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}

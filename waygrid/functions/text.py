@@ -58,5 +58,6 @@ def distance_text(yards: Column) -> Column:
 
 
 def turn_text(degrees: Column) -> Column:
-    size, side = F.abs(degrees), F.when(degrees > 0, "right").otherwise("left")
+    """A turn in words; positive angles are to the left, as headings turn with x north and y west."""
+    size, side = F.abs(degrees), F.when(degrees > 0, "left").otherwise("right")
     return F.when(size < 20, "straight on").when(size < 60, F.concat(F.lit("bear "), side)).when(size < 120, F.concat(F.lit("turn "), side)).when(size < 160, F.concat(F.lit("sharp "), side)).otherwise("turn around")

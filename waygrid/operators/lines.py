@@ -1,7 +1,7 @@
 """Polylines: simplification, smoothing, packing and turn detection, one line at a time in a task.
 
 Lines are arrays of structs ``x, y``; what can be said with array functions is, and only scans that carry state
-along a line (Douglas-Peucker, greedy merges) run as Arrow-fed Python over one line.
+along a line (Douglas-Peucker) run as Arrow-fed Python over one line.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waygrid.plans.scratch import discard, written
+
 
 def length(points: Column) -> Column:
     """Sum of the segment lengths."""
@@ -88,34 +90,40 @@ def simplify(lines: DataFrame, tolerance: float, points: str = "points") -> Data
 def merged_near(rows: DataFrame, group: list[str], order: str, reach: float) -> DataFrame:
     """First-wins within ``reach``: rows of a group in ``order``, each joining the first kept row near it.
 
-    ``kept, n``: the kept rows' order value and how many rows it stands for.  The greedy rule depends on order,
-    so a group (one name on one level) is read by one task, as a stream that holds only the kept rows.
+    ``*group, kept, x, y, n``: the kept rows' order value and place, and how many rows each stands for.  A row is kept if
+    no earlier kept row is near.  Settled in rounds over cells so small that a cell's rows are all near each other: a row
+    that comes before all undecided ones of its own and the 24 cells around is kept, and what is near it goes.  A round
+    moves one row a cell and the undecided rows, of which repeated places are one; no group is read by one task.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    columns = [*group, order, "x", "y"]
-
-    def run(batches):
-        current, kept = None, []
-
-        def done():
-            return pd.DataFrame([(*current, k[0], k[3]) for k in kept], columns=[*group, "kept", "n"])
-
-        for batch in batches:
-            for row in batch.itertuples(index=False, name=None):
-                key, (at, x, y) = row[: len(group)], row[len(group) :]
-                if key != current:
-                    if kept:
-                        yield done()
-                    current, kept = key, []
-                for k in kept:
-                    if (k[1] - x) ** 2 + (k[2] - y) ** 2 <= reach * reach:
-                        k[3] += 1
-                        break
-                else:
-                    kept.append([at, x, y, 1])
-        if kept:
-            yield done()
-
-    dealt = rows.select(*columns).repartition(*group).sortWithinPartitions(*group, order)
-    schema = ", ".join([*(f"{g} {kinds[g]}" for g in group), f"kept {kinds[order]}", "n bigint"])
-    return dealt.mapInPandas(run, schema)
+    size = reach / np.sqrt(2) * (1 - 1e-9)
+    cell = [*group, "cx", "cy"]
+    every = rows.groupBy(*group, "x", "y").agg(F.min(order).alias("o"), F.count("*").alias("n"))
+    every = written(every.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)}), "places")
+    around = F.explode(F.expr("transform(sequence(0, 24), i -> struct(i div 5 - 2 AS dx, i % 5 - 2 AS dy))"))
+
+    def seen_around(df: DataFrame, what: Column) -> DataFrame:
+        """``*cell, it``: what each cell's neighbourhood holds."""
+        df = df.select(*cell, what.alias("it"), around.alias("s"))
+        return df.select(*group, (F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), "it")
+
+    def near(df: DataFrame, kept: DataFrame) -> DataFrame:
+        d = (F.col("x") - F.col("it.x")) * (F.col("x") - F.col("it.x")) + (F.col("y") - F.col("it.y")) * (F.col("y") - F.col("it.y"))
+        return df.join(seen_around(kept, F.struct("o", "x", "y")), cell).filter(d <= reach * reach)
+
+    left, kept = every, None
+    while left.limit(1).count():
+        first = written(left.groupBy(*cell).agg(F.min(F.struct("o", "x", "y")).alias("first")), "first")
+        rivals = seen_around(first, F.col("first")).groupBy(*cell).agg(F.min("it").alias("rival"))
+        won = written(first.join(rivals, cell).filter("first = rival").select(*cell, "first.o", "first.x", "first.y"), "kept")
+        gone = near(left, won).select(*cell, "x", "y").distinct()
+        rest = written(left.join(gone, [*cell, "x", "y"], "left_anti"), "undecided")
+        kept = won if kept is None else kept.unionByName(won)
+        if left is not every:
+            discard(left)
+        discard(first)
+        left = rest
+    if kept is None:
+        return every.select(*group, F.col("o").alias("kept"), "x", "y", "n")
+    counted = near(every, kept).filter(F.struct("it.o", "it.x", "it.y") <= F.struct("o", "x", "y"))
+    counted = counted.groupBy(*group, "x", "y", "n").agg(F.min("it").alias("it")).groupBy(*group, "it").agg(F.sum("n").alias("n"))
+    return counted.select(*group, F.col("it.o").alias("kept"), "it.x", "it.y", "n")

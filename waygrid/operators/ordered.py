@@ -39,18 +39,22 @@ def split_where_far(df: DataFrame, by: list[str], order: list[str], gap: float)
 def points_at(lines: DataFrame, asked: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Linear referencing: for each ``at`` of ``asked`` the point of the line there, clamped to its ends.
 
-    ``lines`` has points ``x, y``; both share the columns ``by``.
+    ``lines`` has points ``x, y``; both share the columns ``by``.  One pass over both sides in order of the distance
+    along the line, so no pair of a place and a leg is formed.
     """
     w = Window.partitionBy(*by).orderBy(*order)
-    marked = steps(lines, by, order)
     ends = {"nx": F.lead("x").over(w), "ny": F.lead("y").over(w), "until": F.lead("along").over(w)}
-    legs = marked.withColumns(ends).withColumn("total", F.max("along").over(Window.partitionBy(*by)))
-    both = asked.join(legs, by)
-    s = F.greatest(F.lit(0.0), F.least(F.col("at"), F.col("total")))
-    on = (s >= F.col("along")) & ((s < F.col("until")) | F.col("until").isNull())
-    share = F.when(F.col("until") > F.col("along"), (s - F.col("along")) / (F.col("until") - F.col("along"))).otherwise(0.0)
+    marked = steps(lines, by, order).withColumns(ends)
+    leg = F.struct("along", "until", "x", "y", "nx", "ny").alias("_leg")
+    legs = marked.select(*by, F.col("along").alias("_s"), F.lit(0).alias("_side"), F.struct(*order).alias("_order"), leg)
+    legs = legs.withColumn("_asked", F.lit(None).cast(asked.select(F.struct(*asked.columns).alias("a")).schema["a"].dataType))
+    places = asked.select(*by, F.greatest(F.lit(0.0), "at").alias("_s"), F.lit(1).alias("_side"), F.struct(*asked.columns).alias("_asked"))
+    both = legs.unionByName(places, allowMissingColumns=True)
+    last = F.last("_leg", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_s", "_side", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = both.withColumn("_leg", last).filter("_side = 1 AND _leg IS NOT NULL").select("_asked.*", "_leg", "_s")
+    share = F.when(F.col("_leg.until") > F.col("_leg.along"), (F.col("_s") - F.col("_leg.along")) / (F.col("_leg.until") - F.col("_leg.along"))).otherwise(0.0)
     lerp = lambda a, b: F.col(a) + share * (F.coalesce(b, a) - F.col(a))
-    return both.filter(on).select(*asked.columns, lerp("x", "nx").alias("px"), lerp("y", "ny").alias("py"))
+    return met.select(*asked.columns, lerp("_leg.x", "_leg.nx").alias("px"), lerp("_leg.y", "_leg.ny").alias("py"))
 
 
 def padded_stretches(samples: DataFrame, by: list[str], order: str, off: str) -> DataFrame:

@@ -35,8 +35,8 @@ def end_samples(segments: DataFrame, step: float) -> DataFrame:
 def neighbours(cells: DataFrame, offsets: list[tuple[int, int]], value: str = "v") -> DataFrame:
     """For each cell one row for each offset: ``r, c, dr, dc, other``; ``other`` is null beyond the grid.
 
-    Each cell is sent to the places that look at it and meets itself there in one aggregation, so the cost is
-    one shuffle of offsets times cells, with no join.
+    Each cell is sent to the places that look at it and meets them in an equi-join on the place, so the cost is one
+    shuffle of offsets times cells, with no range join.
     """
     sent = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in offsets]))
     looks = cells.select("r", "c", F.col(value).alias("other"), sent.alias("o")).select((F.col("r") - F.col("o.dr")).alias("r"), (F.col("c") - F.col("o.dc")).alias("c"), "o.dr", "o.dc", "other")

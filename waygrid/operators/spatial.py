@@ -27,6 +27,19 @@ def point_buckets(df: DataFrame, size: float, x: str = "x", y: str = "y") -> Dat
     return df.withColumns({"bx": bucket(F.col(x), size), "by": bucket(F.col(y), size)})
 
 
+def segment_buckets(df: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column, size: float) -> DataFrame:
+    """Repeat each row for every bucket that its segment passes through, column by column of buckets.
+
+    So a segment costs its length, not its bounding box.  A trace of slack keeps rounding from losing a bucket.
+    """
+    slack, width = 1e-6 * size, x2 - x1
+    df = df.withColumn("bx", F.explode(F.sequence(bucket(F.least(x1, x2) - slack, size), bucket(F.greatest(x1, x2) + slack, size))))
+    at = lambda x: y1 + (y2 - y1) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - x1) / width))
+    a = F.when(F.abs(width) <= slack, y1).otherwise(at(F.col("bx") * size - slack))
+    b = F.when(F.abs(width) <= slack, y2).otherwise(at((F.col("bx") + 1) * size + slack))
+    return df.withColumn("by", F.explode(F.sequence(bucket(F.least(a, b) - slack, size), bucket(F.greatest(a, b) + slack, size))))
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
     """Pairs of points ``x, y`` and boxes ``minx, maxx, miny, maxy``, borders included."""
     dealt = in_buckets(boxes, F.col("minx"), F.col("maxx"), F.col("miny"), F.col("maxy"), size)
@@ -87,8 +100,7 @@ def crossings(paths: DataFrame, walls: DataFrame, path_id: str, wall_id: str, si
     """
     p = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     w = [F.col(c) for c in ("wx1", "wy1", "wx2", "wy2")]
-    box = lambda c: (F.least(c[0], c[2]), F.greatest(c[0], c[2]), F.least(c[1], c[3]), F.greatest(c[1], c[3]))
-    left, right = in_buckets(paths, *box(p), size), in_buckets(walls, *box(w), size)
+    left, right = segment_buckets(paths, *p, size), segment_buckets(walls, *w, size)
     a, b = geo.orient(*w, p[0], p[1]), geo.orient(*w, p[2], p[3])
     c, d = geo.orient(*p, w[0], w[1]), geo.orient(*p, w[2], w[3])
     pairs = left.join(right, ["bx", "by"]).filter((a * b < 0) & (c * d <= 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     A round sends each node's label over its edges and keeps the minimum (``min`` combines before the shuffle,
     so a hub costs one row a task), then lets each label take its own label (so a chain of n nodes takes about
     log n rounds).  Labels are written each round: the two sides of every join are plain scans, so the adaptive
-    skew join can split a hub.  The driver sees one number a round.
+    skew join can split a hub.  The driver sees one number a round; tables of earlier rounds are deleted.
 
     Null ends, loops and repeated edges are ignored (a loop alone still makes its node a component).
     """
@@ -30,6 +30,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         new = best.join(up, F.col("label") == F.col("at"), "left").select("node", F.least("label", "up").alias("label"), "old")
         new = written(new, "labels")
         changed = new.filter("label <> old").limit(1).count()
+        discard(labels, best)
         labels = new.select("node", "label")
         if not changed:
+            discard(both)
             return labels.withColumnRenamed("label", "component")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -24,33 +24,112 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = No
         both = reached.withColumn("old", F.lit(None).cast("double")).unionByName(best.withColumn("old", F.col("cost")))
         both = both.groupBy("source", "node").agg(F.min("cost").alias("cost"), F.min("old").alias("old"))
         both = written(both.withColumn("improved", F.col("old").isNull() | (F.col("cost") < F.col("old"))), "costs")
+        discard(best)
         best, frontier, done = both.select("source", "node", "cost"), both.filter("improved").select("source", "node", "cost"), done + 1
         if not frontier.limit(1).count():
             break
+    discard(edges)
     return best
 
 
+def predecessors(costs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``source, node, cost, prev``: the node before each on a cheapest way (the smallest of several); null at a source.
+
+    ``costs`` is what ``shortest_paths`` gives; an edge is on a cheapest way if it makes up the whole difference.  One join
+    after the search, so the search itself carries no ways.  Weights must be positive, or ways could turn in circles.
+    """
+    ends = costs.select(F.col("source").alias("_s"), F.col("node").alias("_n"), F.col("cost").alias("_c"))
+    steps = costs.join(edges.select("a", "b", "w"), F.col("node") == F.col("a")).select("source", F.col("node").alias("prev"), F.col("b").alias("to"), (F.col("cost") + F.col("w")).alias("there"))
+    steps = steps.join(ends, (F.col("source") == F.col("_s")) & (F.col("to") == F.col("_n")) & (F.col("there") == F.col("_c")))
+    best = steps.groupBy(F.col("source").alias("_s"), F.col("to").alias("_n")).agg(F.min("prev").alias("prev"))
+    return costs.join(best, (F.col("source") == F.col("_s")) & (F.col("node") == F.col("_n")), "left").select("source", "node", "cost", "prev")
+
+
+def routes(costs: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """``source, target, seq, node, cost``: the nodes of a cheapest way to each of ``targets`` (``source, target``), from the start on.
+
+    All ways are walked back together, one step a round: a round joins the places they have reached with the table of
+    predecessors and writes these places alone.
+    """
+    tree = written(predecessors(costs, edges), "tree")
+    at = targets.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("back"))
+    done: list[DataFrame] = []
+    while True:
+        met = at.join(tree.select(F.col("source").alias("_s"), F.col("node").alias("_n"), "cost", "prev"), (F.col("source") == F.col("_s")) & (F.col("node") == F.col("_n")))
+        step = written(met.select("source", "target", "node", "cost", "prev", "back"), "route")
+        done.append(step)
+        at = step.filter("prev IS NOT NULL").select("source", "target", F.col("prev").alias("node"), F.col("back") + 1)
+        at = at.toDF("source", "target", "node", "back")
+        if not at.limit(1).count():
+            break
+    rows = done[0] if len(done) == 1 else done[0].sparkSession.read.schema(done[0].schema).parquet(*[f.rsplit("/", 1)[0] for df in done for f in df.inputFiles()[:1]])
+    seq = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.desc("back")))
+    return rows.select("source", "target", seq.alias("seq"), "node", "cost")
+
+
 def assigned_nearest(costs: DataFrame, targets: DataFrame, tie: Column | None = None) -> DataFrame:
     """``node, source, cost``: for each target node the source that reaches it soonest; ties by ``tie``, then source."""
     order = F.struct("cost", *([tie.alias("tie")] if tie is not None else []), "source")
     return costs.join(targets, "node").groupBy("node").agg(F.min(order).alias("best")).select("node", "best.source", "best.cost")
 
 
-def best_orders(legs: DataFrame, stops: int) -> DataFrame:
-    """``trip, stops, total``: the cheapest order of up to seven stops of each trip, starting at stop 0.
+#: Stops up to which every order is weighed.
+EXACT_STOPS = 7
 
-    ``legs`` has ``trip, i, j, cost`` for ordered pairs of the stops 0..n.  Partial orders with the same set and
-    last stop keep only the cheapest, so a trip never has more than 2^n * n of them.  Equal totals take the
-    smaller list of stops.
+
+def best_orders(legs: DataFrame, most: int = EXACT_STOPS) -> DataFrame:
+    """``trip, stops, total``: a cheap order of all stops of each trip, starting at stop 0.
+
+    ``legs`` has ``trip, i, j, cost`` for ordered pairs of the stops 0..n.  Trips with up to ``most`` stops after the
+    first get the cheapest order: partial orders with the same set and last stop keep only the cheapest, so a trip never
+    has more than 2^n * n of them; equal totals take the smaller list of stops.  Longer trips get the nearest-neighbour
+    order improved by 2-opt on the mean of both directions.
     """
     legs = written(legs, "legs")
-    state = legs.filter("i = 0 AND j > 0").select("trip", F.expr("shiftleft(1, CAST(j AS INT))").alias("seen"), F.col("j").alias("last"), "cost", F.array("j").alias("stops"))
-    for _ in range(stops - 1):
-        step = state.join(legs.select("trip", "i", "j", F.col("cost").alias("leg")), "trip").filter("i = last AND j > 0 AND shiftright(seen, CAST(j AS INT)) % 2 = 0")
-        step = step.select("trip", F.expr("seen + shiftleft(1, CAST(j AS INT))").alias("seen"), F.col("j").alias("last"), (F.col("cost") + F.col("leg")).alias("cost"), F.concat("stops", F.array("j")).alias("stops"))
-        step = step.groupBy("trip", "seen", "last").agg(F.min(F.struct("cost", "stops")).alias("best")).select("trip", "seen", "last", "best.cost", "best.stops")
+    sizes = written(legs.groupBy("trip").agg(F.max("i").cast("int").alias("n")), "sizes")
+    short = legs.join(sizes.filter(F.col("n") <= most), "trip")
+    state = short.filter("i = 0 AND j > 0").select("trip", "n", F.expr("shiftleft(1, CAST(j AS INT))").alias("seen"), F.col("j").alias("last"), "cost", F.array("j").alias("stops"))
+    full = state.filter("n = 1")
+    longest = min(most, sizes.agg(F.max("n")).first()[0] or 0)
+    for done in range(2, longest + 1):
+        step = state.filter(F.col("n") >= done).join(legs.select("trip", "i", F.col("j").alias("to"), F.col("cost").alias("leg")), "trip")
+        step = step.filter("i = last AND to > 0 AND shiftright(seen, CAST(to AS INT)) % 2 = 0")
+        step = step.select("trip", "n", F.expr("seen + shiftleft(1, CAST(to AS INT))").alias("seen"), F.col("to").alias("last"), (F.col("cost") + F.col("leg")).alias("cost"), F.concat("stops", F.array("to")).alias("stops"))
+        step = step.groupBy("trip", "n", "seen", "last").agg(F.min(F.struct("cost", "stops")).alias("best")).select("trip", "n", "seen", "last", "best.cost", "best.stops")
         state = written(step, "orders")
-    return state.groupBy("trip").agg(F.min(F.struct("cost", "stops")).alias("best")).select("trip", F.col("best.stops").alias("stops"), F.col("best.cost").alias("total"))
+        full = full.unionByName(state.filter(F.col("n") == done))
+    exact = full.groupBy("trip").agg(F.min(F.struct("cost", "stops")).alias("best")).select("trip", F.col("best.stops").alias("stops"), F.col("best.cost").alias("total"))
+    return exact.unionByName(_two_opt_orders(legs.join(sizes.filter(F.col("n") > most), "trip").select("trip", "i", "j", "cost")))
+
+
+def _two_opt_orders(legs: DataFrame) -> DataFrame:
+    """``trip, stops, total`` of trips with many stops; a trip is one itinerary typed by a person, handled by one call."""
+    import numpy as np
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in legs.schema.fields}
+
+    def order(rows: pd.DataFrame) -> pd.DataFrame:
+        n = int(max(rows["i"].max(), rows["j"].max())) + 1
+        cost = np.zeros((n, n))
+        cost[rows["i"].astype(int), rows["j"].astype(int)] = rows["cost"]
+        mean, way, left = (cost + cost.T) / 2, [0], set(range(1, n))
+        while left:
+            way.append(min(left, key=lambda j: (mean[way[-1], j], j)))
+            left.remove(way[-1])
+        better = True
+        while better:  # an open way: its end has no leg after it
+            better = False
+            for i in range(1, n - 1):
+                for j in range(i + 1, n):
+                    after = mean[way[j], way[j + 1]] - mean[way[i], way[j + 1]] if j + 1 < n else 0.0
+                    if mean[way[i - 1], way[i]] - mean[way[i - 1], way[j]] + after > 1e-9:
+                        way[i : j + 1] = way[i : j + 1][::-1]
+                        better = True
+        total = float(sum(cost[a, b] for a, b in zip(way, way[1:])))
+        return pd.DataFrame({"trip": rows["trip"].iloc[:1], "stops": [way[1:]], "total": [total]})
+
+    return legs.groupBy("trip").applyInPandas(order, f"trip {kinds['trip']}, stops array<{kinds['j']}>, total double")
 
 
 def loop_orders(stops: DataFrame) -> DataFrame:

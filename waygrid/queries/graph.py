@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from waygrid.functions import geo
 from waygrid.operators import network
-from waygrid.operators.spatial import nearest_segments, points_in_circles, smallest_box
+from waygrid.operators.spatial import in_buckets, nearest_segments, points_in_circles, smallest_box
 from waygrid.plans import components, paths
 from waygrid.queries import query
 from waygrid.queries.raster import zone_yards
@@ -63,9 +63,13 @@ def place_clusters(spark, sf):
 @query("""WITH RECURSIVE e AS (SELECT a.cid AS a, b.cid AS b FROM $circles a JOIN $circles b ON a.cid <> b.cid AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= a.r + b.r + 60),
 reach AS (SELECT DISTINCT a AS node, a AS other FROM e UNION SELECT r.node, e.b AS other FROM reach r JOIN e ON r.other = e.a) SELECT node AS cid, min(other) AS town FROM reach GROUP BY node""")
 def hostile_towns(spark, sf):
-    circles = fixture(spark, sf, "circles").withColumnRenamed("r", "own")
-    other = circles.select(F.col("cid").alias("b"), F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("own") + 60 + 65).alias("r"), F.col("own").alias("theirs"))
-    links = points_in_circles(circles, other, 200).filter("cid <> b AND d <= own + theirs + 60").select(F.col("cid").alias("a"), "b")
+    """Circles that come within 60 yards of each other are one town; each is dealt out by its own radius."""
+    circles = fixture(spark, sf, "circles")
+    half = F.col("r") + 30
+    left = in_buckets(circles, F.col("x") - half, F.col("x") + half, F.col("y") - half, F.col("y") + half, 200)
+    right = left.select("bx", "by", *[F.col(c).alias(f"o_{c}") for c in ("cid", "x", "y", "r")])
+    near = geo.distance(F.col("x"), F.col("y"), F.col("o_x"), F.col("o_y")) <= F.col("r") + F.col("o_r") + 60
+    links = left.join(right, ["bx", "by"]).filter((F.col("cid") < F.col("o_cid")) & near).select(F.col("cid").alias("a"), F.col("o_cid").alias("b"))
     return components.connected_components(links).toDF("cid", "town")
 
 
@@ -138,7 +142,7 @@ def order_stops(spark, sf):
     sites = fixture(spark, sf, "sites").select(F.floor(F.col("id") / 5).alias("trip"), (F.col("id") % 5).alias("i"), "x", "y")
     other = sites.select("trip", F.col("i").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
     legs = sites.join(other, "trip").filter("i <> j").select("trip", "i", "j", geo.distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by")).alias("cost"))
-    best = paths.best_orders(legs, 4)
+    best = paths.best_orders(legs)
     return best.select("trip", F.round("total", 6).alias("total"), F.array_join(F.col("stops").cast("array<string>"), "").alias("stops"))
 
 

@@ -26,28 +26,43 @@ def line_lengths(spark, sf):
     return _lines(spark, sf).select("path", F.round(lines.length(F.col("points")), 4).alias("length"), F.size("points").cast("bigint").alias("points"))
 
 
-@query("""SELECT path, count(*) AS n, CASE WHEN count(*) < 3 THEN count(*) ELSE 2 * count(*) - 2 END AS smooth_points FROM $hops GROUP BY path""")
+@query("""WITH o AS (SELECT path, x, y, row_number() OVER w AS k, lead(x) OVER w AS nx, lead(y) OVER w AS ny, count(*) OVER (PARTITION BY path) AS n FROM $hops WINDOW w AS (PARTITION BY path ORDER BY seq, l_partkey, x, y)),
+c AS (SELECT path, n, 2 * k AS pos, x * 0.75 + nx * 0.25 AS x, y * 0.75 + ny * 0.25 AS y FROM o WHERE n > 2 AND nx IS NOT NULL AND k > 1 UNION ALL SELECT path, n, 2 * k + 1 AS pos, x * 0.25 + nx * 0.75 AS x, y * 0.25 + ny * 0.75 AS y FROM o WHERE n > 2 AND nx IS NOT NULL AND k < n - 1
+UNION ALL SELECT path, n, 2 * k + CASE WHEN k = 1 THEN 0 ELSE 1 END AS pos, x, y FROM o WHERE n < 3 OR k = 1 OR k = n)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY pos) - 1 AS k, round(x, 4) AS x, round(y, 4) AS y FROM c""")
 def smoothed_lines(spark, sf):
-    rows = _lines(spark, sf)
-    return rows.select("path", F.size("points").cast("bigint").alias("n"), F.size(lines.chaikin(F.col("points"))).cast("bigint").alias("smooth_points"))
+    smooth = _lines(spark, sf).select("path", F.posexplode(lines.chaikin(F.col("points"))).alias("k", "p"))
+    return smooth.select("path", F.col("k").cast("bigint").alias("k"), F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
 
 
-@query("SELECT path, sum(x) AS sx, sum(y) AS sy, count(*) AS n FROM $hops GROUP BY path")
+@query("SELECT path, row_number() OVER (PARTITION BY path ORDER BY seq, l_partkey, x, y) - 1 AS k, x, y FROM $hops")
 def packed_lines(spark, sf):
-    """Lines packed as steps and unpacked again."""
-    back = _lines(spark, sf).select("path", F.explode(lines.undeltas(lines.deltas(F.col("points")))).alias("p"))
-    return back.groupBy("path").agg(F.sum("p.x").alias("sx"), F.sum("p.y").alias("sy"), F.count("*").alias("n"))
+    """Lines packed as steps and unpacked again, point by point."""
+    back = _lines(spark, sf).select("path", F.posexplode(lines.undeltas(lines.deltas(F.col("points")))).alias("k", "p"))
+    return back.select("path", F.col("k").cast("bigint").alias("k"), "p.x", "p.y")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT path, x, y, row_number() OVER (PARTITION BY path ORDER BY seq, l_partkey, x, y) AS k, count(*) OVER (PARTITION BY path) AS n FROM $hops),
+cuts AS (SELECT DISTINCT path, CAST(1 AS BIGINT) AS a, n AS b FROM o UNION ALL SELECT path, unnest([a, m]) AS a, unnest([m, b]) AS b FROM (
+ SELECT path, a, b, arg_max(k, (d, -k)) AS m, max(d) AS far FROM (SELECT c.path, c.a, c.b, p.k, (p.x - u.x - t * (v.x - u.x)) * (p.x - u.x - t * (v.x - u.x)) + (p.y - u.y - t * (v.y - u.y)) * (p.y - u.y - t * (v.y - u.y)) AS d
+  FROM cuts c JOIN o u ON u.path = c.path AND u.k = c.a JOIN o v ON v.path = c.path AND v.k = c.b JOIN o p ON p.path = c.path AND p.k > c.a AND p.k < c.b,
+  LATERAL (SELECT CASE WHEN (v.x - u.x) * (v.x - u.x) + (v.y - u.y) * (v.y - u.y) = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, ((p.x - u.x) * (v.x - u.x) + (p.y - u.y) * (v.y - u.y)) / ((v.x - u.x) * (v.x - u.x) + (v.y - u.y) * (v.y - u.y)))) END AS t) l) q GROUP BY path, a, b) g WHERE far > 3600)
+SELECT o.path, o.k - 1 AS k, o.x, o.y FROM o JOIN (SELECT path, a AS k FROM cuts UNION SELECT path, b AS k FROM cuts) c ON c.path = o.path AND c.k = o.k""")
 def simplified_lines(spark, sf):
-    return lines.simplify(_lines(spark, sf), 60.0).select("path", F.size("points").alias("kept"), F.round(lines.length(F.col("points")), 3).alias("length"))
+    """The points that stay when none that goes is farther than 60 yards from the line."""
+    numbered = _lines(spark, sf).withColumn("points", F.transform("points", lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), i.alias("k"))))
+    kept = lines.simplify(numbered, 60.0).select("path", F.explode("points").alias("p"))
+    return kept.select("path", F.col("p.k").cast("bigint").alias("k"), "p.x", "p.y")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT kind, pid, x, y, row_number() OVER (PARTITION BY kind ORDER BY pid) AS n FROM $people),
+run AS (SELECT kind, CAST(1 AS BIGINT) AS n, [{'pid': pid, 'x': x, 'y': y}] AS kept, pid AS joined FROM o WHERE n = 1 UNION ALL
+ SELECT kind, n, CASE WHEN len(near) = 0 THEN list_append(kept, {'pid': pid, 'x': x, 'y': y}) ELSE kept END AS kept, CASE WHEN len(near) = 0 THEN pid ELSE near[1].pid END AS joined FROM (
+ SELECT o.kind, o.n, o.pid, o.x, o.y, r.kept, list_filter(r.kept, lambda k: (k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y) <= 160000) AS near FROM run r JOIN o ON o.kind = r.kind AND o.n = r.n + 1) q)
+SELECT kind, joined AS kept, count(*) AS n FROM run GROUP BY kind, joined""")
 def merged_same_name(spark, sf):
     """Sightings of one kind of thing within 400 yards of an earlier one count with it."""
-    return lines.merged_near(fixture(spark, sf, "people").select("kind", "pid", "x", "y"), ["kind"], "pid", 400)
+    return lines.merged_near(fixture(spark, sf, "people").select("kind", "pid", "x", "y"), ["kind"], "pid", 400).select("kind", "kept", "n")
 
 
 @query("""SELECT id, map_id, bool_or(v = 2) AS blocked FROM (SELECT s.id, s.kind AS map_id, g.v FROM $sites s LEFT JOIN $cells g ON g.r = CAST(floor(s.x / 250) AS BIGINT) AND g.c = CAST(floor(s.y / 250) AS BIGINT)) q GROUP BY id, map_id""")

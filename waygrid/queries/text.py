@@ -51,7 +51,7 @@ def distance_texts(spark, sf):
 
 
 @query("""SELECT event_id, CASE WHEN abs(t) < 20 THEN 'straight on' WHEN abs(t) < 60 THEN 'bear ' || s WHEN abs(t) < 120 THEN 'turn ' || s WHEN abs(t) < 160 THEN 'sharp ' || s ELSE 'turn around' END AS text
-FROM (SELECT event_id, t, CASE WHEN t > 0 THEN 'right' ELSE 'left' END AS s FROM (SELECT event_id, (event_id * 37) % 361 - 180 AS t FROM @events) q) p""")
+FROM (SELECT event_id, t, CASE WHEN t > 0 THEN 'left' ELSE 'right' END AS s FROM (SELECT event_id, (event_id * 37) % 361 - 180 AS t FROM @events) q) p""")
 def turn_texts(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", text.turn_text(F.col("event_id") * 37 % 361 - 180).alias("text"))
 
@@ -101,10 +101,20 @@ def decode_rows(spark, sf):
     return rows.select("r", F.posexplode(cells).alias("c", "v")).withColumn("c", F.col("c").cast("bigint"))
 
 
-@query("SELECT line_type, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT CASE CAST(c_custkey % 4 AS INTEGER) WHEN 0 THEN 'R' WHEN 1 THEN 'T' WHEN 2 THEN 'P' ELSE 'E' END AS line_type, c_custkey AS id FROM @customer) q GROUP BY line_type")
+@query("""SELECT CASE CAST(c_custkey % 4 AS INTEGER) WHEN 0 THEN 'R' WHEN 1 THEN 'T' WHEN 2 THEN 'P' ELSE 'E' END AS line_type, 0 AS level, c_custkey AS id, c_mktsegment AS name, CAST(c_acctbal AS DOUBLE) AS x FROM @customer WHERE c_custkey % 5 <> 4""")
 def shared_lines(spark, sf):
-    """Line-typed text fanned out by its first word, attributes by name."""
-    kind = F.element_at(F.array(*map(F.lit, "RTPE")), (F.col("c_custkey") % 4 + 1).cast("int"))
-    lines = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(kind, F.lit(" 0 id="), "c_custkey", F.lit(" name="), "c_mktsegment").alias("line"))
-    got = lines.select(F.split("line", r"\s+").alias("w")).select(F.col("w")[0].alias("line_type"), F.str_to_map(F.array_join(F.slice("w", 3, 10), " "), F.lit(" "), F.lit("="))["id"].alias("id"))
-    return got.filter(F.col("line_type").isin("R", "T", "P", "E")).groupBy("line_type").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    """Line-typed text with attributes by name, in any order; lines of unknown kinds are left out."""
+    kind = F.when(F.col("c_custkey") % 5 == 4, "Z").otherwise(F.element_at(F.array(*map(F.lit, "RTPE")), (F.col("c_custkey") % 4 + 1).cast("int")))
+    fields = [F.concat(F.lit("id="), F.col("c_custkey").cast("string")), F.concat(F.lit("name="), "c_mktsegment"), F.concat(F.lit("x="), F.col("c_acctbal").cast("string"))]
+    mixed = F.when(F.col("c_custkey") % 2 == 0, F.array(*fields)).otherwise(F.array(*reversed(fields)))
+    lines = spark.read.parquet(f"{sf}/customer.parquet").select(F.concat(kind, F.lit("  0 "), F.array_join(mixed, " ")).alias("line"))
+    got = lines.select(F.split("line", r"\s+").alias("w")).filter(F.col("w")[0].isin("R", "T", "P", "E"))
+    of = F.str_to_map(F.array_join(F.slice("w", 3, 10), "\t"), F.lit("\t"), F.lit("="))
+    return got.select(F.col("w")[0].alias("line_type"), F.col("w")[1].cast("int").alias("level"), of["id"].cast("bigint").alias("id"), of["name"].alias("name"), of["x"].cast("double").alias("x"))
+
+
+@query(r"""SELECT c_custkey, substr(trim(regexp_replace(regexp_replace(c_name || chr(9) || '|x  ' || c_mktsegment || ' ' || c_name || ' ' || c_name, '[\x00-\x1f|]', ' ', 'g'), '\s+', ' ', 'g')), 1, 40) AS name FROM @customer""")
+def clean_names(spark, sf):
+    """Typed names without control characters and bars, single blanks, forty characters at most."""
+    raw = F.concat("c_name", F.lit("\t|x  "), "c_mktsegment", F.lit(" "), "c_name", F.lit(" "), "c_name")
+    return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", text.clean_name(raw).alias("name"))
