@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waygrid.plans.components import connected_components
+from waygrid.plans.scratch import discard, written
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """``node, degree`` of undirected ``edges`` (``a, b``)."""
@@ -21,13 +24,15 @@ def junctions(edges: DataFrame) -> DataFrame:
     return degrees(edges).filter("degree >= 3")
 
 
-def without_spurs(edges: DataFrame, length: float) -> DataFrame:
-    """One round of pruning: edges that end at a dead end and are shorter than ``length`` go; lone edges stay."""
-    ends = degrees(edges)
-    a, b = (ends.select(F.col("node").alias(c), F.col("degree").alias(f"d{c}")) for c in ("a", "b"))
-    met = edges.join(a, "a").join(b, "b")
-    spur = (F.least("da", "db") == 1) & (F.greatest("da", "db") > 1) & (F.col("w") < length)
-    return met.filter(~spur).select(*edges.columns)
+def without_spurs(edges: DataFrame, length: float, rounds: int = 1) -> DataFrame:
+    """``rounds`` of pruning: edges that end at a dead end and are shorter than ``length`` go; lone edges stay."""
+    for _ in range(rounds):
+        ends = degrees(edges)
+        a, b = (ends.select(F.col("node").alias(c), F.col("degree").alias(f"d{c}")) for c in ("a", "b"))
+        met = edges.join(a, "a").join(b, "b")
+        spur = (F.least("da", "db") == 1) & (F.greatest("da", "db") > 1) & (F.col("w") < length)
+        edges = written(met.filter(~spur).select(*edges.columns), "pruned")
+    return edges
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -44,3 +49,59 @@ def contracted(edges: DataFrame) -> DataFrame:
     joined = chosen.select(F.col("ways")[0]["b"].alias("a"), F.col("ways")[1]["b"].alias("b"), (F.col("ways")[0]["w"] + F.col("ways")[1]["w"]).alias("w"))
     kept = edges.select("a", "b", "w").join(gone, F.col("a") == F.col("gone"), "left_anti").join(gone, F.col("b") == F.col("gone"), "left_anti")
     return kept.unionByName(joined)
+
+
+def contracted_fully(edges: DataFrame) -> DataFrame:
+    """``contracted`` until no round takes out an edge; a chain of n nodes takes some log n rounds."""
+    edges = written(edges.select("a", "b", "w"), "edges")
+    n = edges.count()
+    while True:
+        new = written(contracted(edges), "contracted")
+        discard(edges)
+        left = new.count()
+        if left == n:
+            return new
+        edges, n = new, left
+
+
+def without_small(edges: DataFrame, length: float) -> DataFrame:
+    """Edges of components whose edges add up to ``length`` at least."""
+    found = connected_components(edges).withColumnRenamed("node", "a")
+    met = edges.join(found, "a")
+    large = met.groupBy("component").agg(F.sum("w").alias("total")).filter(F.col("total") >= length).select("component")
+    return met.join(large, "component", "left_semi").select(*edges.columns)
+
+
+def merged_close(nodes: DataFrame, edges: DataFrame, length: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``node, x, y`` joined by edges shorter than ``length`` become one, at their mean; edges within it go.
+
+    Gives nodes (named by the smallest of each group) and edges; of parallel edges the shortest stays.
+    """
+    groups = connected_components(edges.filter(F.col("w") < length))
+    named = written(nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    places = named.groupBy(F.col("component").alias("node")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"new_{c}"))
+    moved = edges.join(of("a"), "a").join(of("b"), "b").filter("new_a <> new_b")
+    return places, moved.groupBy(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).agg(F.min("w").alias("w"))
+
+
+def spanning_links(candidates: DataFrame) -> DataFrame:
+    """Links ``u, v, w`` of a least spanning forest over groups: each group takes its cheapest link to another, groups that are
+    linked become one, and so on.
+
+    Each round at least halves the groups.  Links are told apart by ``w, u, v``, so the forest is the only one.
+    """
+    pairs = candidates.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("w").cast("double").alias("w")).filter("u <> v")
+    open_ = written(pairs.groupBy("u", "v").agg(F.min("w").alias("w")).select("u", "v", "w", F.col("u").alias("gu"), F.col("v").alias("gv")), "links")
+    taken = None
+    while open_.limit(1).count():
+        ends = open_.select(F.explode(F.array("gu", "gv")).alias("g"), F.struct("w", "u", "v", "gu", "gv").alias("link"))
+        best = written(ends.groupBy("g").agg(F.min("link").alias("link")).select("link.*").distinct(), "taken")
+        taken = best if taken is None else taken.unionByName(best)
+        joined = connected_components(best, "gu", "gv")
+        of = lambda g: joined.select(F.col("node").alias(g), F.col("component").alias(f"new_{g}"))
+        left = open_.join(of("gu"), "gu").join(of("gv"), "gv").filter("new_gu <> new_gv")
+        left = written(left.select("u", "v", "w", F.col("new_gu").alias("gu"), F.col("new_gv").alias("gv")), "links")
+        discard(open_)
+        open_ = left
+    return open_.select("u", "v", "w") if taken is None else taken.select("u", "v", "w")

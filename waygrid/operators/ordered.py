@@ -57,6 +57,21 @@ def points_at(lines: DataFrame, asked: DataFrame, by: list[str], order: list[str
     return met.select(*asked.columns, lerp("_leg.x", "_leg.nx").alias("px"), lerp("_leg.y", "_leg.ny").alias("py"))
 
 
+def in_runs(rows: DataFrame, encoded: DataFrame, by: list[str], position: str, value: str) -> DataFrame:
+    """Adds ``value`` of the run ``first..last`` that holds each row's position; null where none does.
+
+    Runs of a group don't overlap, so the last one that starts at or before a row is the only one in question: one
+    ordered pass over both sides, and no range join.
+    """
+    held = F.struct(F.col("last").alias("last"), F.col(value).alias("v")).alias("_run")
+    runs_ = encoded.select(*by, F.col("first").alias("_at"), F.lit(0).alias("_side"), held)
+    asked = rows.select(*by, F.col(position).alias("_at"), F.lit(1).alias("_side"), F.struct(*rows.columns).alias("_row"))
+    both = runs_.unionByName(asked, allowMissingColumns=True)
+    last = F.last("_run", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = both.withColumn("_run", last).filter("_side = 1")
+    return met.select("_row.*", F.when(F.col("_at") <= F.col("_run.last"), F.col("_run.v")).alias(value))
+
+
 def padded_stretches(samples: DataFrame, by: list[str], order: str, off: str) -> DataFrame:
     """The stretches of samples that are ``off`` the network, each with one sample of padding on either side."""
     w = Window.partitionBy(*by).orderBy(order)

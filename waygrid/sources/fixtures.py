@@ -19,6 +19,7 @@ TABLES = {
     "arcs": "SELECT p_partkey AS a, CAST(floor(p_partkey / 2) AS BIGINT) AS b, CAST(1 + p_partkey % 7 AS DOUBLE) AS w FROM @part WHERE p_partkey > 0 UNION ALL SELECT p_partkey AS a, (p_partkey * 37 + 11) % (SELECT max(p_partkey) + 1 FROM @part) AS b, CAST(3 + p_partkey % 11 AS DOUBLE) AS w FROM @part",
     "edges": "SELECT a, b, w FROM $arcs WHERE a <> b UNION ALL SELECT b AS a, a AS b, w FROM $arcs WHERE a <> b",
     "forest": "SELECT p_partkey AS a, p_partkey - p_partkey % 16 + CAST(floor((p_partkey % 16) / 2) AS BIGINT) AS b FROM @part",
+    "trees": "SELECT p_partkey AS a, p_partkey - p_partkey % 16 + CASE WHEN p_partkey % 16 % 3 = 0 THEN CAST(floor(p_partkey % 16 / 3) AS BIGINT) ELSE p_partkey % 16 - 1 END AS b, CAST(1 + (p_partkey * 7) % 50 AS DOUBLE) AS w FROM @part WHERE p_partkey % 16 > 0",
     "tracks": "SELECT user_id, event_id, ts, SUM(CAST((event_id * 37) % 41 - 20 AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x, SUM(CAST((event_id * 53) % 43 - 21 AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM @events",
     "segments": "SELECT s_suppkey AS id, CAST((s_suppkey * 7919) % 10007 AS DOUBLE) AS x1, CAST((s_suppkey * 104729) % 10009 AS DOUBLE) AS y1, CAST(((s_suppkey + 1) * 7919) % 10007 AS DOUBLE) AS x2, CAST(((s_suppkey + 1) * 104729) % 10009 AS DOUBLE) AS y2 FROM @supplier",
     "walls": "SELECT c_custkey AS wid, CAST((c_custkey * 7919) % 10007 AS DOUBLE) AS x1, CAST((c_custkey * 104729) % 10009 AS DOUBLE) AS y1, CAST((c_custkey * 7919) % 10007 + 150 + c_custkey % 90 AS DOUBLE) AS x2, CAST((c_custkey * 104729) % 10009 + 60 - c_custkey % 130 AS DOUBLE) AS y2 FROM @customer",

@@ -76,6 +76,30 @@ def rides(boarding: str, departing: str, arriving: str, most_seconds: float) ->
     return step
 
 
+def spaced(least: float) -> Step:
+    """Lets a sample ``(id, x, y)`` through if it lies ``least`` or more from the last one let through; the first always."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        name, x, y = row
+        if state[0] is None or (x - state[0]) ** 2 + (y - state[1]) ** 2 >= least * least:
+            return (x, y), [(name,)]
+        return state, []
+
+    return step
+
+
+def arriving(stops: list[tuple[float, float]], reach: float) -> Step:
+    """Arrivals ``(id, stop)`` of samples ``(id, x, y)`` at the stops of a loop, in turn."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        (stop,), (name, x, y) = state, row
+        if (x - stops[stop][0]) ** 2 + (y - stops[stop][1]) ** 2 <= reach * reach:
+            return ((stop + 1) % len(stops),), [(name, stop)]
+        return state, []
+
+    return step
+
+
 def reassembly(idle_seconds: float) -> Step:
     """Messages from parts ``(time, message, number, of, text)`` of one sender.
 
