@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import worker_state
 
 #: Entries that a worker's memos may hold, and characters of one that is kept: bounds its memory, never the result.
-RUNS, PIECES, PAIRS, KEPT = 450_000, 150_000, 300_000, 48
+RUNS, PIECES, PAIRS, HEADS, KEPT = 450_000, 150_000, 300_000, 100_000, 48
 #: Above any rank.
 END = 1 << 40
 
@@ -69,6 +69,7 @@ class ByteBPE:
         self.fits: dict[tuple[str, str], bool] = {}
         self.edges: dict[str, tuple[list[tuple[str, int]], list[tuple[str, int]]]] = {}
         self.prefixes: dict[str, str] = {}
+        self.heads: dict[str, str] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.runs: dict[str, tuple[int, ...]] = {}
 
@@ -120,11 +121,14 @@ class ByteBPE:
             known = self.prefixes[token] = next((x for n in range(len(token) - 1, 0, -1) if (x := token[:n]) in self.parts), "")
         return known
 
-    def head(self, s: str, at: int) -> str:
-        """The longest entry that starts at a position; only as much as an entry can hold is looked at."""
-        ahead = s[at : at + self.longest]
-        size = self.automaton.longest_prefix(ahead)  # of the path, which may go on beyond an entry
-        return ahead[:size] if ahead[:size] in self.parts else self.shorter(ahead[:size])
+    def head(self, ahead: str) -> str:
+        """The longest entry that a string no longer than any entry starts with."""
+        known = self.heads.get(ahead)
+        if known is None:
+            trim(self.heads, HEADS)
+            size = self.automaton.longest_prefix(ahead)  # of the path, which may go on beyond an entry
+            known = self.heads[ahead] = ahead[:size] if ahead[:size] in self.parts else self.shorter(ahead[:size])
+        return known
 
     def placed(self, s: str) -> list[str]:
         """Tokens of a piece, by backtracking from longest matches."""
@@ -139,13 +143,22 @@ class ByteBPE:
         del out[i + 1 :]
         at, end = sum(map(len, out)), len(s)
         given_up: set[int] = set()
+        prefixes, heads, longest = self.prefixes, self.heads, self.longest
         while at < end:
-            while token and (at + len(token) in given_up or out and not compatible(out[-1], token)):
-                token = self.shorter(token)
+            before = out[-1] if out else ""
+            while token:
+                if at + len(token) not in given_up:
+                    known = fits.get((before, token)) if before else True
+                    if compatible(before, token) if known is None else known:
+                        break
+                known = prefixes.get(token)
+                token = self.shorter(token) if known is None else known
             if token:
                 out.append(token)
                 at += len(token)
-                token = self.head(s, at) if at < end else ""
+                if at < end:
+                    ahead = s[at : at + longest]
+                    token = heads.get(ahead) or self.head(ahead)
             else:
                 given_up.add(at)
                 last = out.pop()
