@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import gc
 import re
-import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -39,9 +38,15 @@ FLUSH, MEMO = 400_000, 800_000
 #: Smoothing count.
 ALPHA = 0.5
 
-#: Runs of letters: of what counts as a word character, numerals in any form are none.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-LETTERS = re.compile(rf"[^\W_{NUMERALS}]+")
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def letters(text: str) -> list[str]:
+    """Runs of letters; numerals of other forms than digits, which the pattern lets through, are none."""
+    found = _RUN.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for run in found for x in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -153,7 +158,7 @@ class Guesser:
         """Score new runs, all in one pass."""
         rows, weights, owner, words = [], [], [], []
         for i, run in enumerate(runs):
-            found = LETTERS.findall(run)
+            found = letters(run)
             words.append(len(found))
             for word in found:
                 own, weight = self.model.rows_of(word)
@@ -203,7 +208,7 @@ def _guesser(name: str, model: Model) -> Guesser:
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = docs.select(docs[lang].alias("lang"), docs[text].alias("item")).dropna().withColumn("n", F.lit(1).cast("long"))
-    words = written(_counted(rows, _add_runs, LETTERS.findall), "words")
+    words = written(_counted(rows, _add_runs, letters), "words")
     parts = written(_counted(words, _add, _grams), "grams")
     totals = [df.groupBy("lang").agg(F.sum("n").alias("n")).collect() for df in (words, parts)]
     by_lang = [{r["lang"]: r["n"] for r in rows} for rows in totals]
