@@ -78,3 +78,21 @@ def in_ring(px: Column, py: Column, ring: Column) -> Column:
         lambda a, b: F.when(((a["y"] > py) != (b["y"] > py)) & (px < (b["x"] - a["x"]) * (py - a["y"]) / (b["y"] - a["y"]) + a["x"]), 1).otherwise(0),
     )
     return F.aggregate(crossed, F.lit(0), lambda n, c: n + c) % 2 == 1
+
+
+def box_distance2(x: Column, y: Column) -> Column:
+    """Squared distance of a point from the box ``minx, maxx, miny, maxy``; 0 inside."""
+    off = lambda v, low, high: F.greatest(F.col(low) - v, F.lit(0.0), v - F.col(high))
+    dx, dy = off(x, "minx", "maxx"), off(y, "miny", "maxy")
+    return dx * dx + dy * dy
+
+
+def nearest_height(heights: Column, z: Column) -> Column:
+    """The height of a list that is nearest to ``z``, the first of equal ones; null for an empty list."""
+    return F.element_at(F.array_sort(F.transform(heights, lambda h, i: F.struct(F.abs(h - z).alias("d"), i.alias("i"), h.alias("h")))), 1)["h"]
+
+
+def eased(t: Column) -> Column:
+    """Slow start and slow end of a movement over 0..1."""
+    left = 2 - 2 * t
+    return F.when(t < 0.5, 2 * t * t).otherwise(1 - left * left / 2)

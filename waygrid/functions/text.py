@@ -61,3 +61,31 @@ def turn_text(degrees: Column) -> Column:
     """A turn in words; positive angles are to the left, as headings turn with x north and y west."""
     size, side = F.abs(degrees), F.when(degrees > 0, "left").otherwise("right")
     return F.when(size < 20, "straight on").when(size < 60, F.concat(F.lit("bear "), side)).when(size < 120, F.concat(F.lit("turn "), side)).when(size < 160, F.concat(F.lit("sharp "), side)).otherwise("turn around")
+
+
+def clock(seconds: Column) -> Column:
+    """Minutes and seconds, as ``m:ss``."""
+    whole = F.floor(seconds).cast("bigint")
+    return F.format_string("%d:%02d", F.floor(whole / 60).cast("bigint"), whole % 60)
+
+
+def number_token(token: Column) -> Column:
+    """The number of a typed token, which may carry one comma in front and one behind; null for anything else."""
+    bare = F.regexp_replace(F.regexp_replace(token, "^,", ""), ",$", "")
+    return F.when(bare.rlike(r"^-?\d+\.?\d*$"), bare.try_cast("double"))
+
+
+def map_pin(link: Column) -> Column:
+    """A linked map pin ``worldmap:id:u:v`` as a struct ``map_id, u, v`` with fractions of the map; null if it lies off the map."""
+    part = lambda i: F.regexp_extract(link, r"^worldmap:(\d+):(\d+):(\d+)", i).try_cast("bigint")
+    u, v = part(2) / 10000, part(3) / 10000
+    return F.when((u <= 1) & (v <= 1), F.struct(part(1).alias("map_id"), u.alias("u"), v.alias("v")))
+
+
+def route_tag(name: Column, stops: Column) -> Column:
+    return F.format_string("[Route %s: %d %s]", name, stops, F.when(stops == 1, "stop").otherwise("stops"))
+
+
+def linked_routes(text: Column) -> Column:
+    """Tags of routes in a text as links that carry the route's name and its number of stops."""
+    return F.regexp_replace(text, r"\[Route ([0-9a-f]+): (\d+) stops?\]", "<route:$1:$2>")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waygrid.functions import geo
+from waygrid.plans.components import connected_components
+from waygrid.plans.scratch import written
 
 
 def midpoint_samples(segments: DataFrame, step: float) -> DataFrame:
@@ -76,3 +78,77 @@ def marching_squares(cells: DataFrame, blocked: int = 2) -> DataFrame:
     bit = reduce(lambda a, b: a + b, [F.when((F.col("dr") == k[0]) & (F.col("dc") == k[1]) & (F.col("other") == blocked), n).otherwise(0) for k, n in bits.items()])
     got = neighbours(cells, list(bits)).groupBy("r", "c").agg(F.sum(bit).alias("square"), F.count("other").alias("have"))
     return got.filter("have = 4 AND square BETWEEN 1 AND 14").select("r", "c", "square")
+
+
+def classified(quads: DataFrame, k: int) -> DataFrame:
+    """``r, c, v`` of k x k blocks of quads ``r, c, water, steep``: 0 open, 1 water, 2 blocked.
+
+    Half a block of water makes it water; half a block of steep ground blocks it, and so does less than half a block of
+    land.  Quads that are absent are no land.
+    """
+    share = lambda name: F.count_if(F.col(name)) / (k * k)
+    masks = quads.groupBy(F.floor(F.col("r") / k).alias("r"), F.floor(F.col("c") / k).alias("c")).agg(share("water").alias("water"), share("steep").alias("steep"), (F.count("*") / (k * k)).alias("land"))
+    return masks.select("r", "c", F.when((F.col("steep") >= 0.5) | (F.col("land") < 0.5), 2).when(F.col("water") >= 0.5, 1).otherwise(0).alias("v"))
+
+
+def cell_key(r: Column, c: Column) -> Column:
+    """One number for a cell; columns below 2^31."""
+    return r * (1 << 31) + c
+
+
+def regions(cells: DataFrame) -> DataFrame:
+    """``r, c, region`` of the cells given: cells that touch at a side are of one region, named by its smallest cell's key."""
+    own = cells.select("r", "c", F.lit(1).alias("v"))
+    key = cell_key(F.col("r"), F.col("c"))
+    links = neighbours(own, [(0, 1), (1, 0)]).filter("other = 1").select(key.alias("a"), cell_key(F.col("r") + F.col("dr"), F.col("c") + F.col("dc")).alias("b"))
+    found = connected_components(links.unionByName(own.select(key.alias("a"), key.alias("b"))))
+    return found.select(F.shiftright("node", 31).alias("r"), F.pmod("node", F.lit(1 << 31)).alias("c"), F.col("component").alias("region"))
+
+
+def hysteresis(cells: DataFrame, low: float, high: float, value: str = "v") -> DataFrame:
+    """``r, c`` of the cells of at least ``low`` in regions that hold one of at least ``high``."""
+    kept = cells.filter(F.col(value) >= low).select("r", "c", value)
+    found = regions(kept).join(kept, ["r", "c"])
+    strong = found.groupBy("region").agg(F.max(value).alias("top")).filter(F.col("top") >= high)
+    return found.join(strong, "region", "left_semi").select("r", "c")
+
+
+def despeckled(cells: DataFrame, speck: int, pocket: int) -> DataFrame:
+    """Ground without noise, ``r, c, v`` (0 open, 1 water, 2 blocked).
+
+    In this order: blocked regions smaller than ``speck`` open; gaps of one cell in ridges close, which is what a dilation
+    followed by an erosion of the blocked cells adds, with all open beyond the grid; other regions smaller than ``pocket``
+    are blocked; water regions smaller than ``speck`` open.
+    """
+
+    def settled(df: DataFrame, what: Column, least: int, to: int) -> DataFrame:
+        found = regions(df.filter(what))
+        few = found.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") < least)
+        small = found.join(few, "region", "left_semi").select("r", "c", F.lit(to).alias("_to"))
+        return written(df.join(small, ["r", "c"], "left").select("r", "c", F.coalesce("_to", "v").alias("v")), "cells")
+
+    blocked = F.col("v") == 2
+    out = settled(cells.select("r", "c", "v"), blocked, speck, 0)
+    grown = dilated(out).select("r", "c", F.when(blocked, 1).otherwise(0).alias("v"))
+    shut = around(grown, CROSS, F.count_if(F.col("other") == 1), "held").filter("v = 1 AND held = 4").select("r", "c", F.lit(2).alias("_to"))
+    out = written(out.join(shut, ["r", "c"], "left").select("r", "c", F.coalesce("_to", "v").alias("v")), "cells")
+    out = settled(out, ~blocked, pocket, 2)
+    return settled(out, F.col("v") == 1, speck, 0)
+
+
+def open_lines(lines: DataFrame, cells: DataFrame, line_id: str, closed: Column) -> DataFrame:
+    """``line_id, cost`` of the straight lines ``r1, c1, r2, c2`` between cells that run over open cells alone.
+
+    The start is not asked.  A diagonal step asks for both corners beside it.  ``cost`` counts a diagonal step as the root
+    of two.  Cells that are absent are closed; a line from a cell to itself is open.
+    """
+    a, b = F.col("r2") - F.col("r1"), F.col("c2") - F.col("c1")
+    rows = lines.withColumn("_n", F.greatest(F.abs(a), F.abs(b)).cast("int"))
+    at = lambda start, d, i: (F.col(start) + F.floor(d * i / F.col("_n") + 0.5)).cast("bigint")
+    i = F.col("_i")
+    each = rows.filter("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(line_id, at("r1", a, i).alias("r"), at("c1", b, i).alias("c"), at("r1", a, i - 1).alias("pr"), at("c1", b, i - 1).alias("pc"))
+    corners = F.when((F.col("r") != F.col("pr")) & (F.col("c") != F.col("pc")), F.array(F.struct(F.col("pr").alias("r"), "c"), F.struct("r", F.col("pc").alias("c"))))
+    asked = each.select(line_id, F.explode(F.concat(F.array(F.struct("r", "c")), F.coalesce(corners, F.array()))).alias("p")).select(line_id, "p.r", "p.c")
+    hit = asked.join(cells.filter(~closed).select("r", "c"), ["r", "c"], "left_anti").select(line_id).distinct()
+    low, long = F.least(F.abs(a), F.abs(b)), F.col("_n")
+    return rows.join(hit, line_id, "left_anti").select(line_id, (long + (F.sqrt(F.lit(2.0)) - 1) * low).alias("cost"))

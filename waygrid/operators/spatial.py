@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waygrid.functions import geo
+from waygrid.plans.scratch import discard, written
 
 
 def bucket(value: Column, size: float) -> Column:
@@ -75,17 +76,13 @@ def nearest_within(points: DataFrame, targets: DataFrame, reach: float, point_id
 def nearest_segments(points: DataFrame, segments: DataFrame, point_id: str, segment_id: str, reach: float, k: int = 8, slack: float = 400.0) -> DataFrame:
     """The nearest segments ``x1, y1, x2, y2`` of each point: at most ``k``, within ``reach`` and ``slack`` of the nearest.
 
-    Adds ``d`` and ``t``, the share of the segment at its closest point.  Long segments are dealt out along their
-    buckets, not over their bounding box, so a diagonal one costs its length.
+    Adds ``d`` and ``t``, the share of the segment at its closest point.  A segment is dealt to the buckets that it passes
+    through and those around them, so a diagonal one costs its length.
     """
     c = {n: F.col(n) for n in ("x1", "y1", "x2", "y2")}
-    steps = F.greatest(F.lit(1), F.ceil(geo.distance(*c.values()) / reach)).cast("int")
-    at = F.explode(F.transform(F.sequence(F.lit(0), steps), lambda i: F.struct((c["x1"] + (c["x2"] - c["x1"]) * i / steps).alias("sx"), (c["y1"] + (c["y2"] - c["y1"]) * i / steps).alias("sy"))))
-    spots = segments.withColumn("at", at)
-    around = F.explode(F.expr("transform(sequence(0, 24), i -> struct(i div 5 - 2 AS dx, i % 5 - 2 AS dy))"))
-    spots = spots.withColumn("step", around).select(
-        segment_id, *c, (bucket(F.col("at.sx"), reach) + F.col("step.dx")).alias("bx"), (bucket(F.col("at.sy"), reach) + F.col("step.dy")).alias("by")
-    ).distinct()
+    around = F.explode(F.expr("transform(sequence(0, 8), i -> struct(i div 3 - 1 AS dx, i % 3 - 1 AS dy))"))
+    spots = segment_buckets(segments, *c.values(), reach).withColumn("step", around)
+    spots = spots.select(segment_id, *c, (F.col("bx") + F.col("step.dx")).alias("bx"), (F.col("by") + F.col("step.dy")).alias("by")).distinct()
     d, t = geo.segment_distance(F.col("x"), F.col("y"), *c.values())
     pairs = point_buckets(points, reach).join(spots, ["bx", "by"]).withColumns({"d": d, "t": t}).filter(F.col("d") <= reach)
     order = Window.partitionBy(point_id).orderBy("d", segment_id)
@@ -93,6 +90,27 @@ def nearest_segments(points: DataFrame, segments: DataFrame, point_id: str, segm
     return pairs.filter((F.col("rank") <= k) & (F.col("d") <= F.col("best") + slack)).drop("bx", "by", "best")
 
 
+def nearest_anywhere(points: DataFrame, targets: DataFrame, reach: float, point_id: str, target_id: str) -> DataFrame:
+    """``point_id, target_id, d``: the nearest of ``targets`` (``tx, ty``) of each point, however far; ties by id.
+
+    Rounds look within ``reach``, then twice as far and so on; a round carries on only the points that found nothing
+    before, so no point meets targets much farther than its nearest.  Ids of points are unique; points without a place
+    find nothing, nor does any where there are no targets.
+    """
+    left = written(points.select(point_id, "x", "y").dropna(), "points")
+    targets = written(targets.select(target_id, "tx", "ty").dropna(), "targets")
+    kinds = f"{point_id} {points.schema[point_id].dataType.simpleString()}, {target_id} {targets.schema[target_id].dataType.simpleString()}, d double"
+    found = points.sparkSession.createDataFrame([], kinds)
+    while targets.limit(1).count() and left.limit(1).count():
+        pairs = points_in_circles(left, targets.withColumns({"cx": F.col("tx"), "cy": F.col("ty"), "r": F.lit(float(reach))}), reach)
+        best = written(pairs.groupBy(point_id).agg(F.min(F.struct("d", target_id)).alias("b")).select(point_id, f"b.{target_id}", "b.d"), "nearest")
+        found = found.unionByName(best)
+        rest = written(left.join(best, point_id, "left_anti"), "points")
+        discard(left)
+        left, reach = rest, reach * 2
+    return found
+
+
 def crossings(paths: DataFrame, walls: DataFrame, path_id: str, wall_id: str, size: float) -> DataFrame:
     """Pairs of a path segment ``x1..y2`` and a wall ``wx1..wy2`` that cross properly; a touching start doesn't count.
 

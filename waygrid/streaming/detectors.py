@@ -100,6 +100,51 @@ def arriving(stops: list[tuple[float, float]], reach: float) -> Step:
     return step
 
 
+#: State of a player who is near no dock, on no ride, and not seen before.
+NO_RIDE = (0, 0.0, 0, 0.0, None, 0, 0, None, None)
+
+
+def transport(docks: tuple[tuple[float, float], tuple[float, float]], reach: float, carry: float, away: float, idle: float, checks: int) -> Step:
+    """Rides between two docks from samples ``(id, time, x, y, walking)``: gives ``(id, what, side, time)``.
+
+    A player near a dock who moves ``carry`` or more at two samples in a row without walking is carried, from the first of
+    them on; ``away`` from that dock the ride has departed.  At the other dock and not carried at ``checks`` samples in a
+    row it has arrived.  A dock left ``idle`` seconds ago is forgotten, and walking ends being carried.
+    """
+
+    def far2(x: float, y: float, side: int) -> float:
+        return (x - docks[side - 1][0]) ** 2 + (y - docks[side - 1][1]) ** 2
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        near, since, streak, streak_at, carried, riding, still, last_x, last_y = state
+        name, time, x, y, walking = row
+        side = next((s for s in (1, 2) if far2(x, y, s) <= reach * reach), 0)
+        moved = not walking and last_x is not None and (x - last_x) ** 2 + (y - last_y) ** 2 >= carry * carry
+        found = []
+        if side:
+            near, since = side, since if near == side else time
+        if near and moved:
+            streak += 1
+            if streak == 1:
+                streak_at = time
+            elif carried is None:
+                carried = streak_at
+        else:
+            streak, carried = 0, None if walking else carried
+        if near and carried is not None and far2(x, y, near) >= away * away:
+            found.append((name, "departed", near, carried))
+            near, carried, riding = 0, None, near
+        if near and not side and time - since > idle:
+            near = 0
+        still = still + 1 if riding and side == 3 - riding and not moved else 0
+        if still >= checks:
+            found.append((name, "arrived", side, time))
+            riding = 0
+        return (near, since, streak, streak_at, carried, riding, still, x, y), found
+
+    return step
+
+
 def reassembly(idle_seconds: float) -> Step:
     """Messages from parts ``(time, message, number, of, text)`` of one sender.
 
