@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waygrid.plans.components import connected_components
@@ -105,3 +105,24 @@ def spanning_links(candidates: DataFrame) -> DataFrame:
         discard(open_)
         open_ = left
     return open_.select("u", "v", "w") if taken is None else taken.select("u", "v", "w")
+
+
+def few_links(links: DataFrame, most: int) -> DataFrame:
+    """The shortest links ``u, v, w`` taken one by one in order of ``w, u, v``, as long as both ends have fewer than ``most``.
+
+    Settled in rounds: a link that stands, among the undecided ones of either end, within what that end may still take is
+    taken whatever becomes of the others; a full end's links go.  The shortest one left always settles.
+    """
+    left, taken = written(links.select("u", "v", "w").dropna().distinct(), "links"), None
+    while left.limit(1).count():
+        ends = left.select("u", "v", "w", F.explode(F.array("u", "v")).alias("end"))
+        had = None if taken is None else taken.select(F.explode(F.array("u", "v")).alias("end")).groupBy("end").agg(F.count("*").alias("had"))
+        ends = ends.withColumn("had", F.lit(0)) if had is None else ends.join(had, "end", "left").fillna(0, ["had"])
+        place = F.row_number().over(Window.partitionBy("end").orderBy("w", "u", "v")) + F.col("had")
+        told = ends.withColumns({"full": F.col("had") >= most, "sure": place <= most}).groupBy("u", "v", "w")
+        told = written(told.agg(F.bool_and("sure").alias("sure"), F.bool_or("full").alias("full")), "told")
+        now = told.filter("sure").select("u", "v", "w")
+        taken = now if taken is None else taken.unionByName(now)
+        discard(left)
+        left = written(told.filter("NOT sure AND NOT full").select("u", "v", "w"), "links")
+    return left if taken is None else taken

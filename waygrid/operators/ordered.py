@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waygrid.functions import geo
+from waygrid.plans.scratch import discard, written
 
 
 def islands(df: DataFrame, by: list[str], order: list[str], starts: Column, name: str = "island") -> DataFrame:
@@ -91,3 +92,31 @@ def ahead_count(df: DataFrame, by: list[str], along: str, reach: float, counted:
     """Adds ``ahead``: how many rows for which ``counted`` holds lie from here to ``reach`` further along."""
     w = Window.partitionBy(*by).orderBy(along).rangeBetween(Window.currentRow, reach)
     return df.withColumn("ahead", F.count_if(counted).over(w))
+
+
+def cut_where_bent(samples: DataFrame, by: list[str], order: str, along: str, value: str, tolerance: float) -> DataFrame:
+    """Adds ``cut``: true at the ends of each line and where it must be cut so that ``value`` runs straight between cuts.
+
+    Each round cuts every piece at its sample farthest from straight, the first of equals, if that is farther than
+    ``tolerance``.  Samples without a value are never cut at; an end without one takes the next that is known.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    before, after = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    known = F.coalesce(value, F.first(value, ignorenulls=True).over(after), F.last(value, ignorenulls=True).over(before))
+    state = samples.withColumns({"cut": F.lag(F.lit(1)).over(w).isNull() | F.lead(F.lit(1)).over(w).isNull(), "_known": known})
+    state = written(state, "cuts")
+    n = state.filter("cut").count()
+    while True:
+        end = F.when(F.col("cut"), F.struct(F.col(along).alias("s"), F.col("_known").alias("v")))
+        ends = {"_a": F.last(end, ignorenulls=True).over(before), "_b": F.first(end, ignorenulls=True).over(after), "_piece": F.count_if("cut").over(before)}
+        span = F.col("_b.s") - F.col("_a.s")
+        line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col(along) - F.col("_a.s")) / span
+        off = F.when(~F.col("cut") & (span > 0), F.abs(F.col(value) - line))
+        first = F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(F.col("_off").desc_nulls_last(), order)) == 1
+        new = state.withColumns(ends).withColumn("_off", off)
+        new = written(new.withColumn("cut", F.col("cut") | (first & F.coalesce(F.col("_off") > tolerance, F.lit(False)))).select(*state.columns), "cuts")
+        discard(state)
+        state, found = new, new.filter("cut").count()
+        if found == n:
+            return state.drop("_known")
+        n = found

@@ -152,3 +152,30 @@ def open_lines(lines: DataFrame, cells: DataFrame, line_id: str, closed: Column)
     hit = asked.join(cells.filter(~closed).select("r", "c"), ["r", "c"], "left_anti").select(line_id).distinct()
     low, long = F.least(F.abs(a), F.abs(b)), F.col("_n")
     return rows.join(hit, line_id, "left_anti").select(line_id, (long + (F.sqrt(F.lit(2.0)) - 1) * low).alias("cost"))
+
+
+def traced_lines(cells: DataFrame) -> DataFrame:
+    """Lines of a skeleton of cells ``r, c``: ``line, a, b, cells, length``, in cells.
+
+    A cell with two of its eight neighbours lies on a line; all others that touch are one node.  Lines and nodes are named by
+    their smallest cell (``r * 2^31 + c``); ``a <= b`` are the nodes that a line joins, and a ring without a node joins
+    itself.  A line cell has two neighbours only, so half the steps of a line are its cells and no path is walked.
+    """
+    key = lambda r, c: r * 2147483648 + c
+    seen = neighbours(cells.select("r", "c", F.lit(1).alias("v")).distinct(), RING)
+    here = key(F.col("r"), F.col("c"))
+    kinds = written(seen.groupBy(here.alias("node")).agg((F.count("other") == 2).alias("on_line")), "kinds")
+    step = F.sqrt((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("double"))
+    met = seen.filter("other IS NOT NULL").select(here.alias("a"), key(F.col("r") + F.col("dr"), F.col("c") + F.col("dc")).alias("b"), step.alias("step"))
+    for end in ("a", "b"):
+        met = met.join(kinds.select(F.col("node").alias(end), F.col("on_line").alias(f"line_{end}")), end)
+    met = written(met, "steps")
+    alone = kinds.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    parts = connected_components(met.filter("line_a = line_b").select("a", "b").unionByName(alone))
+    ways = met.filter("line_a")
+    for end in ("a", "b"):
+        ways = ways.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}")), end)
+    node = F.when(~F.col("line_b"), F.col("part_b"))
+    length = F.sum(F.when(F.col("line_b"), F.col("step") / 2).otherwise(F.col("step")))
+    found = ways.groupBy(F.col("part_a").alias("line")).agg(F.min(node).alias("a"), F.max(node).alias("b"), F.expr("count(*) div 2").alias("cells"), length.alias("length"))
+    return found.withColumns({end: F.coalesce(end, "line") for end in ("a", "b")})
