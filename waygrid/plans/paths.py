@@ -102,6 +102,23 @@ def best_orders(legs: DataFrame, most: int = EXACT_STOPS) -> DataFrame:
     return exact.unionByName(_two_opt_orders(legs.join(sizes.filter(F.col("n") > most), "trip").select("trip", "i", "j", "cost")))
 
 
+def worthwhile_orders(legs: DataFrame, gain: float, share: float) -> DataFrame:
+    """``trip, stops, total, changed``: the order of ``best_orders``, or 1..n as it stands.
+
+    A trip changes only if that saves at least ``gain`` and at least ``share`` of what its present order costs.  A trip
+    that lacks a leg of its present order has nothing to keep and changes.
+    """
+    legs = written(legs, "legs")
+    sizes = legs.groupBy("trip").agg(F.max("i").alias("n"))
+    now = legs.filter("j = i + 1").groupBy("trip").agg(F.sum("cost").alias("now"), F.count("*").alias("known"))
+    now = now.join(sizes, "trip").withColumn("now", F.when(F.col("known") == F.col("n"), F.col("now"))).drop("known")
+    met = best_orders(legs).join(now, "trip", "left")
+    better = F.col("now").isNull() | (F.col("total") <= F.col("now") - F.greatest(F.lit(float(gain)), F.col("now") * share))
+    stands = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda k: k.cast(legs.schema["j"].dataType))
+    met = met.withColumn("changed", better & ~((F.col("stops") == stands) & F.col("now").isNotNull()))
+    return met.select("trip", F.when(F.col("changed"), F.col("stops")).otherwise(stands).alias("stops"), F.when(F.col("changed"), F.col("total")).otherwise(F.col("now")).alias("total"), "changed")
+
+
 def _two_opt_orders(legs: DataFrame) -> DataFrame:
     """``trip, stops, total`` of trips with many stops; a trip is one itinerary typed by a person, handled by one call."""
     import numpy as np

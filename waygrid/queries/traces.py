@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from waygrid.functions import geo
 from waygrid.operators import network, ordered, raster
 from waygrid.operators.spatial import in_buckets, nearest_segments, point_buckets
+from waygrid.plans import paths
 from waygrid.queries import query
+from waygrid.queries.graph import LEGS
 from waygrid.queries.moves import ORDER, PATH, POINT, STEPPED
 from waygrid.queries.terrain import KEY
 from waygrid.sources.fixtures import fixture
@@ -137,3 +139,20 @@ def readable_layers(spark, sf):
     lines = s.withColumn("line", line).select(broken.alias("line"))
     read = lines.select(F.from_json("line", f"tile bigint, layer bigint, weight {s.schema['s_acctbal'].dataType.simpleString()}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("j"))
     return read.filter("j._bad IS NULL").select("j.tile", "j.layer", "j.weight")
+
+
+@query(f"""WITH legs AS ({LEGS}), n AS (SELECT trip, max(i) AS n FROM legs GROUP BY trip),
+now AS (SELECT trip, CASE WHEN count(*) = max(n) THEN sum(cost) END AS now FROM legs JOIN n USING (trip) WHERE j = i + 1 GROUP BY trip),
+w AS (SELECT trip, cost, [j] AS stops FROM legs WHERE i = 0), w2 AS (SELECT * FROM w UNION ALL SELECT w.trip, w.cost + l.cost AS cost, list_append(stops, l.j) AS stops FROM w JOIN legs l ON l.trip = w.trip AND l.i = w.stops[-1] AND l.j > 0 AND NOT list_contains(w.stops, l.j)),
+w3 AS (SELECT * FROM w UNION ALL SELECT w.trip, w.cost + l.cost AS cost, list_append(stops, l.j) AS stops FROM w2 w JOIN legs l ON l.trip = w.trip AND l.i = w.stops[-1] AND l.j > 0 AND NOT list_contains(w.stops, l.j)),
+w4 AS (SELECT * FROM w UNION ALL SELECT w.trip, w.cost + l.cost AS cost, list_append(stops, l.j) AS stops FROM w3 w JOIN legs l ON l.trip = w.trip AND l.i = w.stops[-1] AND l.j > 0 AND NOT list_contains(w.stops, l.j)),
+best AS (SELECT trip, arg_min(stops, (cost, stops)) AS stops, min(cost) AS total FROM w4 JOIN n USING (trip) WHERE len(stops) = n GROUP BY trip),
+o AS (SELECT b.trip, b.stops, b.total, now, n, now IS NULL OR (total <= now - greatest(15.0, now * 0.1) AND b.stops <> range(1, n + 1)) AS changed FROM best b JOIN n USING (trip) LEFT JOIN now USING (trip))
+SELECT trip, changed, round(CASE WHEN changed THEN total ELSE now END, 6) AS total, array_to_string(CASE WHEN changed THEN stops ELSE range(1, n + 1) END, '') AS stops FROM o""")
+def kept_orders(spark, sf):
+    """The order of each trip's stops: the cheapest, where it is a tenth and fifteen yards better than the present one."""
+    sites = fixture(spark, sf, "sites").select(F.floor(F.col("id") / 5).alias("trip"), (F.col("id") % 5).alias("i"), "x", "y")
+    other = sites.select("trip", F.col("i").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    legs = sites.join(other, "trip").filter("i <> j").select("trip", "i", "j", geo.distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by")).alias("cost"))
+    found = paths.worthwhile_orders(legs, 15, 0.1)
+    return found.select("trip", "changed", F.round("total", 6).alias("total"), F.array_join(F.col("stops").cast("array<string>"), "").alias("stops"))
