@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html, langid, licenses, minhash, oracles, quality, tokens, toxicity
+from . import alignment, ann, bpe, decontaminate, html, langid, licenses, minhash, oracles, quality, spelling, suffixes, tokens, toxicity
 from .common import shared_dir, table
 
 
@@ -63,9 +63,37 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held_out=0)
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 200 bytes that occur elsewhere too, as counts and a digest."""
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.vocabulary(table(spark, sf_dir, "documents"), slip=199, shortest=6, least=5), times=5)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokenizers(spark, table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN)[0]
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_html_text, op3_toxicity, op4_byte_bpe, op5_minhash, op6_licenses, op7_neighbours, op8_language, op9_decontaminate, op10_quality)
+    for f in (
+        op1_token_counts,
+        op2_html_text,
+        op3_toxicity,
+        op4_byte_bpe,
+        op5_minhash,
+        op6_licenses,
+        op7_neighbours,
+        op8_language,
+        op9_decontaminate,
+        op10_quality,
+        op11_suffixes,
+        op12_spelling,
+        op13_alignment,
+    )
 }
 
 #: Links and components in SQL; the driver's tables have no white space but blanks, tabs and line ends.
