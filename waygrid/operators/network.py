@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waygrid.functions import geo
+from waygrid.operators.spatial import in_buckets, point_buckets
 from waygrid.plans.components import connected_components
 from waygrid.plans.scratch import discard, written
 
@@ -35,16 +37,17 @@ def without_spurs(edges: DataFrame, length: float, rounds: int = 1) -> DataFrame
     return edges
 
 
-def contracted(edges: DataFrame) -> DataFrame:
+def contracted(edges: DataFrame, salt: int = 0) -> DataFrame:
     """One round of joining through nodes of degree two: ``a, b, w``.
 
-    Of two neighbouring such nodes only the smaller is taken out, so rounds never compete for an edge.
+    Of two neighbouring such nodes only the one of smaller hash under ``salt`` is taken out, so rounds never compete for an edge.
     """
+    rank = lambda c: F.struct(F.xxhash64(c, F.lit(salt)).alias("h"), F.col(c).alias("n"))
     deg = degrees(edges).filter("degree = 2").select("node")
     both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     ways = both.join(deg, F.col("a") == F.col("node")).groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "w"))).alias("ways"))  # two each
-    rival = both.join(deg, F.col("a") == F.col("node")).select("a", "b").join(deg.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("b").alias("rival"))
-    chosen = ways.join(rival, "a", "left").filter("rival IS NULL OR a < rival").filter("ways[0].b <> ways[1].b")
+    rival = both.join(deg, F.col("a") == F.col("node")).select("a", "b").join(deg.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min(rank("b")).alias("rival"))
+    chosen = ways.join(rival, "a", "left").filter(F.col("rival").isNull() | (rank("a") < F.col("rival"))).filter("ways[0].b <> ways[1].b")
     gone = chosen.select(F.col("a").alias("gone"))
     joined = chosen.select(F.col("ways")[0]["b"].alias("a"), F.col("ways")[1]["b"].alias("b"), (F.col("ways")[0]["w"] + F.col("ways")[1]["w"]).alias("w"))
     kept = edges.select("a", "b", "w").join(gone, F.col("a") == F.col("gone"), "left_anti").join(gone, F.col("b") == F.col("gone"), "left_anti")
@@ -52,11 +55,15 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 
 def contracted_fully(edges: DataFrame) -> DataFrame:
-    """``contracted`` until no round takes out an edge; a chain of n nodes takes some log n rounds."""
+    """``contracted`` until no round takes out an edge.
+
+    Each round draws new ranks, and about a third of a chain's nodes rank below both neighbours, so a chain of n nodes takes
+    some log n rounds however its nodes are named.
+    """
     edges = written(edges.select("a", "b", "w"), "edges")
-    n = edges.count()
+    n, salt = edges.count(), 0
     while True:
-        new = written(contracted(edges), "contracted")
+        new, salt = written(contracted(edges, salt), "contracted"), salt + 1
         discard(edges)
         left = new.count()
         if left == n:
@@ -64,6 +71,53 @@ def contracted_fully(edges: DataFrame) -> DataFrame:
         edges, n = new, left
 
 
+def hanging(ways: DataFrame, drops: DataFrame, keep: DataFrame) -> DataFrame:
+    """``piece`` of the pieces of two-way ``ways`` (``a, b``) that are left only by one-way ``drops`` (``a, b``) and that nothing leads into.
+
+    Pieces that hold a node of ``keep`` stay.
+    """
+    piece = written(connected_components(ways), "pieces")
+    of = lambda c, name: piece.select(F.col("node").alias(c), F.col("component").alias(name))
+    moves = drops.select("a", "b").join(of("a", "src"), "a").join(of("b", "dst"), "b").filter("src <> dst").select("src", "dst")
+    held = moves.select(F.col("dst").alias("piece")).unionByName(keep.select("node").join(piece, "node").select(F.col("component").alias("piece")))
+    return moves.select(F.col("src").alias("piece")).distinct().join(held, "piece", "left_anti")
+
+
+def closest_links(points: DataFrame, group: str, reach: float) -> DataFrame:
+    """``u, v, w``: a least spanning forest over all groups of ``points`` (``group, x, y``), each link as long as the closest pair of its groups.
+
+    Pairs are looked for within ``reach`` first; groups that this leaves apart are looked for within twice the reach, and so on.  From
+    the second round on, only points outside of the largest piece look for others, and never inside their own piece.
+    """
+    places = points.select(F.col(group).alias("g"), "x", "y").dropna().distinct()
+    names = written(places.select("g").distinct().select("g", F.col("g").alias("piece")), "groups")
+    places, taken = written(places, "places"), None
+    while names.select("piece").distinct().limit(2).count() > 1:
+        placed = places.join(names, "g")
+        most = placed.groupBy("piece").count().orderBy(F.desc("count"), "piece").first()["piece"]
+        looking = placed.filter(F.col("piece") != F.lit(most)) if taken is not None else placed
+        left = in_buckets(looking, F.col("x") - reach, F.col("x") + reach, F.col("y") - reach, F.col("y") + reach, reach)
+        right = point_buckets(placed.toDF("o_g", "o_x", "o_y", "o_piece"), reach, "o_x", "o_y")
+        w = geo.distance(F.col("x"), F.col("y"), F.col("o_x"), F.col("o_y"))
+        pairs = left.join(right, ["bx", "by"]).filter("piece <> o_piece").withColumn("w", w).filter(F.col("w") <= reach)
+        closest = pairs.groupBy(F.least("g", "o_g").alias("gu"), F.greatest("g", "o_g").alias("gv")).agg(F.min("w").alias("w"))
+        of = lambda c: names.select(F.col("g").alias(f"g{c}"), F.col("piece").alias(c))
+        links = closest.join(of("u"), "gu").join(of("v"), "gv")
+        # Of pieces each pair is linked once, by its shortest pair of groups.
+        one = written(links.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.struct("w", "gu", "gv")).alias("link")), "closest")
+        forest = spanning_links(one.select("u", "v", F.col("link.w").alias("w")))
+        now = written(forest.select("u", "v").join(one, ["u", "v"]).select("link.gu", "link.gv", "link.w"), "taken")
+        reach *= 2
+        if not now.limit(1).count():
+            continue
+        taken = now if taken is None else taken.unionByName(now)
+        joined = connected_components(taken, "gu", "gv")
+        names = written(names.select("g").join(joined.select(F.col("node").alias("g"), "component"), "g", "left").select("g", F.coalesce("component", "g").alias("piece")), "groups")
+    if taken is None:
+        return points.sparkSession.createDataFrame([], f"u {dict(names.dtypes)['g']}, v {dict(names.dtypes)['g']}, w double")
+    return taken.select(F.col("gu").alias("u"), F.col("gv").alias("v"), "w")
+
+
 def without_small(edges: DataFrame, length: float) -> DataFrame:
     """Edges of components whose edges add up to ``length`` at least."""
     found = connected_components(edges).withColumnRenamed("node", "a")

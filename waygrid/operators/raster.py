@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waygrid.functions import geo
+from waygrid.operators.chains import ordered_chains
 from waygrid.plans.components import connected_components
-from waygrid.plans.scratch import written
+from waygrid.plans.scratch import discard, written
 
 
 def midpoint_samples(segments: DataFrame, step: float) -> DataFrame:
@@ -179,3 +180,78 @@ def traced_lines(cells: DataFrame) -> DataFrame:
     length = F.sum(F.when(F.col("line_b"), F.col("step") / 2).otherwise(F.col("step")))
     found = ways.groupBy(F.col("part_a").alias("line")).agg(F.min(node).alias("a"), F.max(node).alias("b"), F.expr("count(*) div 2").alias("cells"), length.alias("length"))
     return found.withColumns({end: F.coalesce(end, "line") for end in ("a", "b")})
+
+
+def line_points(cells: DataFrame) -> DataFrame:
+    """``line, seq, r, c, closed``: the cells of the lines of ``traced_lines`` in order, from the end with the smaller cell on."""
+    key = lambda r, c: r * 2147483648 + c
+    seen = neighbours(cells.select("r", "c", F.lit(1).alias("v")).distinct(), RING)
+    here, there = key(F.col("r"), F.col("c")), key(F.col("r") + F.col("dr"), F.col("c") + F.col("dc"))
+    kinds = written(seen.groupBy(here.alias("node")).agg(F.count("other").alias("n")).filter("n = 2").select("node"), "kinds")
+    met = seen.filter("other IS NOT NULL").select(here.alias("a"), there.alias("b"))
+    for end in ("a", "b"):
+        met = met.join(kinds.select(F.col("node").alias(end)), end)
+    found = ordered_chains(met.select("a", "b").unionByName(kinds.select(F.col("node").alias("a"), F.col("node").alias("b"))))
+    return found.select(F.col("chain").alias("line"), "seq", F.shiftright("node", 31).alias("r"), F.pmod("node", F.lit(1 << 31)).alias("c"), "closed")
+
+
+def outline_rings(cells: DataFrame) -> DataFrame:
+    """``ring, seq, r2, c2``: the outlines of the cells ``r, c`` as closed rings of points, in halves of a cell.
+
+    Between a cell of the shape and one outside of it lies a point; each square of four cells joins the points on its sides, and
+    where all four sides have one, those beside its first and beside its third cell.  So every point has two neighbours.
+    """
+    own = cells.select("r", "c").distinct()
+    bits = {(0, 0): 1, (1, 0): 2, (1, 1): 4, (0, 1): 8}
+    sent = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(n).alias("bit")) for (a, b), n in bits.items()]))
+    squares = own.select("r", "c", sent.alias("s")).select((F.col("r") - F.col("s.dr")).alias("r"), (F.col("c") - F.col("s.dc")).alias("c"), "s.bit")
+    squares = squares.groupBy("r", "c").agg(F.sum("bit").alias("square")).filter("square < 15")
+    point = lambda r, c: cell_key(2 * F.col("r") + r + 4, 2 * F.col("c") + c + 4)
+    inside = lambda n: F.col("square").bitwiseAND(n) > 0
+    sides = [(1, 2, point(1, 0)), (2, 4, point(2, 1)), (4, 8, point(1, 2)), (8, 1, point(0, 1))]
+    met = F.filter(F.array(*[F.when(inside(a) != inside(b), p) for a, b, p in sides]), lambda x: x.isNotNull())
+    links = squares.select(met.alias("p")).select(F.explode(F.when(F.size("p") == 4, F.array(F.struct(F.col("p")[0], F.col("p")[1]), F.struct(F.col("p")[2], F.col("p")[3]))).otherwise(F.array(F.struct(F.col("p")[0], F.col("p")[1])))).alias("l"))
+    found = ordered_chains(links.select(F.col("l.col1").alias("a"), F.col("l.col2").alias("b")))
+    place = lambda of: (F.shiftright(of, 31) - 4, F.pmod(of, F.lit(1 << 31)) - 4)
+    r, c = place("node")
+    return found.select(F.col("chain").alias("ring"), "seq", r.alias("r2"), c.alias("c2"))
+
+
+#: The ring around a cell, in turn, beginning to the east; even places share a side with the cell.
+TURN = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]
+
+
+def thinned(cells: DataFrame) -> DataFrame:
+    """``r, c`` of a skeleton of the cells ``r, c``: thin lines that keep the number of pieces and of holes.
+
+    A round takes the cells that had a side open when it began, in four turns, one for each of the four sub-fields of even
+    and odd rows and columns.  Cells of one sub-field never touch, so a turn may take all of its cells that are simple (of which the
+    taking neither parts nor joins anything) and have two neighbours or more.  It ends with a round that takes none.
+    A turn is one join of the cells with their neighbours; the rounds are as many as half the greatest width.
+    """
+    left = written(cells.select("r", "c").distinct(), "cells")
+    n = left.count()
+    bit = reduce(lambda a, b: a + b, [F.when((F.col("dr") == d[0]) & (F.col("dc") == d[1]) & F.col("other").isNotNull(), 1 << i).otherwise(0) for i, d in enumerate(TURN)])
+
+    def with_ring(df: DataFrame) -> DataFrame:
+        ring = neighbours(df.withColumn("v", F.lit(1)), TURN).groupBy("r", "c").agg(F.sum(bit).cast("int").alias("ring"))
+        return df.join(ring, ["r", "c"])
+
+    has = lambda i: F.shiftright("ring", i % 8).bitwiseAND(1)
+    # Beginnings of runs of open cells that hold one at a side: one of them makes a cell simple.
+    openings = reduce(lambda a, b: a + b, [(1 - has(i)) - (1 - has(i)) * (1 - has(i + 1)) * (1 - has(i + 2)) for i in (0, 2, 4, 6)])
+    while True:
+        edge = reduce(lambda a, b: a | b, [has(i) == 0 for i in (0, 2, 4, 6)])
+        at = written(with_ring(left).select("r", "c", edge.alias("edge")), "cells")
+        discard(left)
+        for dr, dc in ((0, 0), (1, 1), (0, 1), (1, 0)):
+            mine = (F.pmod("r", F.lit(2)) == dr) & (F.pmod("c", F.lit(2)) == dc)
+            taken = mine & F.col("edge") & (openings == 1) & (F.bit_count("ring") >= 2)
+            new = written(with_ring(at).filter(~taken).select("r", "c", "edge"), "cells")
+            discard(at)
+            at = new
+        left = at.select("r", "c")
+        now = left.count()
+        if now == n:
+            return left
+        n = now

@@ -100,21 +100,16 @@ def merged_close_nodes(spark, sf):
 
 
 PAIRS = """SELECT CAST(least(s.kind, t.kind) AS BIGINT) AS u, CAST(greatest(s.kind, t.kind) AS BIGINT) AS v, min(sqrt((s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y))) AS w FROM $sites s JOIN $sites t ON s.kind <> t.kind
- WHERE sqrt((s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y)) <= 2500 GROUP BY 1, 2"""
+ GROUP BY 1, 2"""
 
 
 @query(f"""WITH RECURSIVE p AS ({PAIRS}), l AS (SELECT *, row_number() OVER (ORDER BY w, u, v) AS n FROM p), ways AS (SELECT u AS a, v AS b, n FROM l UNION ALL SELECT v AS a, u AS b, n FROM l),
 reach AS (SELECT n AS link, u AS node FROM l UNION SELECT r.link, b.b AS node FROM reach r JOIN ways b ON b.a = r.node AND b.n < r.link)
 SELECT u, v, round(w, 6) AS w FROM l WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.link = l.n AND r.node = l.v)""")
 def bridges(spark, sf):
-    """The fewest and shortest links that join groups of places: the closest pair of each two groups, then a spanning forest."""
+    """The fewest and shortest links that join all groups of places, however far apart: closest pairs, looked for in widening reach."""
     sites = fixture(spark, sf, "sites").select(F.col("kind").cast("bigint").alias("kind"), "x", "y")
-    left = in_buckets(sites, F.col("x") - 2500, F.col("x") + 2500, F.col("y") - 2500, F.col("y") + 2500, 2500)
-    right = point_buckets(sites.toDF("o_kind", "o_x", "o_y"), 2500, "o_x", "o_y")
-    w = geo.distance(F.col("x"), F.col("y"), F.col("o_x"), F.col("o_y"))
-    pairs = left.join(right, ["bx", "by"]).withColumn("w", w).filter("kind < o_kind AND w <= 2500")
-    closest = pairs.groupBy(F.col("kind").alias("u"), F.col("o_kind").alias("v")).agg(F.min("w").alias("w"))
-    return network.spanning_links(closest).select("u", "v", F.round("w", 6).alias("w"))
+    return network.closest_links(sites, "kind", 300).select("u", "v", F.round("w", 6).alias("w"))
 
 
 NEAREST = """SELECT pid, wid, t, d FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, wid) AS n FROM (SELECT pid, wid, t, sqrt((x - (x1 + t * (x2 - x1))) * (x - (x1 + t * (x2 - x1))) + (y - (y1 + t * (y2 - y1))) * (y - (y1 + t * (y2 - y1)))) AS d FROM (
@@ -155,19 +150,14 @@ def replayed_edits(spark, sf):
 
 
 @query("""WITH RECURSIVE e AS (SELECT a, b FROM $forest UNION SELECT b AS a, a AS b FROM $forest), reach AS (SELECT p_partkey AS node, p_partkey AS other FROM @part UNION SELECT r.node, e.b AS other FROM reach r JOIN e ON r.other = e.a),
-c AS (SELECT node, min(other) AS piece FROM reach GROUP BY node), drops AS (SELECT p_partkey AS a, (p_partkey * 37 + 11) % (SELECT max(p_partkey) + 1 FROM @part) AS b FROM @part WHERE p_partkey % 24 = 5),
+c AS (SELECT node, min(other) AS piece FROM reach GROUP BY node), drops AS (SELECT a, b FROM $arcs WHERE w = 13 AND a < b),
 x AS (SELECT u.piece AS src, v.piece AS dst FROM drops d JOIN c u ON u.node = d.a JOIN c v ON v.node = d.b WHERE u.piece <> v.piece)
-SELECT DISTINCT dst AS piece FROM x WHERE dst NOT IN (SELECT src FROM x)""")
+SELECT DISTINCT src AS piece FROM x WHERE src NOT IN (SELECT dst FROM x) AND src NOT IN (SELECT piece FROM c JOIN @supplier ON s_nationkey = node)""")
 def hanging_pieces(spark, sf):
-    """Pieces of a network that only one-way drops lead to, and nothing out of."""
-    ways = fixture(spark, sf, "forest")
-    piece = components.connected_components(ways)
-    parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey")
-    n = parts.agg((F.max("p_partkey") + 1).alias("n"))
-    drops = parts.filter("p_partkey % 24 = 5").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 37 + 11) % F.col("n")).alias("b"))  # one row
-    of = lambda c, name: piece.select(F.col("node").alias(c), F.col("component").alias(name))
-    moves = drops.join(of("a", "src"), "a").join(of("b", "dst"), "b").filter("src <> dst")
-    return moves.select(F.col("dst").alias("piece")).distinct().join(moves.select(F.col("src").alias("piece")), "piece", "left_anti")
+    """Pieces of a network that are left only by one-way drops and that none leads into, unless they hold a node to keep."""
+    drops = fixture(spark, sf, "arcs").filter("w = 13 AND a < b")
+    keep = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_nationkey").alias("node"))
+    return network.hanging(fixture(spark, sf, "forest"), drops, keep)
 
 
 @query("""WITH RECURSIVE weak AS (SELECT r * 65536 + c AS node, v FROM $cells WHERE v > 0), e AS (SELECT a.r * 65536 + a.c AS a, b.r * 65536 + b.c AS b FROM $cells a JOIN $cells b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) AND a.v > 0 AND b.v > 0),

@@ -13,6 +13,7 @@ from waygrid.queries import query
 from waygrid.queries.moves import ORDER, PATH, POINT, STEPPED
 from waygrid.sources.fixtures import fixture
 from waygrid.streaming import detectors
+from waygrid.streaming.replay import run_to_end, table_stream
 
 
 def _table(spark, sf, name):
@@ -277,20 +278,44 @@ def typed_numbers(spark, sf):
     return _table(spark, sf, "events").select("event_id", text.number_token(shapes).alias("number"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS time, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, event_id % 3 = 0 AS walking, CASE WHEN x * x + y * y <= 2025 THEN 1 WHEN (x - 100) * (x - 100) + (y + 60) * (y + 60) <= 2025 THEN 2 ELSE 0 END AS side, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM $tracks),
-run AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, 0 AS near, CAST(0 AS DOUBLE) AS since, 0 AS streak, CAST(0 AS DOUBLE) AS streak_at, CAST(NULL AS DOUBLE) AS carried, 0 AS riding, 0 AS still, CAST(NULL AS DOUBLE) AS lx, CAST(NULL AS DOUBLE) AS ly, 0 AS left_side, CAST(0 AS DOUBLE) AS left_at, false AS there, 0 AS side, CAST(0 AS DOUBLE) AS time FROM e WHERE n = 1
-UNION ALL SELECT user_id, n, event_id, CASE WHEN gone OR (near1 > 0 AND side = 0 AND time - since1 > 864000) THEN 0 ELSE near1 END AS near, since1 AS since, streak1 AS streak, at1 AS streak_at, CASE WHEN gone THEN NULL ELSE carried1 END AS carried, CASE WHEN still1 >= 2 THEN 0 ELSE riding1 END AS riding, still1 AS still, x AS lx, y AS ly, CASE WHEN gone THEN near1 ELSE 0 END AS left_side, CASE WHEN gone THEN carried1 ELSE 0 END AS left_at, still1 >= 2 AS there, side, time FROM (
- SELECT *, CASE WHEN riding1 > 0 AND side = 3 - riding1 AND NOT moved THEN still0 + 1 ELSE 0 END AS still1 FROM (SELECT *, CASE WHEN gone THEN near1 ELSE riding0 END AS riding1 FROM (
- SELECT *, near1 > 0 AND carried1 IS NOT NULL AND CASE WHEN near1 = 1 THEN x * x + y * y ELSE (x - 100) * (x - 100) + (y + 60) * (y + 60) END >= 3600 AS gone FROM (
- SELECT *, CASE WHEN streak1 = 1 THEN time ELSE at0 END AS at1, CASE WHEN near1 > 0 AND moved THEN CASE WHEN streak1 >= 2 THEN coalesce(carried0, at0) ELSE carried0 END WHEN walking THEN NULL ELSE carried0 END AS carried1 FROM (
- SELECT *, CASE WHEN near1 > 0 AND moved THEN streak0 + 1 ELSE 0 END AS streak1 FROM (
- SELECT e.*, CASE WHEN e.side > 0 THEN e.side ELSE r.near END AS near1, CASE WHEN e.side > 0 AND e.side <> r.near THEN e.time ELSE r.since END AS since1, r.streak AS streak0, r.streak_at AS at0, r.carried AS carried0, r.riding AS riding0, r.still AS still0,
- coalesce(NOT e.walking AND (e.x - r.lx) * (e.x - r.lx) + (e.y - r.ly) * (e.y - r.ly) >= 2.25, false) AS moved FROM run r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) a) b) c) d) f) g)
-SELECT user_id, event_id, 'departed' AS what, left_side AS side, round(left_at, 3) AS at_ FROM run WHERE left_side > 0 UNION ALL SELECT user_id, event_id, 'arrived' AS what, side, round(time, 3) AS at_ FROM run WHERE there""")
+def _rides_sql(samples: str) -> str:
+    """Phases sample by sample; 0 elsewhere, 1 waiting, 2 boarding, 3 on board, 4 under way."""
+    return f"""WITH RECURSIVE e AS (SELECT *, CASE WHEN d1 <= 2025 THEN 1 WHEN d2 <= 2025 THEN 2 ELSE 0 END AS place FROM (SELECT *, x * x + y * y AS d1, (x - 100) * (x - 100) + (y + 60) * (y + 60) AS d2, row_number() OVER (PARTITION BY user_id ORDER BY time, event_id) AS n FROM ({samples}) q) q),
+m AS (SELECT *, coalesce(NOT walking AND (x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w) >= 2.25, false) AS carried FROM e WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+run AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, 0 AS phase, 0 AS dock, CAST(0 AS DOUBLE) AS boarded, 0 AS rests, false AS gone, false AS there, CAST(0 AS DOUBLE) AS time FROM m WHERE n = 1
+UNION ALL SELECT user_id, n, event_id, CASE WHEN rests2 >= 2 THEN 1 WHEN gone THEN 4 ELSE phase1 END AS phase, CASE WHEN rests2 >= 2 THEN 3 - dock1 ELSE dock1 END AS dock, boarded1 AS boarded, rests2 AS rests, gone, rests2 >= 2 AS there, time FROM (
+ SELECT *, CASE WHEN (gone OR phase1 = 4) AND place = 3 - dock1 AND NOT carried THEN CASE WHEN gone THEN 1 ELSE rests + 1 END ELSE 0 END AS rests2 FROM (
+ SELECT *, CASE WHEN phase1 = 2 THEN time ELSE boarded END AS boarded1, phase1 = 3 AND CASE WHEN dock1 = 1 THEN d1 ELSE d2 END >= 3600 AS gone FROM (
+ SELECT *, CASE WHEN carried THEN CASE phase0 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE phase0 END WHEN phase0 = 4 OR (phase0 = 3 AND NOT walking) THEN phase0 WHEN place > 0 THEN 1 ELSE 0 END AS phase1, CASE WHEN carried OR phase0 = 4 OR (phase0 = 3 AND NOT walking) THEN dock0 ELSE place END AS dock1 FROM (
+ SELECT m.*, r.boarded, r.rests, CASE WHEN r.phase >= 2 AND m.time - r.boarded > 864000 THEN 0 ELSE r.phase END AS phase0, CASE WHEN r.phase >= 2 AND m.time - r.boarded > 864000 THEN 0 ELSE r.dock END AS dock0 FROM run r JOIN m ON m.user_id = r.user_id AND m.n = r.n + 1) a) b) c) d)
+SELECT user_id, event_id, 'departed' AS what, CASE WHEN there THEN 3 - dock ELSE dock END AS side, round(boarded, 3) AS at_ FROM run WHERE gone UNION ALL SELECT user_id, event_id, 'arrived' AS what, dock AS side, round(time, 3) AS at_ FROM run WHERE there"""
+
+
+RIDE_OUT = "user_id bigint, event_id bigint, what string, side int, at_ double"
+RIDE_COLUMNS = ["event_id", "time", "x", "y", "walking"]
+
+
+def ride_rule():
+    return detectors.transport(((0.0, 0.0), (100.0, -60.0)), reach=45, carry=1.5, away=60, idle=864000, checks=2)
+
+
+@query(_rides_sql("SELECT user_id, event_id, epoch_us(ts) / 1e6 AS time, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, event_id % 3 = 0 AS walking FROM $tracks"))
 def transport_rides(spark, sf):
-    """Departures and arrivals of transports by the full rule: carried twice while standing, sixty yards off, still twice at the other dock."""
+    """Departures and arrivals of transports: from the dock waited at, carried twice while standing and sixty yards off; still twice at the other dock."""
     tracks = fixture(spark, sf, "tracks")
     rows = tracks.select("user_id", "event_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("time"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.col("event_id") % 3 == 0).alias("walking"))
-    step = detectors.transport(((0.0, 0.0), (100.0, -60.0)), reach=45, carry=1.5, away=60, idle=864000, checks=2)
-    out = detectors.over_table(rows, "user_id", ["event_id", "time", "x", "y", "walking"], step, detectors.NO_RIDE, "user_id bigint, event_id bigint, what string, side int, at_ double", ["ts", "event_id"])
+    out = detectors.over_table(rows, "user_id", RIDE_COLUMNS, ride_rule(), detectors.NO_RIDE, RIDE_OUT, ["ts", "event_id"])
     return out.withColumn("at_", F.round("at_", 3))
+
+
+#: Samples that need no order to be made: places jump between the docks and around them.
+JUMPS = "CAST((event_id * 37) % 13 * 12 - 24 AS DOUBLE) AS x, CAST((event_id * 37) % 13 * -7 + (event_id * 11) % 9 AS DOUBLE) AS y"
+
+
+@query(_rides_sql(f"SELECT user_id, event_id, epoch_us(ts) / 1e6 AS time, {JUMPS}, event_id % 3 = 0 AS walking FROM @events"))
+def transport_stream(spark, sf):
+    """The same machine over a stream of samples, with its state kept by Spark."""
+    rows = table_stream(spark, sf, "events").selectExpr("user_id", "event_id", "unix_micros(CAST(ts AS TIMESTAMP)) / 1e6 AS time", *JUMPS.split(", "), "event_id % 3 = 0 AS walking")
+    state = "phase int, dock int, boarded double, rests int, x double, y double"
+    out = detectors.over_stream(rows, "user_id", RIDE_COLUMNS, ride_rule(), detectors.NO_RIDE, state, RIDE_OUT, ["time", "event_id"])
+    return run_to_end(out).withColumn("at_", F.round("at_", 3))

@@ -100,47 +100,56 @@ def arriving(stops: list[tuple[float, float]], reach: float) -> Step:
     return step
 
 
-#: State of a player who is near no dock, on no ride, and not seen before.
-NO_RIDE = (0, 0.0, 0, 0.0, None, 0, 0, None, None)
+#: Phases of a player on a line between two docks.
+ELSEWHERE, WAITING, BOARDING, ABOARD, UNDER_WAY = range(5)
+
+#: Phase, dock of the phase, when it was boarded, samples at rest at the far dock, last place.
+NO_RIDE = (ELSEWHERE, 0, 0.0, 0, None, None)
+
+
+def next_phase(phase: int, dock: int, place: int, carried: bool, walking: bool) -> tuple[int, int]:
+    """Phase and dock after a sample taken at dock ``place`` (0: at none).
+
+    Being carried leads from waiting over boarding on board, and changes nothing otherwise: who is carried to a dock doesn't
+    wait there.  Who stands on board stays there, and so does everyone under way.  Anyone else waits at the dock where
+    they are.
+    """
+    if carried:
+        return {WAITING: BOARDING, BOARDING: ABOARD}.get(phase, phase), dock
+    if phase == UNDER_WAY or phase == ABOARD and not walking:
+        return phase, dock
+    return (WAITING, place) if place else (ELSEWHERE, 0)
 
 
 def transport(docks: tuple[tuple[float, float], tuple[float, float]], reach: float, carry: float, away: float, idle: float, checks: int) -> Step:
     """Rides between two docks from samples ``(id, time, x, y, walking)``: gives ``(id, what, side, time)``.
 
-    A player near a dock who moves ``carry`` or more at two samples in a row without walking is carried, from the first of
-    them on; ``away`` from that dock the ride has departed.  At the other dock and not carried at ``checks`` samples in a
-    row it has arrived.  A dock left ``idle`` seconds ago is forgotten, and walking ends being carried.
+    A ride departs only from the dock where its player waited: when carried (``carry`` or more without walking) at two
+    samples in a row and ``away`` from that dock; the time is that of the first of them.  Being at rest at the other dock
+    for ``checks`` samples is its arrival and never a departure.  What was boarded ``idle`` seconds ago is forgotten.
     """
 
-    def far2(x: float, y: float, side: int) -> float:
-        return (x - docks[side - 1][0]) ** 2 + (y - docks[side - 1][1]) ** 2
-
     def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
-        near, since, streak, streak_at, carried, riding, still, last_x, last_y = state
+        phase, dock, boarded, rests, last_x, last_y = state
         name, time, x, y, walking = row
-        side = next((s for s in (1, 2) if far2(x, y, s) <= reach * reach), 0)
-        moved = not walking and last_x is not None and (x - last_x) ** 2 + (y - last_y) ** 2 >= carry * carry
+        from_dock = [(x - a) ** 2 + (y - b) ** 2 for a, b in docks]
+        place = next((i for i, d in enumerate(from_dock, 1) if d <= reach * reach), 0)
+        carried = not walking and last_x is not None and (x - last_x) ** 2 + (y - last_y) ** 2 >= carry * carry
+        if phase >= BOARDING and time - boarded > idle:
+            phase, dock = ELSEWHERE, 0
+        phase, dock = next_phase(phase, dock, place, carried, walking)
         found = []
-        if side:
-            near, since = side, since if near == side else time
-        if near and moved:
-            streak += 1
-            if streak == 1:
-                streak_at = time
-            elif carried is None:
-                carried = streak_at
-        else:
-            streak, carried = 0, None if walking else carried
-        if near and carried is not None and far2(x, y, near) >= away * away:
-            found.append((name, "departed", near, carried))
-            near, carried, riding = 0, None, near
-        if near and not side and time - since > idle:
-            near = 0
-        still = still + 1 if riding and side == 3 - riding and not moved else 0
-        if still >= checks:
-            found.append((name, "arrived", side, time))
-            riding = 0
-        return (near, since, streak, streak_at, carried, riding, still, x, y), found
+        if phase == BOARDING:
+            boarded = time
+        elif phase == ABOARD and from_dock[dock - 1] >= away * away:
+            phase, rests = UNDER_WAY, 0
+            found.append((name, "departed", dock, boarded))
+        if phase == UNDER_WAY:
+            rests = rests + 1 if place == 3 - dock and not carried else 0
+            if rests >= checks:
+                phase, dock = WAITING, place
+                found.append((name, "arrived", place, time))
+        return (phase, dock, boarded, rests, x, y), found
 
     return step
 
