@@ -221,7 +221,8 @@ def test_deep_buckets_and_split_blocks_find_neighbours(spark, monkeypatch):
         monkeypatch.setattr(ann, name, value)
     assert ann.depth_for(2400, 64) == 2
     rows = df.selectExpr("vec_id as id", "embedding as vector")
-    few = ann.probes_needed(rows, rows.filter("id % 20 = 0"), 2, 10)
+    depth, few = ann.probes_needed(rows, rows.filter("id % 20 = 0"), 2, 10)
+    assert depth == 2
     assert few < 0.05 * ann.TABLES * 64 * 64  # clustered vectors need few of all buckets
     got = ann.nearest(df, df.filter("vec_id % 20 = 0"), k=10).toPandas()
     hits = 0

@@ -7,7 +7,9 @@ over all tables at once; candidates are ranked by their exact distance on the or
 
 How many buckets are probed is measured: for a sample of at most ``SAMPLE`` queries the exact neighbours are found by
 comparison with all rows, and the number is the least that reaches a share of ``RECALL`` of them.  On clustered
-vectors, and the more of them there are, the fewer buckets that takes.
+vectors, and the more of them there are, the fewer buckets that takes.  So is the depth: the number of rows proposes it, and
+where its probes can't reach that share (a query combines its ``AXES`` nearest axes only) one rotation less is
+taken.  With one rotation every bucket can be probed, which is a comparison with all rows if need be.
 
 Buckets are split on both sides into blocks of bounded size, each a matrix product in one task, so a bucket that holds
 a third of all rows or is asked by a third of all queries is more blocks and not a longer task.  A block answers each
@@ -145,15 +147,15 @@ def _closest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, most: int) -> Iterat
         yield at[close[best]], exact[best]
 
 
-def probes_needed(rows: DataFrame, asked: DataFrame, depth: int, k: int) -> int:
-    """How many probes reach a share of ``RECALL`` of the exact neighbours of a sample of queries.
+def probes_needed(rows: DataFrame, asked: DataFrame, depth: int, k: int) -> tuple[int, int]:
+    """The depth, at most ``depth``, and how many probes reach a share of ``RECALL`` of the exact neighbours of a sample of queries.
 
     The sample goes to all rows, each task of which passes on its nearest ones only; the driver sees the sample and
     ``k`` neighbours of each.
     """
     sample = asked.select("id", "vector").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     if not sample:
-        return 1
+        return depth, 1
     q = np.array([r["vector"] for r in sample], float)
     sent = rows.sparkSession.sparkContext.broadcast(q)
 
@@ -174,20 +176,26 @@ def probes_needed(rows: DataFrame, asked: DataFrame, depth: int, k: int) -> int:
     rank = F.row_number().over(Window.partitionBy("n").orderBy("score", "vector"))
     found = found.filter("score > 0").withColumn("rank", rank).filter(F.col("rank") <= k).select("n", "vector").toArrow()
     if not found.num_rows:
-        return 1
+        return depth, 1
     x, n = _vectors(found["vector"].combine_chunks()), found["n"].to_numpy()
-    own = [own_buckets(x, table, depth) for table in range(TABLES)]
-    needed = np.full(len(x), np.inf)
-    for i, row in enumerate(q):
-        place = {bucket: rank for rank, bucket in enumerate(probes(row, depth)[0].tolist(), 1)}
-        for j in np.nonzero(n == i)[0]:
-            needed[j] = min(place.get(int(o[j]), np.inf) for o in own)
-    most = np.sort(needed)[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]
-    return int(most) if np.isfinite(most) else len(probes(q[0], depth)[0])
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``query_id, rank, <key>, score``: for each row of ``queries`` (rows of ``vectors``) the nearest rows found."""
+    while True:
+        own = [own_buckets(x, table, depth) for table in range(TABLES)]
+        needed = np.full(len(x), np.inf)
+        for i, row in enumerate(q):
+            place = {bucket: rank for rank, bucket in enumerate(probes(row, depth)[0].tolist(), 1)}
+            for j in np.nonzero(n == i)[0]:
+                needed[j] = min(place.get(int(o[j]), np.inf) for o in own)
+        most = np.sort(needed)[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]
+        if np.isfinite(most):
+            return depth, int(most)
+        depth -= 1  # at depth one nothing is out of reach
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", depth: int | None = None) -> DataFrame:
+    """``query_id, rank, <key>, score``: for each row of ``queries`` (rows of ``vectors``) the nearest rows found.
+
+    ``depth`` is the depth to begin with, by default that for the number of rows.
+    """
 
     def usable(df: DataFrame) -> DataFrame:
         df = df.select(df[key].alias("id"), df[vector].alias("vector")).filter("id is not null and size(vector) > 0")
@@ -206,9 +214,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
     stands = written(prints.groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "stands")
     standing = written(rows.join(stands.select("print", "id"), ["print", "id"]).select("id", "vector").distinct(), "standing")
     asked = written(asked, "asked")
-    depth = depth_for(standing.count(), 2 << max(1, (size - 1).bit_length()))
+    depth, most = probes_needed(standing, asked, depth or depth_for(standing.count(), 2 << max(1, (size - 1).bit_length())), k)
     index = written(_indexed(standing, depth), "index")
-    probing = written(_probing(asked, depth, probes_needed(standing, asked, depth, k)), "probing")
+    probing = written(_probing(asked, depth, most), "probing")
     parts = lambda df, most, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
     sizes = written(parts(index, BLOCK, "blocks").join(parts(probing, ASKED, "groups"), "bucket"), "buckets")
     one_of = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")

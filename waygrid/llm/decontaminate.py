@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Edits for each character of an item; characters of items in one scan.
 RATE, SCAN = 0.08, 4_000_000
 
@@ -141,6 +143,9 @@ def find_items(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str
 
         arrow = pa.schema([("key", _arrow(kind)), ("item_ids", pa.list_(_arrow(item_kind))), ("distances", pa.list_(pa.int32()))])
         part = docs.mapInArrow(run, f"key {kind.simpleString()}, item_ids array<{item_kind.simpleString()}>, distances array<int>")
+        if blocks > 1:  # done before the next block is sent
+            part = written(part, "matches")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("key", key)
 

@@ -49,6 +49,15 @@ FURNITURE = frozenset(
     signup social sponsor sponsored subscribe subscription toolbar widget widgets
     """.split()
 )
+# Those of them that name furniture in an id too, and in longer names.
+PLAIN_FURNITURE = frozenset(
+    """
+    ads adsense advert advertisement advertising adverts banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies
+    disqus footer gdpr login masthead menu modal nav navbar navigation newsletter pager pagination popup respond sharebar sidebar signup sponsor
+    sponsored subscribe subscription toolbar widget widgets
+    """.split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements by their part in a page.
 DROPPED = frozenset("nav footer aside form head title button select option textarea label input iframe object embed canvas video audio noscript template svg math dialog menu".split())
 # Words that make a name one of a topic, a layout or a state instead.
@@ -85,29 +94,38 @@ class Block:
     furniture: bool
     article: int
     label: str = ""
+    doubt: int = 0  # number of the element around it whose name may be one of furniture or of a subject
 
 
-def _names_furniture(value: str) -> bool:
-    """Whether a class, id or role has a furniture word as one of its names, or first or last in one."""
+def _named(value: str, is_id: bool) -> int:
+    """2 if a class, id or role has a furniture word as one of its names, or first or last in one; 1 if that may be a subject; else 0."""
+    level = 0
     for name in value.split():
         words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
         if words and not FURNITURE.isdisjoint((words[0], words[-1])) and words[-1] not in STATES and words[0] not in TOPIC and LAYOUT.isdisjoint(words):
-            return True
-    return False
+            plain = not PLAIN_FURNITURE.isdisjoint((words[0], words[-1]))
+            level = max(level, 2 if plain or not is_id and len(words) < 3 else 1)
+    return level
 
 
 def _furniture(tag: str, attrs: str, in_article: bool) -> int:
-    """2 for furniture by element or hidden, 1 for that by name, else 0."""
+    """3 for furniture by element or hidden, 2 for that by name, 1 where densities have to decide whether a name says so, else 0.
+
+    A heading's id is the name of its section's subject.
+    """
     if tag in DROPPED or tag == "header" and not in_article:
-        return 2
+        return 3
     if not attrs or tag in ("html", "body"):
         return 0
     given: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(attrs):
         given.setdefault(name.lower(), html.unescape(value.strip("\"'")))
     if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or UNSHOWN.search(given.get("style", "")):
-        return 2
-    return int(tag != "main" and any(_names_furniture(given[x]) for x in ("class", "id", "role") if x in given))
+        return 3
+    if tag == "main":
+        return 0
+    level = max((_named(given[x], x == "id") for x in ("class", "id", "role") if x in given and not (x == "id" and tag in HEADINGS)), default=0)
+    return level if in_article else 2 * (level > 0)
 
 
 class _Open:
@@ -160,12 +178,13 @@ def blocks(page: str, names_hide_articles: bool = True) -> list[Block]:
     parts: list[str] = []
     links = articles = in_link = 0
     furniture, article = 0, 0
+    doubts = 0
 
     def flush() -> None:
         nonlocal links
         if parts:
             if text := " ".join("".join(parts).split()):
-                found.append(Block(text, links, furniture > 0, article))
+                found.append(Block(text, links, furniture > 1, article, doubt=doubts if furniture == 1 else 0))
             parts.clear()
             links = 0
 
@@ -209,10 +228,11 @@ def blocks(page: str, names_hide_articles: bool = True) -> list[Block]:
         if tag in VOID:
             continue
         inside = max(furniture, _furniture(tag, token["attrs"], article > 0))
-        if inside == 1 and tag in ("article", "main") and not article and not names_hide_articles:
+        if inside in (1, 2) and tag in ("article", "main") and not article and not names_hide_articles:
             inside = 0
         if inside != furniture:
             flush()
+            doubts += inside == 1
         if tag in ("article", "main") and not inside and not article:
             articles += 1
             opened.push(tag, inside, articles)
@@ -233,10 +253,11 @@ def stop_density(text: str) -> float:
 def first_pass(found: list[Block]) -> None:
     """Label the clear blocks ``good`` or ``bad`` and leave ``""`` on the others."""
     marked = any(b.article and not b.furniture for b in found)
+    prose = {b.doubt for b in found if b.doubt and len(b.text) >= SHORT and b.links <= MANY_LINKS * len(b.text) and stop_density(b.text) >= MANY_STOPS}
     for b in found:
         size = len(b.text)
         link_dense = b.links > MANY_LINKS * size
-        if b.furniture or marked and not b.article:
+        if b.furniture or marked and not b.article or b.doubt and b.doubt not in prose:
             b.label = "bad"
         elif size < SHORT:
             b.label = "bad" if b.links and not b.article else ""

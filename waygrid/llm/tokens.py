@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import trim
-from .common import worker_state, written
+from .common import BROADCAST_ROWS, worker_state, written
 
 CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokenizer", T.StringType())])
 
@@ -99,11 +99,12 @@ def _encoded(spark: SparkSession, texts: DataFrame, path: str) -> DataFrame:
 def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, cache_dir: str, limit: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_bytes, n_tokens, over_limit`` of every document, through the cache in ``cache_dir``.
 
-    Texts move once, and only those to be encoded are kept: the representative of each missing digest is
+    Only texts to be encoded move, and once: the representative of each missing digest is
     chosen from digests and hashed keys alone (map-side minima, so a text that fills a third of the rows costs one
     row per task), then met by both, so that neither a null key nor one key with several texts can take another
-    text's place.  Rows that repeat key and text are one before they move.  The last join carries no texts; a hot
-    digest there is split by the adaptive skew join.
+    text's place.  Up to a million missing digests go to the texts; with a full cache nothing but digests is shuffled.  Beyond
+    that the texts meet them in a shuffle.  The last join carries no texts; a hot digest there is split by the adaptive
+    skew join.
     """
     with open(tokenizer_path, "rb") as file:
         version = hashlib.sha256(file.read()).hexdigest()[:16]
@@ -114,8 +115,10 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, cach
     spark.createDataFrame([], CACHE).write.mode("append").partitionBy("tokenizer").parquet(cache_dir)  # so that a new folder can be read
     stored = spark.read.schema(CACHE).parquet(cache_dir).filter(mine).select("digest", "n_tokens")
     missing = digests.groupBy("digest").agg(F.min(F.xxhash64("key")).alias("owner")).join(stored, "digest", "left_anti")
-    texts = docs.select(F.xxhash64("key").alias("owner"), digest, "text").groupBy("owner", "digest").agg(F.first("text").alias("text"))
-    texts = missing.join(texts, ["owner", "digest"])
+    missing = written(missing.select(F.col("digest").alias("missed"), "owner"), "missing")
+    few = F.broadcast(missing) if missing.count() <= BROADCAST_ROWS else missing.hint("merge")
+    texts = docs.select(F.xxhash64("key").alias("own"), digest, "text").join(few, (F.col("digest") == F.col("missed")) & (F.col("own") == F.col("owner")))
+    texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
     _encoded(spark, texts, tokenizer_path).withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_dir)
     stored = spark.read.schema(CACHE).parquet(cache_dir).filter(mine).select("digest", "n_tokens")
     # Two runs that share a cache may both have added a digest: one count is kept.  Written, so that both sides of

@@ -193,7 +193,7 @@ class Scorer:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
-    """Fit on at most ``SAMPLE`` rows of ``docs`` that have a label, those of the smallest key hashes.
+    """Fit on at most ``SAMPLE`` labelled documents, those of the smallest key hashes; of rows that share a key, on one text.
 
     Features are counted by class in Spark; the driver receives these counts (``SPACE`` rows at most), the distinct
     swaps with their numbers, and of each sampled row only the slots that were chosen.
@@ -201,8 +201,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     named = labels.select(labels[key].alias("key"), labels[label].alias("label")).dropna()
     named = named.groupBy("key").agg(F.max("label").alias("label"))
     present = docs.select(docs[key].alias("key")).dropna().join(named, "key")
-    sample = written(present.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).distinct(), "sample")
+    sample = written(present.distinct().orderBy(F.xxhash64("key"), "key").limit(SAMPLE), "sample")
     texts = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(sample), "key")
+    texts = texts.groupBy("key").agg(F.max("label").alias("label"), F.min("text").alias("text"))  # a task passes on one row of a key
     change = pa.struct([("gone", pa.list_(pa.int32())), ("new", pa.list_(pa.int32())), ("n", pa.int64())])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
