@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from .scratch import discard, written
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = None, limits: DataFrame | None = None) -> DataFrame:
     """``source, node, cost``: least cost from each of ``sources`` (``source, node, cost``) along ``edges`` (``a, b, w``).
 
     Min-plus relaxation of the frontier: a round joins only the nodes that improved in the round before with their
     edges, keeps the minimum for each node, and writes the new costs.  It ends when nothing improves (or after
     ``rounds``, which then bounds the hops); the driver sees one number a round.  Weights must not be negative.
+    With ``limits`` (``source, limit``) a source goes no farther than its limit, so many short searches in one don't flood the network.
     Edges are written once, and both sides of the join are plain scans, so hubs are split by the adaptive join.
     """
     edges = written(edges.select("a", "b", F.col("w").cast("double").alias("w")).dropna(), "edges")
@@ -21,6 +22,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = No
     frontier, done = best, 0
     while rounds is None or done < rounds:
         reached = frontier.join(edges, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
+        if limits is not None:
+            reached = reached.join(limits, "source").filter(F.col("cost") <= F.col("limit")).drop("limit")
         both = reached.withColumn("old", F.lit(None).cast("double")).unionByName(best.withColumn("old", F.col("cost")))
         both = both.groupBy("source", "node").agg(F.min("cost").alias("cost"), F.min("old").alias("old"))
         both = written(both.withColumn("improved", F.col("old").isNull() | (F.col("cost") < F.col("old"))), "costs")
