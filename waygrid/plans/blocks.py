@@ -33,7 +33,41 @@ def block_graph(cells: DataFrame, size: int) -> DataFrame:
     return written(over.unionByName(walks.select(F.col("source").alias("a"), F.col("node").alias("b"), F.col("cost").alias("w"), F.lit(False).alias("crosses"))), "blocks")
 
 
-def block_search(cells: DataFrame, size: int, start: DataFrame) -> DataFrame:
-    """``node, cost`` of every portal that can be reached from the portals of ``start`` (``node``), over portals alone."""
-    found = shortest_paths(block_graph(cells, size), start.select(F.lit(0).alias("source"), "node", F.lit(0.0).alias("cost")))
+def block_search(graph: DataFrame, start: DataFrame) -> DataFrame:
+    """``node, cost`` of every portal of a ``block_graph`` that can be reached from the portals of ``start`` (``node``), over portals alone."""
+    found = shortest_paths(graph, start.select(F.lit(0).alias("source"), "node", F.lit(0.0).alias("cost")))
     return found.select("node", "cost")
+
+
+def touched_blocks(changed: DataFrame, size: int) -> DataFrame:
+    """``br, bc`` of the blocks that hold a changed cell (``r, c``) or one beside it."""
+    beside = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in [(0, 0), *raster.CROSS]])).alias("s")
+    near = changed.select("r", "c", beside)
+    return near.select(F.floor((F.col("r") + F.col("s.dr")) / size).alias("br"), F.floor((F.col("c") + F.col("s.dc")) / size).alias("bc")).distinct()
+
+
+def maintained(graph: DataFrame, cells: DataFrame, changed: DataFrame, size: int) -> DataFrame:
+    """``block_graph`` of ``cells`` from the ``graph`` before cells ``changed`` (``r, c``, opened or closed): only touched blocks are built anew.
+
+    Rows of other blocks are carried over as they are.  The cells of touched blocks are read with one ring around them, which
+    their steps across borders need; what that ring gives of its own blocks is dropped.
+    """
+    touched = written(touched_blocks(changed, size), "touched")
+    few = touched.select("br", "bc", F.lit(True).alias("hit"))
+    of = lambda r, c: (F.floor(r / size), F.floor(c / size))
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in [(0, 0), *raster.CROSS]])).alias("s")
+    looks = cells.select("r", "c", around)
+    br, bc = of(F.col("r") + F.col("s.dr"), F.col("c") + F.col("s.dc"))
+    near = looks.select("r", "c", br.alias("br"), bc.alias("bc")).join(touched, ["br", "bc"], "left_semi").select("r", "c").distinct()
+
+    def marked(df: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            r, c = F.shiftright(end, 31), F.pmod(F.col(end), F.lit(1 << 31))
+            br, bc = of(r, c)
+            df = df.withColumns({"br": br, "bc": bc}).join(few.withColumnRenamed("hit", f"hit_{end}"), ["br", "bc"], "left").drop("br", "bc")
+        return df
+
+    hit = F.coalesce("hit_a", F.lit(False)) | F.coalesce("hit_b", F.lit(False))
+    kept = marked(graph).filter(~hit).select("a", "b", "w", "crosses")
+    anew = marked(block_graph(near, size)).filter(hit).select("a", "b", "w", "crosses")
+    return kept.unionByName(anew)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import discard, written
@@ -35,6 +35,73 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = No
     return best
 
 
+def labelled_search(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``node, source, cost``: of each node the source that reaches it soonest (the smallest of several) along ``edges`` (``a, b, w``).
+
+    One label a node: a round relaxes only the nodes that changed, so the cost is that of one search, however many sources
+    (``source, node, cost``) there are.
+    """
+    edges = written(edges.select("a", "b", F.col("w").cast("double").alias("w")).dropna(), "edges")
+    label = F.struct(F.col("cost").cast("double").alias("cost"), "source").alias("label")
+    best = written(sources.select("node", label).groupBy("node").agg(F.min("label").alias("label")), "labels")
+    frontier = best
+    while True:
+        step = F.struct((F.col("label.cost") + F.col("w")).alias("cost"), F.col("label.source").alias("source")).alias("label")
+        reached = frontier.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node"), step, F.lit(None).cast(best.schema["label"].dataType).alias("old"))
+        both = reached.unionByName(best.withColumn("old", F.col("label"))).groupBy("node").agg(F.min("label").alias("label"), F.min("old").alias("old"))
+        both = written(both.withColumn("improved", F.col("old").isNull() | (F.col("label") < F.col("old"))), "labels")
+        discard(best)
+        best, frontier = both.select("node", "label"), both.filter("improved").select("node", "label")
+        if not frontier.limit(1).count():
+            discard(edges)
+            return best.select("node", "label.source", "label.cost")
+
+
+def ancestors(tree: DataFrame, starts: DataFrame) -> DataFrame:
+    """``node``: the nodes that following ``node -> prev`` of ``tree`` from ``starts`` (``node``) meets, these included.
+
+    By doubling: each round follows pointers twice as long, so a way of n steps takes log n rounds.
+    """
+    jumps = written(tree.filter("prev IS NOT NULL").select("node", "prev"), "jumps")
+    met = written(starts.select("node").distinct(), "met")
+    n = met.count()
+    while True:
+        new = written(met.join(jumps, "node").select(F.col("prev").alias("node")).unionByName(met).distinct(), "met")
+        twice = written(jumps.join(jumps.toDF("prev", "further"), "prev").select("node", F.col("further").alias("prev")), "jumps")
+        discard(met, jumps)
+        met, jumps, now = new, twice, new.count()
+        if now == n:
+            discard(jumps)
+            return met
+        n = now
+
+
+def street_network(edges: DataFrame, terminals: DataFrame) -> DataFrame:
+    """``a, b, w``: a small part of undirected ``edges`` (``a, b, w``) that joins all ``terminals`` (``node``) that hang together.
+
+    Each node belongs to its nearest terminal; two terminals are linked by the cheapest way over an edge between their
+    regions; a least spanning forest of these links is taken, with the ways that its links stand for.  That costs at most
+    twice the least, and every dead end is a terminal.
+    """
+    from waygrid.operators.network import spanning_links
+
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    edges = written(edges.filter("a <> b").groupBy(low.alias("a"), high.alias("b")).agg(F.min(F.col("w").cast("double")).alias("w")), "edges")
+    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "edges")
+    found = written(labelled_search(both, terminals.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"))), "labels")
+    of = lambda c: found.select(F.col("node").alias(c), F.col("source").alias(f"s{c}"), F.col("cost").alias(f"c{c}"))
+    met = edges.join(of("a"), "a").join(of("b"), "b")
+    links = met.filter("sa <> sb").select(F.least("sa", "sb").alias("u"), F.greatest("sa", "sb").alias("v"), F.struct((F.col("ca") + F.col("w") + F.col("cb")).alias("over"), "a", "b", "w").alias("link"))
+    links = written(links.groupBy("u", "v").agg(F.min("link").alias("link")), "links")
+    taken = spanning_links(links.select("u", "v", F.col("link.over").alias("w"))).select("u", "v").join(links, ["u", "v"]).select("link.a", "link.b", "link.w")
+    taken = written(taken, "taken")
+    inside = both.join(of("a"), "a").join(of("b"), "b").filter((F.col("sa") == F.col("sb")) & (F.col("ca") + F.col("w") == F.col("cb")))
+    tree = written(inside.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("a", "w")).alias("best")).select("node", F.col("best.a").alias("prev"), "best.w"), "tree")
+    nodes = ancestors(tree, taken.select(F.explode(F.array("a", "b")).alias("node")))
+    ways = nodes.join(tree, "node").select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b"), "w")
+    return ways.unionByName(taken).distinct()
+
+
 def predecessors(costs: DataFrame, edges: DataFrame) -> DataFrame:
     """``source, node, cost, prev``: the node before each on a cheapest way (the smallest of several); null at a source.
 
@@ -70,12 +137,6 @@ def routes(costs: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select("source", "target", seq.alias("seq"), "node", "cost")
 
 
-def assigned_nearest(costs: DataFrame, targets: DataFrame, tie: Column | None = None) -> DataFrame:
-    """``node, source, cost``: for each target node the source that reaches it soonest; ties by ``tie``, then source."""
-    order = F.struct("cost", *([tie.alias("tie")] if tie is not None else []), "source")
-    return costs.join(targets, "node").groupBy("node").agg(F.min(order).alias("best")).select("node", "best.source", "best.cost")
-
-
 #: Stops up to which every order is weighed.
 EXACT_STOPS = 7
 

@@ -87,8 +87,23 @@ SELECT node, source, cost FROM (SELECT node, src AS source, cost, row_number() O
 def nearest_entrances(spark, sf):
     """Each node goes to the entrance that reaches it soonest."""
     sources = fixture(spark, sf, "docks").select(F.col("id").cast("bigint").alias("source"), (F.col("id") * 3).cast("bigint").alias("node"), F.lit(0.0).alias("cost"))
-    costs = paths.shortest_paths(fixture(spark, sf, "edges"), sources)
-    return paths.assigned_nearest(costs, costs.select("node").distinct())
+    return paths.labelled_search(fixture(spark, sf, "edges"), sources)
+
+
+@query("""WITH RECURSIVE e AS (SELECT a, b, min(w) AS w FROM $edges GROUP BY a, b), term AS (SELECT DISTINCT CAST(id * 3 AS BIGINT) AS node FROM $docks),
+best(node, m) USING KEY (node) AS (SELECT node, struct_pack(cost := CAST(0 AS DOUBLE), source := node) AS m FROM term
+UNION SELECT n.node, min(n.m) AS m FROM (SELECT e.b AS node, struct_pack(cost := f.m.cost + e.w, source := f.m.source) AS m FROM best f JOIN e ON e.a = f.node) n LEFT JOIN recurring.best o ON o.node = n.node WHERE o.m IS NULL OR n.m < o.m GROUP BY n.node),
+x AS (SELECT least(f.m.source, t.m.source) AS u, greatest(f.m.source, t.m.source) AS v, min(struct_pack(over := f.m.cost + e.w + t.m.cost, a := e.a, b := e.b, w := e.w)) AS l FROM e JOIN best f ON f.node = e.a JOIN best t ON t.node = e.b WHERE e.a < e.b AND f.m.source <> t.m.source GROUP BY 1, 2),
+l AS (SELECT *, row_number() OVER (ORDER BY l.over, u, v) AS n FROM x), ways AS (SELECT u AS a, v AS b, n FROM l UNION ALL SELECT v AS a, u AS b, n FROM l),
+reach AS (SELECT n AS link, u AS node FROM l UNION SELECT r.link, b.b AS node FROM reach r JOIN ways b ON b.a = r.node AND b.n < r.link),
+taken AS (SELECT l.a AS a, l.b AS b, l.w AS w FROM l WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.link = l.n AND r.node = l.v)),
+tree AS (SELECT e.b AS node, min(struct_pack(a := e.a, w := e.w)) AS p FROM e JOIN best f ON f.node = e.a JOIN best t ON t.node = e.b WHERE f.m.source = t.m.source AND f.m.cost + e.w = t.m.cost GROUP BY e.b),
+up AS (SELECT a AS node FROM taken UNION SELECT b AS node FROM taken UNION SELECT tree.p.a AS node FROM up JOIN tree ON tree.node = up.node)
+SELECT a, b, w FROM taken UNION SELECT least(up.node, tree.p.a) AS a, greatest(up.node, tree.p.a) AS b, tree.p.w AS w FROM up JOIN tree ON tree.node = up.node""")
+def street_network(spark, sf):
+    """The streets that join all entrances: nearest regions, cheapest ways between them, a spanning forest of these."""
+    terminals = fixture(spark, sf, "docks").select((F.col("id") * 3).cast("bigint").alias("node"))
+    return paths.street_network(fixture(spark, sf, "edges"), terminals)
 
 
 FLIGHT = "SELECT src, dst, yards / 32 + 15 AS s FROM $flights WHERE src <> dst"

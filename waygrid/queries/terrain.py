@@ -83,6 +83,18 @@ def block_walks(spark, sf):
 LEFT JOIN recurring.w o ON o.node = q.node WHERE o.d IS NULL OR q.d < o.d GROUP BY q.node) SELECT node, d AS cost FROM w WHERE node IN (SELECT node FROM p)""")
 def block_routes(spark, sf):
     """Least steps from one portal to all others, searched over portals alone; the twin searches all cells."""
-    cells = fixture(spark, sf, "cells").filter("v < 2")
-    start = blocks.block_graph(cells, 5).filter("crosses").agg(F.min("a").alias("node"))
-    return blocks.block_search(cells, 5, start)
+    graph = blocks.block_graph(fixture(spark, sf, "cells").filter("v < 2"), 5)
+    return blocks.block_search(graph, graph.filter("crosses").agg(F.min("a").alias("node")))
+
+
+@query(f"""WITH RECURSIVE after AS (SELECT r, c FROM $cells WHERE (v < 2) <> (h % 17 = 0 AND c < 8)), {GRID.replace("$cells WHERE v < 2", "after")}, w(src, node, d) USING KEY (src, node) AS (SELECT node AS src, node, CAST(0 AS DOUBLE) AS d FROM p UNION SELECT q.src, q.node, min(q.d) AS d FROM (SELECT f.src, e.b AS node, f.d + 1 AS d FROM w f JOIN e ON e.a = f.node AND NOT e.crosses) q
+LEFT JOIN recurring.w o ON o.src = q.src AND o.node = q.node WHERE o.d IS NULL OR q.d < o.d GROUP BY q.src, q.node),
+k AS (SELECT count(DISTINCT struct_pack(r := floor((r + dr) / 5), c := floor((c + dc) / 5))) AS rebuilt FROM (SELECT r, c FROM $cells WHERE h % 17 = 0 AND c < 8) q, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dr, dc))
+SELECT src AS a, node AS b, d AS w, false AS crosses, rebuilt FROM w, k WHERE node IN (SELECT node FROM p) AND src <> node UNION ALL SELECT a, b, 1.0 AS w, crosses, rebuilt FROM e, k WHERE crosses""")
+def maintained_blocks(spark, sf):
+    """The graph of blocks after edits in a strip of the map, with only the blocks built anew that these touch; the twin builds all."""
+    cells = fixture(spark, sf, "cells")
+    edited = (F.col("h") % 17 == 0) & (F.col("c") < 8)
+    before, changed = blocks.block_graph(cells.filter("v < 2"), 5), cells.filter(edited).select("r", "c")
+    now = blocks.maintained(before, cells.filter((F.col("v") < 2) != edited).select("r", "c"), changed, 5)
+    return now.withColumn("rebuilt", F.lit(blocks.touched_blocks(changed, 5).count()))
