@@ -87,17 +87,18 @@ def simplify(lines: DataFrame, tolerance: float, points: str = "points") -> Data
     return lines.withColumn(points, F.pandas_udf(run, lines.schema[points].dataType)(points))
 
 
-def merged_near(rows: DataFrame, group: list[str], order: str, reach: float) -> DataFrame:
+def merged_near(rows: DataFrame, group: list[str], order: str, reach: float, weight: str | None = None) -> DataFrame:
     """First-wins within ``reach``: rows of a group in ``order``, each joining the first kept row near it.
 
     ``*group, kept, x, y, n``: the kept rows' order value and place, and how many rows each stands for.  A row is kept if
     no earlier kept row is near.  Settled in rounds over cells so small that a cell's rows are all near each other: a row
     that comes before all undecided ones of its own and the 24 cells around is kept, and what is near it goes.  A round
     moves one row a cell and the undecided rows, of which repeated places are one; no group is read by one task.
+    A row counts once, or as often as its ``weight`` says.
     """
     size = reach / np.sqrt(2) * (1 - 1e-9)
     cell = [*group, "cx", "cy"]
-    every = rows.groupBy(*group, "x", "y").agg(F.min(order).alias("o"), F.count("*").alias("n"))
+    every = rows.groupBy(*group, "x", "y").agg(F.min(order).alias("o"), (F.sum(weight) if weight else F.count("*")).alias("n"))
     every = written(every.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)}), "places")
     around = F.explode(F.expr("transform(sequence(0, 24), i -> struct(i div 5 - 2 AS dx, i % 5 - 2 AS dy))"))
 

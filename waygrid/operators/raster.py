@@ -210,8 +210,9 @@ def outline_rings(cells: DataFrame) -> DataFrame:
     inside = lambda n: F.col("square").bitwiseAND(n) > 0
     sides = [(1, 2, point(1, 0)), (2, 4, point(2, 1)), (4, 8, point(1, 2)), (8, 1, point(0, 1))]
     met = F.filter(F.array(*[F.when(inside(a) != inside(b), p) for a, b, p in sides]), lambda x: x.isNotNull())
-    links = squares.select(met.alias("p")).select(F.explode(F.when(F.size("p") == 4, F.array(F.struct(F.col("p")[0], F.col("p")[1]), F.struct(F.col("p")[2], F.col("p")[3]))).otherwise(F.array(F.struct(F.col("p")[0], F.col("p")[1])))).alias("l"))
-    found = ordered_chains(links.select(F.col("l.col1").alias("a"), F.col("l.col2").alias("b")))
+    link = lambda i: F.struct(F.get("p", F.lit(i)).alias("a"), F.get("p", F.lit(i + 1)).alias("b"))
+    links = squares.select(met.alias("p")).select(F.explode(F.array(link(0), link(2))).alias("l")).filter("l.a IS NOT NULL")
+    found = ordered_chains(links.select("l.a", "l.b"))
     place = lambda of: (F.shiftright(of, 31) - 4, F.pmod(of, F.lit(1 << 31)) - 4)
     r, c = place("node")
     return found.select(F.col("chain").alias("ring"), "seq", r.alias("r2"), c.alias("c2"))

@@ -1,9 +1,12 @@
 """Streams replayed to their end, and stored samples run through the same detectors."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from waygrid.plans.scratch import shared_dir
 from waygrid.queries import query
-from waygrid.streaming import detectors, replay
+from waygrid.streaming import detectors, replay, upsert
 
 
 def _events(df):
@@ -73,3 +76,58 @@ def reroutes(spark, sf):
     events = _events(spark.read.parquet(f"{sf}/events.parquet"))
     got = detectors.over_table(events, "user_id", ["time", "value"], detectors.debounce(36000, 8), (None, None), "user_id bigint, time double, value double", ["time", "event_id"])
     return got.select("user_id", F.round("time", 3).alias("time"), "value")
+
+
+#: Samples of trips, row by row: three-day targets, deaths, arrivals, now and then another level.
+SAMPLES = """CAST((event_id * 37) % 101 AS DOUBLE) AS x, CAST((event_id * 53) % 97 AS DOUBLE) AS y, CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END AS level, CASE WHEN event_id % 19 = 0 THEN NULL ELSE CAST(floor(time / 259200) AS BIGINT) END AS target, event_type = 'error' AND event_id % 2 = 0 AS away, event_type = 'purchase' AS arrived, CAST(100000 + event_id % 7 * 30000 AS DOUBLE) AS estimate"""
+SESSIONS = f"""WITH RECURSIVE t AS (SELECT *, epoch_us(ts) / 1e6 AS time FROM @events), e AS (SELECT user_id, event_id, time, {SAMPLES}, row_number() OVER (PARTITION BY user_id ORDER BY time, event_id) AS k FROM t),
+run AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS dest, CAST(0 AS DOUBLE) AS began, 0 AS floor_, CAST(0 AS DOUBLE) AS est, 0 AS points, CAST(0 AS DOUBLE) AS px, CAST(0 AS DOUBLE) AS py, CAST(0 AS DOUBLE) AS last, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS got, CAST(NULL AS DOUBLE) AS got_began, CAST(NULL AS DOUBLE) AS actual, 0 AS got_points FROM e WHERE k = 1
+UNION ALL SELECT user_id, k, CASE WHEN arrived OR away OR target IS NULL OR (d0 = target AND level <> floor_) THEN NULL ELSE target END AS dest, CASE WHEN d0 = target THEN began ELSE time END AS began, CASE WHEN d0 = target THEN floor_ ELSE level END AS floor_, CASE WHEN d0 = target THEN est ELSE estimate END AS est,
+ CASE WHEN d0 = target THEN CASE WHEN far THEN points + 1 ELSE points END ELSE 1 END AS points, CASE WHEN d0 = target AND NOT far THEN px ELSE x END AS px, CASE WHEN d0 = target AND NOT far THEN py ELSE y END AS py, time AS last, event_id,
+ CASE WHEN arrived AND d0 = target AND time - began >= 20000 AND time - began <= 0.85 * est AND points >= 2 THEN target END AS got, began AS got_began, time - began AS actual, points + 1 AS got_points FROM (
+ SELECT e.*, CASE WHEN e.time - r.last > 400000 THEN NULL ELSE r.dest END AS d0, r.began, r.floor_, r.est, r.points, r.px, r.py, (e.x - r.px) * (e.x - r.px) + (e.y - r.py) * (e.y - r.py) >= 400 AS far FROM run r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) q)
+SELECT user_id, event_id, got AS target, round(got_began, 3) AS began, round(actual, 3) AS actual, got_points AS points FROM run WHERE got IS NOT NULL"""
+SAMPLE = ["event_id", "time", "x", "y", "level", "target", "away", "arrived", "estimate"]
+TRIP = "user_id bigint, event_id bigint, target bigint, began double, actual double, points int"
+
+
+def _samples(df):
+    return _events(df).selectExpr("user_id", "event_id", "time", *SAMPLES.split(", "))
+
+
+def _trip_rule():
+    return detectors.trip_session(step_length=20, most_points=3000, least_seconds=20000, faster=0.85, least_points=2, idle=400000)
+
+
+def _rounded(trips):
+    return trips.withColumns({c: F.round(c, 3) for c in ("began", "actual")})
+
+
+@query(SESSIONS)
+def trip_sessions(spark, sf):
+    """Trips that were traced to their target and are worth keeping, from stored samples."""
+    rows = _samples(spark.read.parquet(f"{sf}/events.parquet"))
+    return _rounded(detectors.over_table(rows, "user_id", SAMPLE, _trip_rule(), detectors.NO_TRIP, TRIP, ["time", "event_id"]))
+
+
+@query(SESSIONS)
+def trip_sessions_stream(spark, sf):
+    """The same machine over a stream."""
+    rows = _samples(replay.table_stream(spark, sf, "events"))
+    state = "target bigint, began double, level int, estimate double, points int, x double, y double, last double"
+    return _rounded(replay.run_to_end(detectors.over_stream(rows, "user_id", SAMPLE, _trip_rule(), detectors.NO_TRIP, state, TRIP, ["time", "event_id"])))
+
+
+@query("""WITH RECURSIVE s AS (SELECT CAST(user_id % 3 AS BIGINT) AS level, event_type AS name, CAST((event_id * 7919) % 1009 AS DOUBLE) AS x, CAST((event_id * 104729) % 1013 AS DOUBLE) AS y, epoch_us(ts) / 1e6 AS time, event_id AS id FROM @events),
+o AS (SELECT *, row_number() OVER (PARTITION BY level, name ORDER BY time, id) AS n FROM s),
+run AS (SELECT level, name, CAST(1 AS BIGINT) AS n, [{'id': id, 'x': x, 'y': y}] AS kept, id AS joined FROM o WHERE n = 1 UNION ALL
+ SELECT level, name, n, CASE WHEN len(near) = 0 THEN list_append(kept, {'id': id, 'x': x, 'y': y}) ELSE kept END AS kept, CASE WHEN len(near) = 0 THEN id ELSE near[1].id END AS joined FROM (
+ SELECT o.level, o.name, o.n, o.id, o.x, o.y, r.kept, list_filter(r.kept, lambda k: (k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y) <= 22500) AS near FROM run r JOIN o ON o.level = r.level AND o.name = r.name AND o.n = r.n + 1) q)
+SELECT level, name, joined AS place, count(*) AS n FROM run GROUP BY level, name, joined""")
+def learned_places(spark, sf):
+    """Places learned from a stream of sightings: one within 150 of an earlier place of its name counts there."""
+    sightings = _events(replay.table_stream(spark, sf, "events")).selectExpr(
+        "CAST(user_id % 3 AS BIGINT) AS level", "event_type AS name", "CAST((event_id * 7919) % 1009 AS DOUBLE) AS x", "CAST((event_id * 104729) % 1013 AS DOUBLE) AS y", "time", "event_id AS id"
+    )
+    places = upsert.learned_places(sightings, f"{shared_dir(spark)}/waygrid/places-{uuid.uuid4().hex}", 150)
+    return places.select("level", "name", F.col("o.id").alias("place"), "n")

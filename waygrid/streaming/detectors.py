@@ -154,6 +154,40 @@ def transport(docks: tuple[tuple[float, float], tuple[float, float]], reach: flo
     return step
 
 
+#: Target, beginning, level, estimate, points, last point, time of the last sample.
+NO_TRIP = (None, 0.0, 0, 0.0, 0, None, None, 0.0)
+
+
+def trip_session(step_length: float, most_points: int, least_seconds: float, faster: float, least_points: int, idle: float) -> Step:
+    """Trips worth keeping from samples ``(id, time, x, y, level, target, away, arrived, estimate)``: gives ``(id, target, began, actual, points)``.
+
+    A trip is traced to one target: another one begins another trip, and no target, being away (carried or dead), another
+    level, or ``idle`` seconds without a sample end it for nothing.  A point is added ``step_length`` or more from the last, up to ``most_points``.
+    Arriving at its target ends a trip for good; it is kept if it took ``least_seconds`` or more, at most ``faster`` times the estimate
+    it began with, and has ``least_points`` points or more.  The place of arrival is one point more.
+    """
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        to, began, floor, estimated, points, px, py, last = state
+        name, time, x, y, level, target, away, arrived, estimate = row
+        if to is not None and time - last > idle:
+            to = None
+        if arrived:
+            worth = to is not None and to == target and least_seconds <= time - began <= faster * estimated and points >= least_points
+            return NO_TRIP, [(name, target, began, time - began, points + 1)] if worth else []
+        if away or target is None:
+            return NO_TRIP, []
+        if to != target:
+            return (target, time, level, estimate, 1, x, y, time), []
+        if level != floor:
+            return NO_TRIP, []
+        if points < most_points and (x - px) ** 2 + (y - py) ** 2 >= step_length * step_length:
+            points, px, py = points + 1, x, y
+        return (to, began, floor, estimated, points, px, py, time), []
+
+    return step
+
+
 def reassembly(idle_seconds: float) -> Step:
     """Messages from parts ``(time, message, number, of, text)`` of one sender.
 
