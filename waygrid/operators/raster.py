@@ -199,7 +199,7 @@ def outline_rings(cells: DataFrame) -> DataFrame:
     """``ring, seq, r2, c2``: the outlines of the cells ``r, c`` as closed rings of points, in halves of a cell.
 
     Between a cell of the shape and one outside of it lies a point; each square of four cells joins the points on its sides, and
-    where all four sides have one, those beside its first and beside its third cell.  So every point has two neighbours.
+    where all four sides have one, those around its second and around its fourth cell.  So every point has two neighbours.
     """
     own = cells.select("r", "c").distinct()
     bits = {(0, 0): 1, (1, 0): 2, (1, 1): 4, (0, 1): 8}
