@@ -10,11 +10,16 @@ DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
 def way_line(line: Column) -> Column:
-    """``/way [#id or zone] x y [text]`` as a struct ``map_id, zone, x, y, text``; null where the line is something else."""
-    pattern = r"^\s*/way\s+(?:#(\d+)\s+|([^\d#][^\d]*?)\s+)?(-?\d+(?:\.\d+)?)[,\s]+(-?\d+(?:\.\d+)?)(?:\s+(.*?))?\s*$"
+    """``[/way] [#id or zone] x y [text]`` as a struct ``map_id, zone, x, y, text``; null where the line is something else.
+
+    The coordinates are the first two numbers in a row, from 0 to 100; a comma may follow the zone and each number.
+    """
+    number = r"(-?\d+(?:\.\d+)?)"
+    pattern = rf"(?i)^\s*(?:/t?way\s+)?(?:#(\d+),?\s+|(\S.*?),?\s+)??{number}(?:,\s*|\s+){number},?(?:\s+(.*?))?\s*$"
     part = lambda i: F.nullif(F.regexp_extract(line, pattern, i), F.lit(""))
-    fields = F.struct(part(1).cast("int").alias("map_id"), part(2).alias("zone"), part(3).cast("double").alias("x"), part(4).cast("double").alias("y"), part(5).alias("text"))
-    return F.when(line.rlike(pattern), fields)
+    x, y = part(3).cast("double"), part(4).cast("double")
+    fields = F.struct(part(1).cast("int").alias("map_id"), part(2).alias("zone"), x.alias("x"), y.alias("y"), part(5).alias("text"))
+    return F.when(line.rlike(pattern) & x.between(0, 100) & y.between(0, 100), fields)
 
 
 def way_text(map_id: Column, x: Column, y: Column, name: Column) -> Column:
@@ -89,3 +94,18 @@ def route_tag(name: Column, stops: Column) -> Column:
 def linked_routes(text: Column) -> Column:
     """Tags of routes in a text as links that carry the route's name and its number of stops."""
     return F.regexp_replace(text, r"\[Route ([0-9a-f]+): (\d+) stops?\]", "<route:$1:$2>")
+
+
+def clean_icon(icon: Column) -> Column:
+    """An icon's number, path or name without blanks; null for anything else."""
+    bare = F.regexp_replace(icon, r"\s", "")
+    return F.when(bare.rlike(r"^[A-Za-z0-9_.\\/-]{1,200}$"), bare)
+
+
+def shared_message(line: Column, version: str = "1", most: int = 8, limit: float = 30000, levels: tuple[int, ...] = (0, 1)) -> Column:
+    """One part of a shared route, ``version, id, i, n, level, x, y, name`` between tabs, as a struct; null where any of it is out of range."""
+    pattern = r"^(\d+)\t(\w+)\t(\d+)\t(\d+)\t(-?\d+)\t(-?[\d.]+)\t(-?[\d.]+)\t(.*)$"
+    part = lambda i, kind="string": F.regexp_extract(line, pattern, i).try_cast(kind)
+    i, n, level, x, y = part(3, "int"), part(4, "int"), part(5, "int"), part(6, "double"), part(7, "double")
+    good = line.rlike(pattern) & (part(1) == version) & n.between(1, most) & i.between(1, n) & (F.abs(x) <= limit) & (F.abs(y) <= limit) & level.isin(*levels)
+    return F.when(good, F.struct(part(2).alias("id"), i.alias("i"), n.alias("n"), level.alias("level"), x.alias("x"), y.alias("y"), F.nullif(part(8), F.lit("")).alias("name")))

@@ -111,6 +111,24 @@ def nearest_anywhere(points: DataFrame, targets: DataFrame, reach: float, point_
     return found
 
 
+def nearest_segment_anywhere(points: DataFrame, segments: DataFrame, point_id: str, segment_id: str, reach: float) -> DataFrame:
+    """``point_id, segment_id, d, t``: the nearest of ``segments`` of each point, however far; ties by id.
+
+    As ``nearest_anywhere``: rounds of twice the reach, with the points alone that have found nothing yet.
+    """
+    left = written(points.select(point_id, "x", "y").dropna(), "points")
+    segments = written(segments.select(segment_id, "x1", "y1", "x2", "y2").dropna(), "segments")
+    kinds = f"{point_id} {points.schema[point_id].dataType.simpleString()}, {segment_id} {segments.schema[segment_id].dataType.simpleString()}, d double, t double"
+    found = points.sparkSession.createDataFrame([], kinds)
+    while segments.limit(1).count() and left.limit(1).count():
+        best = written(nearest_segments(left, segments, point_id, segment_id, reach, k=1).select(point_id, segment_id, "d", "t"), "nearest")
+        found = found.unionByName(best)
+        rest = written(left.join(best, point_id, "left_anti"), "points")
+        discard(left)
+        left, reach = rest, reach * 2
+    return found
+
+
 def crossings(paths: DataFrame, walls: DataFrame, path_id: str, wall_id: str, size: float) -> DataFrame:
     """Pairs of a path segment ``x1..y2`` and a wall ``wx1..wy2`` that cross properly; a touching start doesn't count.
 

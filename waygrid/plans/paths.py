@@ -147,7 +147,7 @@ def best_orders(legs: DataFrame, most: int = EXACT_STOPS) -> DataFrame:
     ``legs`` has ``trip, i, j, cost`` for ordered pairs of the stops 0..n.  Trips with up to ``most`` stops after the
     first get the cheapest order: partial orders with the same set and last stop keep only the cheapest, so a trip never
     has more than 2^n * n of them; equal totals take the smaller list of stops.  Longer trips get the nearest-neighbour
-    order improved by 2-opt on the mean of both directions.
+    order improved by 2-opt on the mean of both directions, but for the leg from the start.
     """
     legs = written(legs, "legs")
     sizes = written(legs.groupBy("trip").agg(F.max("i").cast("int").alias("n")), "sizes")
@@ -195,6 +195,7 @@ def _two_opt_orders(legs: DataFrame) -> DataFrame:
         cost = np.zeros((n, n))
         cost[rows["i"].astype(int), rows["j"].astype(int)] = rows["cost"]
         mean, way, left = (cost + cost.T) / 2, [0], set(range(1, n))
+        mean[0] = cost[0]  # from the start there is one way only
         while left:
             way.append(min(left, key=lambda j: (mean[way[-1], j], j)))
             left.remove(way[-1])

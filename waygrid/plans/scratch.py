@@ -8,8 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: ``spark.checkpoint.dir``, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    """A folder that the driver and all executors see: ``spark.checkpoint.dir``, else the warehouse.
+
+    On a cluster that names neither, the warehouse is a folder of the driver's machine, which is refused.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if (warehouse.startswith("file:") or warehouse.startswith("/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = warehouse + "/_scratch"
     return base.rstrip("/")
 
 

@@ -154,6 +154,24 @@ def transport(docks: tuple[tuple[float, float], tuple[float, float]], reach: flo
     return step
 
 
+#: Last place outside, when, and whether the last sample was inside.
+NOT_OUTSIDE = (None, None, 0.0, False)
+
+
+def entering(fresh: float) -> Step:
+    """Ways in from samples ``(id, time, x, y, inside)``: gives ``(id, inside, x, y)``, the last place outside, ``fresh`` seconds old at most."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        last_x, last_y, at, was_in = state
+        name, time, x, y, inside = row
+        if inside is None:
+            return (x, y, time, False), []
+        fits = not was_in and last_x is not None and time - at <= fresh
+        return (last_x, last_y, at, True), [(name, inside, last_x, last_y)] if fits else []
+
+    return step
+
+
 #: Target, beginning, level, estimate, points, last point, time of the last sample.
 NO_TRIP = (None, 0.0, 0, 0.0, 0, None, None, 0.0)
 
