@@ -17,6 +17,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 Step = Callable[[tuple, tuple], tuple[tuple, list[tuple]]]
 
 
+def _plain(row) -> tuple:
+    """A row of pandas with None for what is absent."""
+    return tuple(None if x is None or x != x else x for x in row)
+
+
 def over_stream(stream: DataFrame, key: str, columns: list[str], step: Step, start: tuple, state_schema: str, out_schema: str, order: list[str], idle_ms: int = 0) -> DataFrame:
     """Outputs of ``step`` for each key of a stream; a key that is idle for ``idle_ms`` loses its state."""
 
@@ -28,7 +33,7 @@ def over_stream(stream: DataFrame, key: str, columns: list[str], step: Step, sta
         rows = pd.concat(list(parts)).sort_values(order, kind="stable")
         found: list[tuple] = []
         for row in rows[columns].itertuples(index=False, name=None):
-            now, out = step(now, row)
+            now, out = step(now, _plain(row))
             found += [(*keys, *x) for x in out]
         state.update(now)
         if idle_ms:
@@ -243,7 +248,7 @@ def over_table(rows: DataFrame, key: str, columns: list[str], step: Step, start:
             for k, *row in batch.itertuples(index=False, name=None):
                 if k != current:
                     current, now = k, start
-                now, out = step(now, tuple(row))
+                now, out = step(now, _plain(row))
                 found += [(k, *x) for x in out]
             yield pd.DataFrame(found, columns=names)
 
