@@ -118,23 +118,26 @@ def predecessors(costs: DataFrame, edges: DataFrame) -> DataFrame:
 def routes(costs: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
     """``source, target, seq, node, cost``: the nodes of a cheapest way to each of ``targets`` (``source, target``), from the start on.
 
-    All ways are walked back together, one step a round: a round joins the places they have reached with the table of
-    predecessors and writes these places alone.
+    All ways are walked back together and by doubling: each round goes from every place found so far as many steps back as there have
+    been, so the longest way of n nodes takes log n rounds.
     """
+    key = ["source", "node"]
     tree = written(predecessors(costs, edges), "tree")
-    at = targets.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("back"))
-    done: list[DataFrame] = []
+    jumps = written(tree.filter("prev IS NOT NULL").select(*key, "prev"), "jumps")
+    rows = written(targets.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("back")), "route")
+    n, steps = rows.count(), 1
     while True:
-        met = at.join(tree.select(F.col("source").alias("_s"), F.col("node").alias("_n"), "cost", "prev"), (F.col("source") == F.col("_s")) & (F.col("node") == F.col("_n")))
-        step = written(met.select("source", "target", "node", "cost", "prev", "back"), "route")
-        done.append(step)
-        at = step.filter("prev IS NOT NULL").select("source", "target", F.col("prev").alias("node"), F.col("back") + 1)
-        at = at.toDF("source", "target", "node", "back")
-        if not at.limit(1).count():
+        further = rows.join(jumps, key).select("source", "target", F.col("prev").alias("node"), (F.col("back") + steps).alias("back"))
+        new = written(rows.unionByName(further), "route")
+        twice = written(jumps.join(jumps.toDF("source", "prev", "further"), ["source", "prev"]).select(*key, F.col("further").alias("prev")), "jumps")
+        discard(rows, jumps)
+        rows, jumps, now, steps = new, twice, new.count(), steps * 2
+        if now == n:
             break
-    rows = done[0] if len(done) == 1 else done[0].sparkSession.read.schema(done[0].schema).parquet(*[f.rsplit("/", 1)[0] for df in done for f in df.inputFiles()[:1]])
+        n = now
+    discard(jumps)
     seq = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.desc("back")))
-    return rows.select("source", "target", seq.alias("seq"), "node", "cost")
+    return rows.join(tree.select(*key, "cost"), key).select("source", "target", seq.alias("seq"), "node", "cost")
 
 
 #: Stops up to which every order is weighed.

@@ -86,6 +86,25 @@ def cell_paths(spark, sf):
     return costs.select(F.floor(F.col("node") / 65536).alias("r"), (F.col("node") % 65536).alias("c"), F.round("cost", 4).alias("cost"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT a.r * 65536 + a.c AS a, b.r * 65536 + b.c AS b, CASE WHEN a.r <> b.r AND a.c <> b.c THEN round(sqrt(2.0), 6) ELSE 1.0 END * CASE WHEN b.v = 1 THEN 1.5 ELSE 1.0 END AS w
+FROM $cells a JOIN $cells b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) LEFT JOIN $cells s ON s.r = a.r AND s.c = b.c LEFT JOIN $cells t ON t.r = b.r AND t.c = a.c
+WHERE a.v < 2 AND b.v < 2 AND (a.r = b.r OR a.c = b.c OR (coalesce(s.v, 2) < 2 AND coalesce(t.v, 2) < 2))), best(node, cost) USING KEY (node) AS (SELECT min(r * 65536 + c) AS node, CAST(0 AS DOUBLE) AS cost FROM $cells WHERE v < 2
+UNION SELECT n.node, min(n.cost) AS cost FROM (SELECT e.b AS node, f.cost + e.w AS cost FROM best f JOIN e ON e.a = f.node) n LEFT JOIN recurring.best o ON o.node = n.node WHERE o.cost IS NULL OR n.cost < o.cost GROUP BY n.node),
+prev AS (SELECT t.node, min(f.node) AS prev FROM best f JOIN e ON e.a = f.node JOIN best t ON t.node = e.b AND t.cost = f.cost + e.w GROUP BY t.node),
+back AS (SELECT node AS target, node, 0 AS k FROM best WHERE node IN (SELECT max(r * 65536 + c) FROM $cells WHERE v < 2 GROUP BY r) UNION ALL SELECT b.target, p.prev AS node, k + 1 AS k FROM back b JOIN prev p ON p.node = b.node)
+SELECT CAST(floor(target / 65536) AS BIGINT) AS row_, row_number() OVER (PARTITION BY target ORDER BY k DESC) AS seq, CAST(floor(node / 65536) AS BIGINT) AS r, node % 65536 AS c FROM back""")
+def cell_ways(spark, sf):
+    """The cells of a cheapest way from the first open cell to the last one of each row."""
+    key = lambda r, c: F.col(r) * 65536 + F.col(c)
+    edges = cell_steps(spark, sf).select(key("r", "c").alias("a"), key("br", "bc").alias("b"), F.col("cost").alias("w"))
+    open_ = fixture(spark, sf, "cells").filter("v < 2")
+    start = open_.agg(F.min(key("r", "c")).alias("node")).select(F.lit(0).alias("source"), "node", F.lit(0.0).alias("cost"))
+    costs = paths.shortest_paths(edges, start)
+    ends = open_.groupBy("r").agg(F.max(key("r", "c")).alias("target")).join(costs, F.col("target") == F.col("node")).select("source", "target")
+    way = paths.routes(costs, edges, ends)
+    return way.select(F.floor(F.col("target") / 65536).alias("row_"), F.col("seq").cast("bigint").alias("seq"), F.floor(F.col("node") / 65536).alias("r"), (F.col("node") % 65536).alias("c"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT a.r * 65536 + a.c AS a, b.r * 65536 + b.c AS b FROM $cells a JOIN $cells b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE a.v = 2 AND b.v = 2),
 n AS (SELECT r * 65536 + c AS node FROM $cells WHERE v = 2), reach AS (SELECT node, node AS other FROM n UNION SELECT r.node, e.b AS other FROM reach r JOIN e ON r.other = e.a), k AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
 SELECT component, count(*) AS cells, count(*) < 6 AS speck FROM k GROUP BY component""")

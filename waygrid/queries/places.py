@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waygrid.functions import geo, text
 from waygrid.operators import lines, ordered, raster
-from waygrid.operators.spatial import in_buckets, nearest_within, point_buckets
+from waygrid.operators.spatial import in_buckets, nearest_segments, nearest_within, point_buckets
 from waygrid.plans.scratch import shared_dir
 from waygrid.queries import query
 from waygrid.sources.fixtures import fixture
@@ -134,27 +134,24 @@ def places_toward(spark, sf):
     return nearest_within(people, places, 450, "pid", "id", k=1, allowed=ahead).select("pid", "id")
 
 
-@query("""SELECT p.pid, w.wid FROM $people p JOIN $walls w ON p.pid <> w.wid AND sqrt(((w.x1 + w.x2) / 2 - p.x) * ((w.x1 + w.x2) / 2 - p.x) + ((w.y1 + w.y2) / 2 - p.y) * ((w.y1 + w.y2) / 2 - p.y)) <= 200
- AND abs((w.x2 - w.x1) * 3 + (w.y2 - w.y1) * 1) >= 0.866 * sqrt(10.0) * sqrt((w.x2 - w.x1) * (w.x2 - w.x1) + (w.y2 - w.y1) * (w.y2 - w.y1))""")
+@query("""SELECT pid, wid FROM (SELECT *, greatest(0.0, least(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM $people p, $walls w WHERE x >= x1 - 200 AND x <= x2 + 200 AND y >= least(y1, y2) - 200 AND y <= greatest(y1, y2) + 200
+ AND abs((x2 - x1) * 3 + (y2 - y1) * 1) >= 0.866 * sqrt(10.0) * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) q WHERE sqrt((x - x1 - t * (x2 - x1)) * (x - x1 - t * (x2 - x1)) + (y - y1 - t * (y2 - y1)) * (y - y1 - t * (y2 - y1))) <= 150""")
 def under_lines(spark, sf):
-    """Roads close to each traveller's place that run about along the way (3, 1) taken there."""
+    """Roads that come close to each traveller's place and run about along the way (3, 1) taken there."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     along = F.abs(dx * 3 + dy) >= 0.866 * F.sqrt(F.lit(10.0)) * F.sqrt(dx * dx + dy * dy)
-    roads = fixture(spark, sf, "walls").filter(along).select("wid", ((F.col("x1") + F.col("x2")) / 2).alias("mx"), ((F.col("y1") + F.col("y2")) / 2).alias("my"))
-    near = in_buckets(fixture(spark, sf, "people"), F.col("x") - 200, F.col("x") + 200, F.col("y") - 200, F.col("y") + 200, 200)
-    pairs = near.join(point_buckets(roads, 200, "mx", "my"), ["bx", "by"])
-    return pairs.filter((F.col("pid") != F.col("wid")) & (geo.distance(F.col("mx"), F.col("my"), F.col("x"), F.col("y")) <= 200)).select("pid", "wid")
+    return nearest_segments(fixture(spark, sf, "people"), fixture(spark, sf, "walls").filter(along), "pid", "wid", 150, k=2**31 - 1).select("pid", "wid")
 
 
 @query("""SELECT o.id, o.dock FROM (SELECT s.id, f.dst AS dock, d.x, d.y FROM $sites s JOIN $flights f ON f.src = s.kind JOIN $docks d ON d.id = f.dst) o WHERE NOT EXISTS (
- SELECT 1 FROM $circles g, (SELECT unnest(range(16)) AS k) a, (SELECT unnest([25, 50, 75, 100]) AS q) b WHERE g.cid % 25 = 0 AND g.side <> o.dock AND (o.x + q * cos(k * pi() / 8) - g.x) * (o.x + q * cos(k * pi() / 8) - g.x) + (o.y + q * sin(k * pi() / 8) - g.y) * (o.y + q * sin(k * pi() / 8) - g.y) <= g.r * g.r)""")
+ SELECT 1 FROM $circles g, (SELECT unnest(range(16)) AS k) a, (SELECT unnest([25, 50, 75, 100]) AS q) b WHERE g.side <> o.dock AND (o.x + q * cos(k * pi() / 8) - g.x) * (o.x + q * cos(k * pi() / 8) - g.x) + (o.y + q * sin(k * pi() / 8) - g.y) * (o.y + q * sin(k * pi() / 8) - g.y) <= g.r * g.r / 25)""")
 def rides_allowed(spark, sf):
     """Rides to docks with no guard circle near, told by samples in sixteen bearings at four distances."""
     docks = fixture(spark, sf, "docks").toDF("dock", "dx", "dy")
     spots = docks.withColumn("k", F.explode(F.expr("sequence(0, 15)"))).withColumn("q", F.explode(F.array(*map(F.lit, (25, 50, 75, 100)))))
     spots = spots.select("dock", (F.col("dx") + F.col("q") * F.cos(F.col("k") * F.pi() / 8)).alias("sx"), (F.col("dy") + F.col("q") * F.sin(F.col("k") * F.pi() / 8)).alias("sy"))
-    guards = in_buckets(fixture(spark, sf, "circles").filter("cid % 25 = 0"), F.col("x") - F.col("r"), F.col("x") + F.col("r"), F.col("y") - F.col("r"), F.col("y") + F.col("r"), 100)
-    inside = (F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y")) <= F.col("r") * F.col("r")
+    guards = in_buckets(fixture(spark, sf, "circles"), F.col("x") - F.col("r"), F.col("x") + F.col("r"), F.col("y") - F.col("r"), F.col("y") + F.col("r"), 100)
+    inside = (F.col("sx") - F.col("x")) * (F.col("sx") - F.col("x")) + (F.col("sy") - F.col("y")) * (F.col("sy") - F.col("y")) <= F.col("r") * F.col("r") / 25
     watched = point_buckets(spots, 100, "sx", "sy").join(guards, ["bx", "by"]).filter((F.col("side") != F.col("dock")) & inside).select("dock").distinct()
     rides = fixture(spark, sf, "sites").join(fixture(spark, sf, "flights"), F.col("kind") == F.col("src")).select("id", F.col("dst").alias("dock"))
     rides = rides.join(docks, "dock", "left_semi")

@@ -86,12 +86,12 @@ def nearest_site(spark, sf):
     return spatial.nearest_anywhere(fixture(spark, sf, "people"), sites, 60, "pid", "id").select("pid", "id", F.round("d", 6).alias("d"))
 
 
-@query(f"""WITH l AS (SELECT pid, 'top' AS landing, x AS px, y AS py FROM $people WHERE pid % 10 = 0 UNION ALL SELECT pid, 'bottom' AS landing, x + 30 AS px, y + 10 AS py FROM $people WHERE pid % 10 = 0),
+@query(f"""WITH l AS (SELECT pid, 'top' AS landing, x AS px, y AS py FROM $people UNION ALL SELECT pid, 'bottom' AS landing, x + 30 AS px, y + 10 AS py FROM $people),
 m AS (SELECT *, row_number() OVER (PARTITION BY pid, landing ORDER BY round(d, 6), wid) AS n FROM {OFF.format(pairs="SELECT * FROM l, $walls w WHERE abs(px - x1) < 400 AND abs(py - y1) < 400")} o WHERE d <= 70)
 SELECT l.pid, l.landing, m.wid, round(m.d, 4) AS d, m.wid IS NULL AS dead_end FROM l LEFT JOIN m ON m.pid = l.pid AND m.landing = l.landing AND m.n = 1""")
 def lift_ends(spark, sf):
     """The road that each landing of a lift joins; a landing without one near is a dead end."""
-    people = fixture(spark, sf, "people").filter("pid % 10 = 0")
+    people = fixture(spark, sf, "people")
     landings = people.select("pid", F.explode(F.array(F.struct(F.lit("top").alias("landing"), "x", "y"), F.struct(F.lit("bottom").alias("landing"), (F.col("x") + 30).alias("x"), (F.col("y") + 10).alias("y")))).alias("l")).select("pid", "l.*")
     key = F.concat_ws(":", F.col("pid").cast("string"), "landing")
     met = spatial.nearest_segments(landings.withColumn("key", key), fixture(spark, sf, "walls"), "key", "wid", 70, k=8)
@@ -133,16 +133,17 @@ def screen_measures(spark, sf):
 ZONE = "CAST(floor({x} / 1000) * 7 + floor({y} / 1000) * 3 AS BIGINT) % 25"
 
 
-@query(f"""SELECT id, round((max(d) + sum(CASE WHEN z % 4 = 0 AND z <> za AND z <> zb THEN d / n ELSE 0 END) + 11 * max(id % 3)) / 7, 4) AS seconds FROM (SELECT *, {ZONE.format(x="(x1 + (x2 - x1) * (k + 0.5) / n)", y="(y1 + (y2 - y1) * (k + 0.5) / n)")} AS z FROM (
- SELECT *, unnest(generate_series(0, n - 1)) AS k, {ZONE.format(x="x1", y="y1")} AS za, {ZONE.format(x="x2", y="y2")} AS zb FROM (SELECT *, CAST(greatest(1, ceil(d / 16)) AS BIGINT) AS n FROM (SELECT *, sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) AS d FROM $segments) a) b) c) e GROUP BY id""")
+@query(f"""SELECT id, round((max(d) + sum(CASE WHEN z % 4 = 0 AND z <> za AND z <> zb THEN d / n ELSE 0 END) + 11 * sum(CASE WHEN g.v = 2 THEN d / n ELSE 0 END)) / 7, 4) AS seconds FROM (SELECT *, {ZONE.format(x="mx", y="my")} AS z FROM (SELECT *, x1 + (x2 - x1) * (k + 0.5) / n AS mx, y1 + (y2 - y1) * (k + 0.5) / n AS my FROM (
+ SELECT *, unnest(generate_series(0, n - 1)) AS k, {ZONE.format(x="x1", y="y1")} AS za, {ZONE.format(x="x2", y="y2")} AS zb FROM (SELECT *, CAST(greatest(1, ceil(d / 16)) AS BIGINT) AS n FROM (SELECT *, sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) AS d FROM $segments) a) b) c) d) e LEFT JOIN $cells g ON g.r = floor(my / 250) AND g.c = floor(mx / 250) GROUP BY id""")
 def weighed_walks(spark, sf):
-    """Seconds of a walk as a trip weighs it: yards in zones too high count twice, but not in the trip's own; blocked ones twelvefold."""
+    """Seconds of a walk as a trip weighs it: yards in zones too high count twice, but not in the trip's own; yards over blocked cells twelvefold."""
     zone = lambda x, y: (F.floor(x / 1000) * 7 + F.floor(y / 1000) * 3) % 25
     c = [F.col(n) for n in ("x1", "y1", "x2", "y2")]
-    samples = raster.midpoint_samples(fixture(spark, sf, "segments"), 16).withColumns({"z": zone(F.col("sx"), F.col("sy")), "za": zone(c[0], c[1]), "zb": zone(c[2], c[3]), "d": geo.distance(*c)})
+    samples = raster.midpoint_samples(fixture(spark, sf, "segments"), 16).withColumns({"z": zone(F.col("sx"), F.col("sy")), "za": zone(c[0], c[1]), "zb": zone(c[2], c[3]), "d": geo.distance(*c), "r": F.floor(F.col("sy") / 250), "c": F.floor(F.col("sx") / 250)})
+    blocked = fixture(spark, sf, "cells").filter("v = 2").select("r", "c", F.lit(True).alias("blocked"))
     extra = F.when((F.col("z") % 4 == 0) & (F.col("z") != F.col("za")) & (F.col("z") != F.col("zb")), F.col("share")).otherwise(0.0)
-    got = samples.groupBy("id").agg(F.max("d").alias("d"), F.sum(extra).alias("extra"))
-    return got.select("id", F.round((F.col("d") + F.col("extra") + 11 * (F.col("id") % 3)) / 7, 4).alias("seconds"))
+    got = samples.join(blocked, ["r", "c"], "left").groupBy("id").agg(F.max("d").alias("d"), F.sum(extra).alias("extra"), F.sum(F.when(F.col("blocked"), F.col("share")).otherwise(0.0)).alias("shut"))
+    return got.select("id", F.round((F.col("d") + F.col("extra") + 11 * F.col("shut")) / 7, 4).alias("seconds"))
 
 
 FLAGS = f"""WITH {STEPPED}, m AS (SELECT path, max(total) AS total, max(CASE WHEN k = 1 THEN x END) AS ax, max(CASE WHEN k = 1 THEN y END) AS ay, max(CASE WHEN k = 2 THEN x END) AS bx, max(CASE WHEN k = 2 THEN y END) AS b_y, max(CASE WHEN k = n THEN x END) AS zx, max(CASE WHEN k = n THEN y END) AS zy FROM (
