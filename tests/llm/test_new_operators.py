@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from waygrid.llm import alignment, ann, html, spelling, suffixes, tokens, toxicity
+from waygrid.llm import alignment, ann, common, html, spelling, suffixes, tokens, toxicity
 
 
 def as_rows(df, *columns):
@@ -79,6 +79,16 @@ def test_repeats_go_wherever_they_stand(spark, monkeypatch, whole, block, look):
     assert as_rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut(rows, 200)
 
 
+def test_many_anchors_and_copies_meet_in_shuffles(spark, monkeypatch):
+    """Beyond the bound of a broadcast the same rows come out."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(suffixes, "BROADCAST_ROWS", 1)
+    r = random.Random(11)
+    base = ["".join(r.choice("abcdef") for _ in range(700)) for _ in range(4)]
+    rows = [(i, base[i % 4][r.randrange(200) :] + str(i) * 5 + base[(i + 1) % 4][: r.randrange(100, 500)]) for i in range(24)] + [(50 + i, base[0]) for i in range(3)]
+    assert as_rows(suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut(rows, 200)
+
+
 def test_spans_and_kept_bytes(spark):
     text = "".join(random.Random(1).choice("abcdef") for _ in range(250))
     df = spark.createDataFrame([(1, "start é " + text + " end"), (2, text), (3, "alone"), (4, text)], "doc_id long, text string")
