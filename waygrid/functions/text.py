@@ -15,7 +15,7 @@ def way_line(line: Column) -> Column:
     The coordinates are the first two numbers in a row, from 0 to 100; a comma may follow the zone and each number.
     """
     number = r"(-?\d+(?:\.\d+)?)"
-    pattern = rf"(?i)^\s*(?:/t?way\s+)?(?:#(\d+),?\s+|(\S.*?),?\s+)??{number}(?:,\s*|\s+){number},?(?:\s+(.*?))?\s*$"
+    pattern = rf"(?i)^\s*(?:/t?way\s+)?(?:#(\d+),?\s+|([^/\s].*?),?\s+)??{number}(?:,\s*|\s+){number},?(?:\s+(.*?))?\s*$"
     part = lambda i: F.nullif(F.regexp_extract(line, pattern, i), F.lit(""))
     x, y = part(3).cast("double"), part(4).cast("double")
     fields = F.struct(part(1).cast("int").alias("map_id"), part(2).alias("zone"), x.alias("x"), y.alias("y"), part(5).alias("text"))
