@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from waygrid.llm import alignment, ann, common, html, spelling, suffixes, tokens, toxicity
+from waygrid.llm import alignment, ann, common, html, queries, spelling, suffixes, tokens, toxicity
 
 
 def as_rows(df, *columns):
@@ -282,3 +282,15 @@ SENTENCE = "We talk about what this means for all of the people who have been th
 )
 def test_names_of_subjects_keep_their_text(inside, text):
     assert html.main_text(f"<nav><a>Home</a></nav><article>{inside}</article>")[0] == " ".join(text.split())
+
+
+@pytest.mark.parametrize("name", ["op11_suffixes", "op12_spelling"])
+def test_queries_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    found = con.execute(queries.ORACLE[name])
+    at = [[d[0] for d in found.description].index(c) for c in df.columns]
+    assert as_rows(df, *df.columns) == in_order([tuple(r[i] for i in at) for r in found.fetchall()])

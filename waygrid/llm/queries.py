@@ -126,4 +126,4 @@ SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(m.component, d
 FROM sets d LEFT JOIN classes c ON c.s = list_sort(d.s) AND len(d.s) > 0 LEFT JOIN components m ON m.node = c.node
 """
 
-ORACLE: dict[str, str] = {"op5_minhash": OP5_SQL, "op6_licenses": oracles.licenses_sql()}
+ORACLE: dict[str, str] = {"op5_minhash": OP5_SQL, "op6_licenses": oracles.licenses_sql(), "op11_suffixes": oracles.repeats_sql(), "op12_spelling": oracles.SPELLING_SQL}
