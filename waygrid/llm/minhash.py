@@ -10,12 +10,13 @@ class is its connected component.  The work goes in five moves:
 3.  The XOR population count of two odd sketches estimates high similarities closely; pairs clearly below the
     threshold go.  The others are confirmed on their full sets, and confirmed links are closed to components.
 4.  Buckets whose members still lie in several components are compared across components in blocks of bounded
-    size, on sketches and then on full sets; a block gives only links that join components.
+    size, on sketches and then on full sets; a block gives only links that join components.  Where a bucket would
+    make too many blocks, its members meet by the rarest shingles of their sets, which loses no link.
 5.  Components are closed again over all links.
 
 At the threshold 0.8 a pair shares no band with probability (1 - 0.8^6)^40, about 5 in a million, and a true
-link's sketch count lies beyond the cut by more than six standard deviations.  Nothing is capped: a hot bucket
-costs more blocks, not fewer comparisons.
+link's sketch count lies beyond the cut by more than six standard deviations.  Nothing is capped: every pair of a hot
+bucket that can reach the threshold is compared.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text shorter
 than a shingle is one shingle; a row with a null key can't be named as another's copy and stays alone
@@ -44,6 +45,8 @@ BANDS, ROWS, BITS = 40, 6, 1024
 SAMPLES = BANDS * ROWS
 #: Members of one component side of a block; a block holds two sides.
 BLOCK = 128
+#: Blocks that an average member of a bucket may come in, and the bits of a counter's number where rare shingles are told.
+DEALT, SLOTS = 16, 20
 #: Words whose hashes a worker remembers.
 MEMO = 500_000
 
@@ -270,20 +273,16 @@ def _crossing_links(docs: DataFrame, blocks: DataFrame, most: int, size: int, pe
     return _by_block(rows.join(sets, "key"), [*columns, "shingles"], ["a", "b"], joining)
 
 
-def _leftover_blocks(members: DataFrame, centers: DataFrame, components: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Buckets with several components, dealt out in blocks.
+def _sizes(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("band").agg(F.count_if("stray").alias("n_stray"), F.count_if(~F.col("stray")).alias("n_main")).filter("n_stray > 0")
 
-    The members of the centre's component (which may be most of a hot bucket) are never compared with each
-    other: their chunks meet the chunks of the others only, and those meet each other and themselves.
+
+def _dealt(placed: DataFrame, sizes: DataFrame, sketches: DataFrame, among: bool = True) -> DataFrame:
+    """Members ``band, key, component, stray`` of buckets dealt out in blocks.
+
+    Members that aren't strays (which may be most of a hot bucket) are never compared with each other: their chunks meet
+    those of the strays only, and these meet each other and themselves if ``among``.
     """
-    labels = components.select(F.col("node").alias("key"), "component")
-    label = F.coalesce("component", "key")
-    labelled = written(members.join(labels, "key", "left").select("band", "key", label.alias("component")), "labelled")
-    center = centers.join(labels.withColumnRenamed("key", "center"), "center", "left").select("band", F.coalesce("component", "center").alias("main"))
-    center = written(center, "centers")
-    placed = written(labelled.join(center, "band").withColumn("stray", F.col("component") != F.col("main")), "placed")
-    sizes = placed.groupBy("band").agg(F.count_if("stray").alias("n_stray"), F.count_if(~F.col("stray")).alias("n_main"))
-    sizes = written(sizes.filter("n_stray > 0"), "sizes")
     chunks = {n: F.ceil(F.col(n) / BLOCK).cast("int") for n in ("n_stray", "n_main")}
     rows = placed.join(sizes, "band").join(sketches, "key")
     rows = rows.withColumns({"ns": chunks["n_stray"], "nm": chunks["n_main"]})
@@ -294,17 +293,97 @@ def _leftover_blocks(members: DataFrame, centers: DataFrame, components: DataFra
     block = lambda kind, i, j, side: F.struct(F.struct(F.col("band"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j")).alias("block"), side.alias("side"))
     mains = F.when(F.col("nm") > 0, F.sequence(F.lit(0), F.greatest(F.col("nm"), F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
     as_main = F.transform(strays(), lambda j: block("m", F.col("own"), j, F.lit(0)))
-    as_stray = F.concat(
-        F.transform(mains, lambda i: block("m", i, F.col("own"), F.lit(1))),
-        F.transform(
-            strays(),
-            lambda j: block("s", F.least(F.col("own"), j), F.greatest(F.col("own"), j), F.when(j == F.col("own"), 2).when(F.col("own") < j, 0).otherwise(1)),
-        ),
-    )
+    as_stray = F.transform(mains, lambda i: block("m", i, F.col("own"), F.lit(1)))
+    if among:
+        met = lambda j: block("s", F.least(F.col("own"), j), F.greatest(F.col("own"), j), F.when(j == F.col("own"), 2).when(F.col("own") < j, 0).otherwise(1))
+        as_stray = F.concat(as_stray, F.transform(strays(), met))
     dealt = rows.select("key", "component", "sketch", F.explode(F.when(F.col("stray"), as_stray).otherwise(as_main)).alias("dealt"))
     return dealt.select(F.xxhash64("dealt.block").alias("block"), "dealt.side", "key", "component", "sketch")
 
 
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many first shingles, in any one order of all, a set of ``n`` must be looked for by, and looked up by.
+
+    The first common shingle of two sets that reach the threshold is among the longer prefix of the larger set and
+    among the shorter one of the smaller set, as all common ones follow it in both.
+    """
+    return n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def _rarest(docs: DataFrame, hot: DataFrame, size: int, percent: int) -> DataFrame:
+    """``key, token, indexed``: the prefixes of the sets of ``hot`` in an order that puts rare shingles first.
+
+    Rarity is counted over all of these sets in ``2 ** SLOTS`` counters, so what the tasks are sent has a fixed size.
+    Shingles that share a counter only look more frequent; every order gives the same links.
+    """
+    texts = keep_ids(docs, hot, "key")
+    shift = _U(64 - SLOTS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(1 << SLOTS, np.int64)
+        for batch in batches:
+            for value in batch.column(1):
+                np.add.at(counters, shingle_set(value.as_py(), size) >> shift, 1)
+        at = np.nonzero(counters)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counters[at], pa.int64())], names=["slot", "n"])
+
+    summed = texts.mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counters = np.zeros(1 << SLOTS, np.int64)
+    counters[summed.column("slot").to_numpy()] = summed.column("n").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(counters)
+    kind = docs.schema["key"].dataType.simpleString()
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, value in enumerate(batch.column(1)):
+                found = shingle_set(value.as_py(), size)
+                probed, indexed = prefix_lengths(len(found), percent)
+                first = found[np.lexsort((found, sent.value[found >> shift]))[:probed]]
+                for start in range(0, len(first), 10_000):
+                    part = first[start : start + 10_000]
+                    keys = pa.repeat(batch.column(0)[at], len(part))
+                    marks = pa.array(np.arange(start, start + len(part)) < indexed)
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(part.view(np.int64)), marks], names=["key", "token", "indexed"])
+
+    return texts.select("key", "text").mapInArrow(prefixes, f"key {kind}, token bigint, indexed boolean")
+
+
+def _rare_blocks(docs: DataFrame, hot: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
+    """Members ``key, component`` of hot buckets in blocks of those that share a rare shingle, whatever their bucket.
+
+    What makes a bucket hot without joining its members is a passage that they share; it makes up so little of their
+    sets that no shingle of it is in a shorter prefix.  Two members meet if a shingle is in the prefixes of both, and in the
+    shorter one of at least one of them, and if they are of different components.
+    """
+    tokens = written(_rarest(docs, hot, size, percent).join(hot, "key"), "rarest")
+    parts = tokens.groupBy("token", "component").agg(F.count("*").alias("n"), F.count_if("indexed").alias("n_indexed"))
+    groups = parts.groupBy("token").agg(F.max_by("component", "n").alias("main"), F.sum("n_indexed").alias("n_indexed"), F.count("*").alias("n")).filter("n > 1 AND n_indexed > 0")
+    met = written(tokens.join(groups.select("token", "main"), "token").withColumn("other", F.col("component") != F.col("main")), "met")
+    columns = lambda part, stray: [F.xxhash64("token", F.lit(part)).alias("band"), "key", "component", stray.alias("stray")]
+    looked_up = met.select(columns("looked up", F.col("other") & F.col("indexed")))
+    of_main = met.filter(F.col("other") != F.col("indexed")).select(columns("of main", F.col("other")))
+    dealt = [_dealt(placed, written(_sizes(placed), "sizes"), sketches, among) for placed, among in ((looked_up, True), (of_main, False))]
+    return dealt[0].unionByName(dealt[1])
+
+
+def _leftover_blocks(docs: DataFrame, members: DataFrame, centers: DataFrame, components: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
+    """Buckets with several components, dealt out in blocks; strays are the members outside the centre's component.
+
+    Of buckets in which a member would come in more than ``DEALT`` blocks, the members meet by rare shingles instead.
+    """
+    labels = components.select(F.col("node").alias("key"), "component")
+    label = F.coalesce("component", "key")
+    labelled = written(members.join(labels, "key", "left").select("band", "key", label.alias("component")), "labelled")
+    center = centers.join(labels.withColumnRenamed("key", "center"), "center", "left").select("band", F.coalesce("component", "center").alias("main"))
+    center = written(center, "centers")
+    placed = written(labelled.join(center, "band").withColumn("stray", F.col("component") != F.col("main")), "placed")
+    rows = F.col("n_stray") * (F.col("n_stray") + 2 * F.col("n_main")) / BLOCK
+    sizes = written(_sizes(placed).withColumn("hot", rows > DEALT * (F.col("n_stray") + F.col("n_main"))), "sizes")
+    blocks = _dealt(placed, sizes.filter("NOT hot").drop("hot"), sketches)
+    hot = written(placed.join(sizes.filter("hot").select("band"), "band").select("key", "component").distinct(), "hot")
+    return blocks.unionByName(_rare_blocks(docs, hot, sketches, size, percent)) if hot.limit(1).count() else blocks
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``key, n_shingles, component_id, kept`` of every row; ``kept`` marks the smallest key of each component.
 
@@ -330,7 +409,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     star = members.join(centers, "band").filter("key <> center").select(F.least("key", "center").alias("a"), F.greatest("key", "center").alias("b")).distinct()
     links = written(_confirmed(named, written(_plausible(written(star, "star"), sketches, most), "plausible"), size, percent), "links")
     # What the centres did not join.
-    blocks = _leftover_blocks(members.select("band", "key"), centers, connected_components(links), sketches)
+    blocks = _leftover_blocks(named, members.select("band", "key"), centers, connected_components(links), sketches, size, percent)
     more = written(_crossing_links(named, blocks, most, size, percent), "links")
     components = connected_components(links.union(more))
     found = components.select("node", F.col("component").alias("found"))
