@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waygrid import queries as registry
 
-SUBJECTS = ("geo", "spatial", "aggregates", "ordered", "raster", "graph", "lines", "text", "world", "streams", "places", "network", "moves", "terrain", "trips", "traces", "shapes", "pulling", "journeys", "mesh", "turns", "notes")
+SUBJECTS = ("geo", "spatial", "aggregates", "ordered", "raster", "graph", "lines", "text", "world", "streams", "places", "network", "moves", "terrain", "trips", "traces", "shapes", "pulling", "journeys", "mesh", "turns", "notes", "enroute")
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -37,6 +37,17 @@ def without_spurs(edges: DataFrame, length: float, rounds: int = 1) -> DataFrame
     return edges
 
 
+def without_stubs(edges: DataFrame, cut: DataFrame, length: float, rounds: int = 3) -> DataFrame:
+    """``rounds`` of taking away edges shorter than ``length`` whose dead end is one of the nodes that ``cut`` (``node``) made."""
+    cut = cut.select("node").distinct().withColumn("cut", F.lit(True))
+    for _ in range(rounds):
+        ends = degrees(edges).join(cut, "node", "left").select("node", ((F.col("degree") == 1) & F.col("cut").isNotNull()).alias("stub"))
+        a, b = (ends.select(F.col("node").alias(c), F.col("stub").alias(f"s{c}")) for c in ("a", "b"))
+        gone = (F.col("w") < length) & (F.col("sa") | F.col("sb"))
+        edges = written(edges.join(a, "a").join(b, "b").filter(~gone).select(*edges.columns), "pruned")
+    return edges
+
+
 def contracted(edges: DataFrame, salt: int = 0) -> DataFrame:
     """One round of joining through nodes of degree two: ``a, b, w``.
 

@@ -105,6 +105,31 @@ def arriving(stops: list[tuple[float, float]], reach: float) -> Step:
     return step
 
 
+#: When it was last looked, and where the body is that comes first.
+NO_BODY = (None, None, None)
+
+
+def bodies(pause: float) -> Step:
+    """Changes of the stop at a ghost's body from samples ``(id, time, ghost, x, y)``: gives ``(id, placed, x, y)``.
+
+    A sample counts if the last one that did is ``pause`` or longer ago.  A ghost whose body has a place makes for it first; a body
+    less than a yard off on both axes is the same; one that is gone, or of no known place, is taken off.
+    """
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        checked, *body = state
+        name, time, ghost, x, y = row
+        if checked is not None and time - checked < pause:
+            return state, []
+        seen = [x, y] if ghost and x is not None else [None, None]
+        before, now = body[0] is not None, seen[0] is not None
+        if before and now and all(abs(a - b) < 1 for a, b in zip(body, seen)):
+            return (time, *body), []
+        return (time, *seen), [(name, now, seen[0] or 0.0, seen[1] or 0.0)] if before or now else []
+
+    return step
+
+
 #: Phases of a player on a line between two docks.
 ELSEWHERE, WAITING, BOARDING, ABOARD, UNDER_WAY = range(5)
 
