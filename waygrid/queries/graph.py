@@ -178,8 +178,10 @@ def ride_pins(spark, sf):
 SELECT node, place AS ancestor, depth FROM up WHERE place <= 15""")
 def ancestor_walk(spark, sf):
     """The first ancestor that is a top zone, by climbing parents level by level."""
-    return spark.sql(f"""WITH RECURSIVE up (node, place, depth) AS (SELECT p_partkey, p_partkey, 0 FROM parquet.`{sf}/part.parquet`
-        UNION ALL SELECT node, CAST(floor(place / 2) AS BIGINT), depth + 1 FROM up WHERE place > 15) SELECT node, place AS ancestor, depth FROM up WHERE place <= 15""")
+    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("node"))
+    # Each row climbs alone: floor(place / 2) shifts one bit out, so 64 steps end any walk and no level of all rows is ever held.
+    climbed = F.expr("filter(transform(sequence(0, 63), k -> struct(shiftright(node, k) AS place, k AS depth)), s -> s.place <= 15)[0]")
+    return parts.withColumn("top", climbed).select("node", F.col("top.place").alias("ancestor"), F.col("top.depth").alias("depth"))
 
 
 @query("""WITH z AS (SELECT id, map_id FROM (SELECT s.id, z.map_id, row_number() OVER (PARTITION BY s.id ORDER BY (z.maxx - z.minx) * (z.maxy - z.miny), z.map_id) AS n FROM $sites s JOIN $zones z ON s.x >= z.minx AND s.x <= z.maxx AND s.y >= z.miny AND s.y <= z.maxy) q WHERE n = 1),
