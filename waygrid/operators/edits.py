@@ -35,7 +35,8 @@ def stretch_near(a: tuple[Column, ...], b: tuple[Column, ...], reach: float) ->
     beside = (F.when(across[0].isNotNull() & along[0].isNotNull(), F.greatest(across[0], along[0])), F.when(across[1].isNotNull() & along[1].isNotNull(), F.least(across[1], along[1])))
     parts = F.filter(F.array(*[F.struct(lo.alias("lo"), hi.alias("hi")) for lo, hi in (near_point(cx, cy), near_point(ex, ey), beside)]), lambda s: s["lo"] <= s["hi"])
     lo, hi = F.array_min(F.transform(parts, lambda s: s["lo"])), F.array_max(F.transform(parts, lambda s: s["hi"]))
-    return F.greatest(F.lit(0.0), lo), F.least(F.lit(1.0), hi)
+    # Greatest and least pass over nulls, so a pair that is nowhere near must be kept out of them.
+    return F.when(lo.isNotNull(), F.greatest(F.lit(0.0), lo)), F.when(hi.isNotNull(), F.least(F.lit(1.0), hi))
 
 
 def surviving(edits: DataFrame, reach: float, cosine: float) -> DataFrame:
