@@ -62,15 +62,20 @@ def minimap_offsets(spark, sf):
 OPEN = """SELECT s.id, s.x, s.y, k, d * 100 AS d, s.x + cos(k * pi() / 4) * d * 100 AS ox, s.y + sin(k * pi() / 4) * d * 100 AS oy FROM $sites s, (SELECT unnest(range(8)) AS k) a, (SELECT unnest(range(1, 13)) AS d) b"""
 
 
+def open_spots(sites):
+    """Spots ``k, d, ox, oy`` around each site in eight bearings; the bearing is multiplied first, as in the SQL, to the last bit."""
+    spots = sites.select("id", "x", "y", F.explode(F.expr("sequence(0, 7)")).alias("k")).withColumn("n", F.explode(F.expr("sequence(1, 12)"))).withColumn("d", F.col("n") * 100)
+    a = F.col("k") * F.pi() / 4
+    return spots.withColumns({"ox": F.col("x") + F.cos(a) * F.col("n") * 100, "oy": F.col("y") + F.sin(a) * F.col("n") * 100})
+
+
 @query(f"""WITH o AS (SELECT p.*, row_number() OVER (PARTITION BY id, k ORDER BY d) AS n FROM ({OPEN}) p JOIN $cells g ON g.r = CAST(floor(p.ox / 250) AS BIGINT) AND g.c = CAST(floor(p.oy / 250) AS BIGINT) AND g.v < 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, k) AS place FROM o WHERE n = 1), a AS (SELECT * FROM f WHERE place = 1),
 b AS (SELECT f.*, row_number() OVER (PARTITION BY f.id ORDER BY f.place) AS m FROM f JOIN a ON a.id = f.id AND f.place > 1 AND sqrt((f.ox - a.ox) * (f.ox - a.ox) + (f.oy - a.oy) * (f.oy - a.oy)) >= 400)
 SELECT id, k, d FROM a UNION ALL SELECT id, k, d FROM b WHERE m = 1""")
 def open_around(spark, sf):
     """The nearest open spot in each of eight bearings; of these the nearest and the next one far enough from it."""
-    spots = fixture(spark, sf, "sites").select("id", "x", "y", F.explode(F.expr("sequence(0, 7)")).alias("k")).withColumn("d", F.explode(F.expr("sequence(100, 1200, 100)")))
-    a = F.col("k") * F.pi() / 4
-    spots = spots.withColumns({"ox": F.col("x") + F.cos(a) * F.col("d"), "oy": F.col("y") + F.sin(a) * F.col("d")})
+    spots = open_spots(fixture(spark, sf, "sites"))
     spots = spots.withColumns({"r": F.floor(F.col("ox") / 250), "c": F.floor(F.col("oy") / 250)})
     free = spots.join(fixture(spark, sf, "cells").filter("v < 2").select("r", "c"), ["r", "c"])
     found = free.groupBy("id", "k").agg(F.min(F.struct("d", "k", "ox", "oy")).alias("s"))
