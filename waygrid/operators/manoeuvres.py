@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waygrid.functions import text
+from waygrid.functions import geo, text
 from waygrid.operators import ordered
 
 
@@ -33,7 +33,7 @@ def _wrapped(angle: Column) -> Column:
 
 
 def _heading(a: str, b: str) -> Column:
-    return F.degrees(F.atan2(F.col(f"{b}.y") - F.col(f"{a}.y"), F.col(f"{b}.x") - F.col(f"{a}.x")))
+    return F.degrees(geo.heading(F.col(f"{b}.y") - F.col(f"{a}.y"), F.col(f"{b}.x") - F.col(f"{a}.x")))
 
 
 def _far(a: str, b: str) -> Column:
