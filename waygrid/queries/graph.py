@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from waygrid.functions import geo
 from waygrid.operators import network
-from waygrid.operators.spatial import in_buckets, nearest_segments, points_in_circles, smallest_box
+from waygrid.operators.spatial import nearest_segments, smallest_box
 from waygrid.plans import components, paths
 from waygrid.queries import query
 from waygrid.queries.raster import zone_yards
@@ -55,22 +55,16 @@ SELECT node AS pid, min(other) AS cluster FROM reach GROUP BY node""")
 def place_clusters(spark, sf):
     """Single-linkage clusters of places of one kind."""
     people = fixture(spark, sf, "people")
-    other = people.select(F.col("pid").alias("b"), F.col("kind").alias("k"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(400.0).alias("r"))
-    links = points_in_circles(people, other, 400).filter("pid <> b AND kind = k").select(F.col("pid").alias("a"), "b")
-    return components.connected_components(links).toDF("pid", "cluster")
+    found = components.linked_places(people.select(F.col("pid").alias("id"), "x", "y", F.lit(0.0).alias("r"), "kind"), 400, "kind")
+    return found.toDF("pid", "cluster")
 
 
 @query("""WITH RECURSIVE e AS (SELECT a.cid AS a, b.cid AS b FROM $circles a JOIN $circles b ON a.cid <> b.cid AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= a.r + b.r + 60),
 reach AS (SELECT DISTINCT a AS node, a AS other FROM e UNION SELECT r.node, e.b AS other FROM reach r JOIN e ON r.other = e.a) SELECT node AS cid, min(other) AS town FROM reach GROUP BY node""")
 def hostile_towns(spark, sf):
-    """Circles that come within 60 yards of each other are one town; each is dealt out by its own radius."""
+    """Circles that come within 60 yards of each other are one town."""
     circles = fixture(spark, sf, "circles")
-    half = F.col("r") + 30
-    left = in_buckets(circles, F.col("x") - half, F.col("x") + half, F.col("y") - half, F.col("y") + half, 200)
-    right = left.select("bx", "by", *[F.col(c).alias(f"o_{c}") for c in ("cid", "x", "y", "r")])
-    near = geo.distance(F.col("x"), F.col("y"), F.col("o_x"), F.col("o_y")) <= F.col("r") + F.col("o_r") + 60
-    links = left.join(right, ["bx", "by"]).filter((F.col("cid") < F.col("o_cid")) & near).select(F.col("cid").alias("a"), F.col("o_cid").alias("b"))
-    return components.connected_components(links).toDF("cid", "town")
+    return components.linked_places(circles.select(F.col("cid").alias("id"), "x", "y", "r"), 60).toDF("cid", "town")
 
 
 @query("""WITH RECURSIVE e AS (SELECT * FROM $edges), best(node, cost) USING KEY (node) AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost
