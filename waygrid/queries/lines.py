@@ -122,8 +122,8 @@ def specks(spark, sf):
 def standing_walls(spark, sf):
     """Edits replayed without a fold: a wall stands unless a later eraser of its floor comes near."""
     walls = fixture(spark, sf, "people")
-    erasers = walls.select(F.col("pid").alias("later"), F.col("kind").alias("floor"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    gone = nearest_within(walls, erasers, 300, "pid", "later", allowed=(F.col("later") > F.col("pid")) & (F.col("kind") == F.col("floor"))).select("pid")
+    erasers = walls.select(F.col("pid").alias("later"), "kind", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    gone = nearest_within(walls, erasers, 300, "pid", "later", allowed=F.col("later") > F.col("pid"), same=("kind",)).select("pid")
     return walls.join(gone, "pid", "left_anti").select(F.col("pid").alias("wall"))
 
 

@@ -115,8 +115,8 @@ def snapped_places(spark, sf):
 def new_entrances(spark, sf):
     """Entrances with no known one of their level within 500 yards."""
     people = fixture(spark, sf, "people")
-    known = fixture(spark, sf, "sites").select(F.col("id").alias("known"), F.col("kind").alias("level"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    return people.join(nearest_within(people, known, 500, "pid", "known", k=1, allowed=F.col("kind") == F.col("level")).select("pid"), "pid", "left_anti").select("pid")
+    known = fixture(spark, sf, "sites").select(F.col("id").alias("known"), "kind", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    return people.join(nearest_within(people, known, 500, "pid", "known", k=1, same=("kind",)).select("pid"), "pid", "left_anti").select("pid")
 
 
 @query("""WITH RECURSIVE o AS (SELECT p.kind, p.pid, p.x, p.y, row_number() OVER (PARTITION BY p.kind ORDER BY p.pid) AS n FROM $people p WHERE NOT EXISTS (SELECT 1 FROM $sites s WHERE s.kind = p.kind AND (s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y) <= 250000)),
