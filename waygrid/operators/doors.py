@@ -9,6 +9,8 @@ from waygrid.functions import geo
 
 # Words of a door's name that don't tell which door it is.
 PLAIN_WORDS = ("entering", "exiting", "entrance", "exit", "instance", "start", "end", "inside", "the")
+#: Into how many parts the ways out of one name are dealt.
+PARTS = 32
 
 
 def door_key(name: Column) -> Column:
@@ -28,8 +30,15 @@ def paired_doors(ins: DataFrame, outs: DataFrame, ghosts: DataFrame, reach: floa
     known = outs.withColumn("key", door_key(F.col("name"))).withColumn("word", F.split_part("key", F.lit(" "), F.lit(1))).select("out", "x", "y", "key", "word")
 
     def nearest(by: str, doors: DataFrame) -> DataFrame:
-        met = doors.filter(F.col(by) != "").join(known.select("out", "x", "y", by), by).withColumn("d", F.when(F.col("gx").isNull(), 0.0).otherwise(geo.distance(F.col("x"), F.col("y"), F.col("gx"), F.col("gy"))))
-        best = met.groupBy("door").agg(F.min(F.struct("d", "out", "x", "y")).alias("best"))
+        # Doors of one name and ghosts' place ask the same, so each question is put once, to parts of the ways out: a common name has many.
+        doors = doors.filter(F.col(by) != "")
+        asked = doors.select(by, "gx", "gy").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        outs = known.select("out", "x", "y", by, F.pmod(F.xxhash64("out"), F.lit(PARTS)).cast("int").alias("part"))
+        met = asked.join(outs, [by, "part"]).withColumn("d", F.when(F.col("gx").isNull(), 0.0).otherwise(geo.distance(F.col("x"), F.col("y"), F.col("gx"), F.col("gy"))))
+        point = F.min(F.struct("d", "out", "x", "y")).alias("best")
+        told = met.groupBy("part", by, "gx", "gy").agg(point).select(F.col(by).alias("_by"), F.col("gx").alias("_gx"), F.col("gy").alias("_gy"), "best.*").groupBy("_by", "_gx", "_gy").agg(point)
+        of = (F.col(by) == F.col("_by")) & F.col("gx").eqNullSafe(F.col("_gx")) & F.col("gy").eqNullSafe(F.col("_gy"))
+        best = doors.join(told, of).groupBy("door").agg(F.min("best").alias("best"))
         return best.select("door", F.lit(by).alias("way"), "best.*")
 
     same = nearest("key", asked)
