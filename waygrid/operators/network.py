@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waygrid.functions import geo
-from waygrid.operators.spatial import in_buckets, point_buckets
+from waygrid.operators.spatial import _first_reach, in_buckets, point_buckets
 from waygrid.plans.components import connected_components
 from waygrid.plans.scratch import discard, written
 
@@ -172,16 +172,23 @@ def spanning_links(candidates: DataFrame) -> DataFrame:
     return open_.select("u", "v", "w") if taken is None else taken.select("u", "v", "w")
 
 
-def few_links(links: DataFrame, most: int) -> DataFrame:
+def _ends(links: DataFrame) -> DataFrame:
+    """``end, had``: how many of ``links`` each end has."""
+    return links.select(F.explode(F.array("u", "v")).alias("end")).groupBy("end").agg(F.count("*").alias("had"))
+
+
+def few_links(links: DataFrame, most: int, begun: DataFrame | None = None) -> DataFrame:
     """The shortest links ``u, v, w`` taken one by one in order of ``w, u, v``, as long as both ends have fewer than ``most``.
 
+    ``begun`` (``end, had``) says how many links ends have already.
+
     Settled in rounds: a link that stands, among the undecided ones of either end, within what that end may still take is
     taken whatever becomes of the others; a full end's links go.  The shortest one left always settles.
     """
     left, taken = written(links.select("u", "v", "w").dropna().distinct(), "links"), None
     while left.limit(1).count():
         ends = left.select("u", "v", "w", F.explode(F.array("u", "v")).alias("end"))
-        had = None if taken is None else taken.select(F.explode(F.array("u", "v")).alias("end")).groupBy("end").agg(F.count("*").alias("had"))
+        had = begun if taken is None else _ends(taken) if begun is None else _ends(taken).unionByName(begun).groupBy("end").agg(F.sum("had").alias("had"))
         ends = ends.withColumn("had", F.lit(0)) if had is None else ends.join(had, "end", "left").fillna(0, ["had"])
         place = F.row_number().over(Window.partitionBy("end").orderBy("w", "u", "v")) + F.col("had")
         told = ends.withColumns({"full": F.col("had") >= most, "sure": place <= most}).groupBy("u", "v", "w")
@@ -191,3 +198,26 @@ def few_links(links: DataFrame, most: int) -> DataFrame:
         discard(left)
         left = written(told.filter("NOT sure AND NOT full").select("u", "v", "w"), "links")
     return left if taken is None else taken
+
+
+def few_links_within(points: DataFrame, point_id: str, reach: float, most: int) -> DataFrame:
+    """``few_links`` of all pairs of ``points`` (``point_id, x, y``) no more than ``reach`` apart.
+
+    Rounds of growing reach: links that are longer come after all shorter ones, so a round meets only points that
+    shorter links have left with fewer than ``most``, and no others are ever paired.
+    """
+    left = written(points.select(F.col(point_id).alias("u"), "x", "y"), "points")
+    size, low, taken = _first_reach(left, F.col("x"), F.col("y"), reach, most), -1.0, None
+    while True:
+        x, y = F.col("x"), F.col("y")
+        near = in_buckets(left, x - size, x + size, y - size, y + size, size)
+        w = geo.distance(x, y, F.col("o_x"), F.col("o_y"))
+        links = near.join(point_buckets(left.toDF("v", "o_x", "o_y"), size, "o_x", "o_y"), ["bx", "by"]).withColumn("w", w)
+        links = links.filter((F.col("u") < F.col("v")) & (F.col("w") <= size) & (F.col("w") > low)).select("u", "v", "w")
+        now = few_links(links, most, None if taken is None else _ends(taken))
+        taken = now if taken is None else written(taken.unionByName(now), "taken")
+        if size >= reach:
+            return taken
+        rest = written(left.join(_ends(taken).filter(F.col("had") >= most), F.col("u") == F.col("end"), "left_anti"), "points")
+        discard(left)
+        left, low, size = rest, size, size * 2
