@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waygrid.operators import raster
-from waygrid.plans.paths import shortest_paths
+from waygrid.plans.paths import shortest_paths, shortest_paths_by_parts
 from waygrid.plans.scratch import written
 
 
@@ -35,7 +35,8 @@ def block_graph(cells: DataFrame, size: int) -> DataFrame:
 
 def block_search(graph: DataFrame, start: DataFrame) -> DataFrame:
     """``node, cost`` of every portal of a ``block_graph`` that can be reached from the portals of ``start`` (``node``), over portals alone."""
-    found = shortest_paths(graph, start.select(F.lit(0).alias("source"), "node", F.lit(0.0).alias("cost")))
+    part = lambda node: raster.square(F.shiftright(node, 31), F.pmod(node, F.lit(1 << 31)))
+    found = shortest_paths_by_parts(graph, start.select(F.lit(0).alias("source"), "node", F.lit(0.0).alias("cost")), part)
     return found.select("node", "cost")
 
 
