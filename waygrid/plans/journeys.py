@@ -11,10 +11,18 @@ from waygrid.plans import paths
 from waygrid.plans.scratch import written
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A written table whose joins are merges, as all of them grow with the requests or the roads and none goes through the driver."""
+    return written(df, name).hint("merge")
+
+
 def _legs(lines: DataFrame, walls: DataFrame, off: float, penalty: float, size: float) -> DataFrame:
-    """``line, leg``: what it costs to walk the straight ``lines`` (``line, x1, y1, x2, y2``), with a penalty for crossing a wall."""
-    lines = written(lines, "lines")
-    hit = spatial.crossings(lines, walls, "line", "wall", size).select("line").distinct()
+    """``line, leg``: what it costs to walk the straight ``lines`` (``line, x1, y1, x2, y2``), with a penalty for crossing a wall.
+
+    One wall is enough, so a line meets those of its beginning first.
+    """
+    lines = _kept(lines, "lines")
+    hit = spatial.first_crossings(lines, walls, "line", size).select("line")
     crossing = F.when(F.col("hit"), float(penalty)).otherwise(0.0)
     return lines.join(hit.withColumn("hit", F.lit(True)), "line", "left").select("line", (geo.distance(*map(F.col, ("x1", "y1", "x2", "y2"))) * off + crossing).alias("leg"))
 
@@ -30,18 +38,19 @@ def journeys(nodes: DataFrame, edges: DataFrame, requests: DataFrame, walls: Dat
     All requests are one search, keyed by request; parts of edges are costs of entering and leaving nodes, so that no
     edge is split and the network is read as it is.
     """
+    nodes = nodes.hint("merge")
     place = lambda c, i: nodes.select(F.col("node").alias(c), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
     roads = edges.join(place("a", 1), "a").join(place("b", 2), "b").withColumn("w", geo.distance(*map(F.col, ("x1", "y1", "x2", "y2"))) * F.col("ratio"))
-    roads = written(roads.select("edge", "a", "b", "one_way", "w", "x1", "y1", "x2", "y2"), "roads")
+    roads = _kept(roads.select("edge", "a", "b", "one_way", "w", "x1", "y1", "x2", "y2"), "roads")
     ends = requests.select("req", F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("sx").alias("x"), F.col("sy").alias("y")), F.struct(F.lit("t").alias("side"), F.col("tx").alias("x"), F.col("ty").alias("y")))).alias("e"))
     ends = ends.select(F.struct("req", "e.side").alias("end"), "e.x", "e.y")
     near = spatial.nearest_segments(ends, roads.select("edge", "x1", "y1", "x2", "y2"), "end", "edge", reach, k=k, slack=reach).select("end", "edge", "t", "x", "y")
     near = near.join(roads, "edge").withColumns({"px": F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1")), "py": F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1"))})
-    near = written(near.select(F.struct("end.req", "end.side", "edge").alias("line"), "a", "b", "one_way", "w", "t", "x", "y", "px", "py"), "near")
+    near = _kept(near.select(F.struct("end.req", "end.side", "edge").alias("line"), "a", "b", "one_way", "w", "t", "x", "y", "px", "py"), "near")
     straight = requests.select(F.struct("req", F.lit("-").alias("side"), F.lit(None).cast(edges.schema["edge"].dataType).alias("edge")).alias("line"), F.col("sx").alias("x1"), F.col("sy").alias("y1"), F.col("tx").alias("x2"), F.col("ty").alias("y2"))
     lines = near.select("line", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("px").alias("x2"), F.col("py").alias("y2")).unionByName(straight)
-    legs = written(_legs(lines, walls, off, penalty, reach), "legs")
-    met = written(near.join(legs, "line").select("line.req", "line.side", "line.edge", "a", "b", "one_way", "w", "t", "px", "py", "leg"), "joins")
+    legs = _kept(_legs(lines, walls, off, penalty, reach), "legs")
+    met = _kept(near.join(legs, "line").select("line.req", "line.side", "line.edge", "a", "b", "one_way", "w", "t", "px", "py", "leg"), "joins")
     to_b, to_a = F.col("leg") + (1 - F.col("t")) * F.col("w"), F.col("leg") + F.col("t") * F.col("w")
 
     def options(side: str, forward, back) -> DataFrame:
@@ -49,7 +58,7 @@ def journeys(nodes: DataFrame, edges: DataFrame, requests: DataFrame, walls: Dat
         both = F.array(F.struct(F.col(forward[0]).alias("node"), forward[1].alias("cost")), F.when(~F.col("one_way"), F.struct(F.col(back[0]).alias("node"), back[1].alias("cost"))))
         rows = met.filter(F.col("side") == side).select("req", "edge", "px", "py", F.explode(both).alias("o")).filter("o IS NOT NULL")
         best = F.min(F.struct("o.cost", "edge", "px", "py")).alias("best")
-        return written(rows.groupBy("req", "o.node").agg(best).select("req", "node", "best.*"), "options")
+        return _kept(rows.groupBy("req", "o.node").agg(best).select("req", "node", "best.*"), "options")
 
     entries, exits = options("s", ("b", to_b), ("a", to_a)), options("t", ("a", to_a), ("b", to_b))
     left = met.filter("side = 's'").select("req", "edge", "one_way", "w", F.col("t").alias("t1"), F.col("px").alias("x1"), F.col("py").alias("y1"), F.col("leg").alias("leg1"))
@@ -59,27 +68,27 @@ def journeys(nodes: DataFrame, edges: DataFrame, requests: DataFrame, walls: Dat
     same = same.groupBy("req").agg(F.min(F.struct("cost", "edge", "x1", "y1", "x2", "y2")).alias("same"))
     across = legs.filter("line.side = '-'").select(F.col("line.req").alias("req"), F.col("leg").alias("across"))
     limits = across.join(same, "req", "left")
-    limits = written(limits.select("req", "across", "same", F.least("across", F.coalesce("same.cost", "across")).alias("limit")), "limits")
+    limits = _kept(limits.select("req", "across", "same", F.least("across", F.coalesce("same.cost", "across")).alias("limit")), "limits")
     ways = roads.select("a", "b", "w", "edge", "one_way").unionByName(roads.filter("NOT one_way").select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "edge", "one_way"))
-    ways = written(ways.filter("a <> b").groupBy("a", "b").agg(F.min(F.struct("w", "edge", "one_way")).alias("best")).select("a", "b", "best.*"), "ways")
+    ways = _kept(ways.filter("a <> b").groupBy("a", "b").agg(F.min(F.struct("w", "edge", "one_way")).alias("best")).select("a", "b", "best.*"), "ways")
     costs = paths.shortest_paths(ways, entries.select(F.col("req").alias("source"), "node", "cost"), limits=limits.select(F.col("req").alias("source"), "limit"))
-    costs = written(costs, "costs")
+    costs = _kept(costs, "costs")
     found = costs.toDF("req", "node", "there").join(exits, ["req", "node"]).withColumn("total", F.col("there") + F.col("cost"))
-    found = found.groupBy("req").agg(F.min(F.struct("total", "node", "edge", "px", "py")).alias("over"))
+    found = found.groupBy("req").agg(F.min(F.struct("total", "node", "edge", "px", "py")).alias("over")).hint("merge")
     # Of equal costs the straight line goes first, then one edge.
-    told = written(requests.join(limits, "req").join(found, "req", "left").withColumn("cost", F.least("limit", F.coalesce("over.total", "limit"))), "told")
+    told = _kept(requests.join(limits, "req").join(found, "req", "left").withColumn("cost", F.least("limit", F.coalesce("over.total", "limit"))), "told")
     how = F.when(F.col("cost") == F.col("across"), "across").when(F.col("cost") == F.col("same.cost"), "same").otherwise("over")
     told = told.withColumn("how", how)
     over = told.filter("how = 'over'")
     nodes_on = paths.routes(costs, ways, over.select(F.col("req").alias("source"), F.col("over.node").alias("target"))).toDF("req", "target", "n", "node", "there")
     w = Window.partitionBy("req").orderBy("n")
-    nodes_on = written(nodes_on.withColumn("before", F.lag("node").over(w)), "nodes")
+    nodes_on = _kept(nodes_on.withColumn("before", F.lag("node").over(w)), "nodes")
     kinds = nodes_on.join(ways.select(F.col("a").alias("before"), F.col("b").alias("node"), "one_way"), ["before", "node"], "left").join(nodes, "node")
     between = kinds.select("req", (F.col("n") + 1).cast("bigint").alias("seq"), "x", "y", F.when(F.col("one_way"), "drop").otherwise("road").alias("kind"))
     first = nodes_on.filter("n = 1").select("req", "node").join(entries.select("req", "node", "edge", F.col("px").alias("ex"), F.col("py").alias("ey")), ["req", "node"])
     kind_of = lambda c: roads.select(F.col("edge").alias(c), F.when(F.col("one_way"), "drop").otherwise("road").alias(f"{c}_kind"))
     # The part of the edge that a route enters by leads to its first node, that it leaves by to the exit.
-    into = first.withColumnRenamed("edge", "in").join(kind_of("in"), "in").select("req", "ex", "ey", "in_kind")
+    into = first.withColumnRenamed("edge", "in").join(kind_of("in"), "in").select("req", "ex", "ey", "in_kind").hint("merge")
     sizes = nodes_on.groupBy("req").agg(F.max("n").cast("bigint").alias("n"))
     done = over.join(into, "req").join(sizes, "req").withColumn("out", F.col("over.edge")).join(kind_of("out"), "out")
     point = lambda seq, x, y, kind: F.struct(seq.cast("bigint").alias("seq"), x.alias("x"), y.alias("y"), kind.alias("kind"))

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from .scratch import discard, written
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A written table whose joins are merges: packed in its file it looks small enough to be sent through the driver, each round anew."""
+    return written(df, name).hint("merge")
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = None, limits: DataFrame | None = None) -> DataFrame:
     """``source, node, cost``: least cost from each of ``sources`` (``source, node, cost``) along ``edges`` (``a, b, w``).
 
@@ -22,7 +27,9 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = No
     With ``limits`` (``source, limit``) a source goes no farther than its limit, so many short searches in one don't flood the network.
     Edges are written once, and both sides of the join are plain scans, so hubs are split by the adaptive join.
     """
-    edges = written(edges.select("a", "b", F.col("w").cast("double").alias("w")).dropna(), "edges")
+    edges = _kept(edges.select("a", "b", F.col("w").cast("double").alias("w")).dropna(), "edges")
+    if limits is not None:
+        limits = limits.hint("merge")
     best = written(sources.groupBy("source", "node").agg(F.min(F.col("cost").cast("double")).alias("cost")), "costs")
     frontier, done = best, 0
     while rounds is None or done < rounds:
@@ -185,7 +192,8 @@ def predecessors(costs: DataFrame, edges: DataFrame) -> DataFrame:
     ``costs`` is what ``shortest_paths`` gives; an edge is on a cheapest way if it makes up the whole difference.  One join
     after the search, so the search itself carries no ways.  Weights must be positive, or ways could turn in circles.
     """
-    ends = costs.select(F.col("source").alias("_s"), F.col("node").alias("_n"), F.col("cost").alias("_c"))
+    ends = costs.select(F.col("source").alias("_s"), F.col("node").alias("_n"), F.col("cost").alias("_c")).hint("merge")
+    costs = costs.hint("merge")
     steps = costs.join(edges.select("a", "b", "w"), F.col("node") == F.col("a")).select("source", F.col("node").alias("prev"), F.col("b").alias("to"), (F.col("cost") + F.col("w")).alias("there"))
     steps = steps.join(ends, (F.col("source") == F.col("_s")) & (F.col("to") == F.col("_n")) & (F.col("there") == F.col("_c")))
     best = steps.groupBy(F.col("source").alias("_s"), F.col("to").alias("_n")).agg(F.min("prev").alias("prev"))
@@ -199,14 +207,14 @@ def routes(costs: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
     been, so the longest way of n nodes takes log n rounds.
     """
     key = ["source", "node"]
-    tree = written(predecessors(costs, edges), "tree")
-    jumps = written(tree.filter("prev IS NOT NULL").select(*key, "prev"), "jumps")
+    tree = _kept(predecessors(costs, edges), "tree")
+    jumps = _kept(tree.filter("prev IS NOT NULL").select(*key, "prev"), "jumps")
     rows = written(targets.select("source", "target", F.col("target").alias("node"), F.lit(0).alias("back")), "route")
     n, steps = rows.count(), 1
     while True:
         further = rows.join(jumps, key).select("source", "target", F.col("prev").alias("node"), (F.col("back") + steps).alias("back"))
         new = written(rows.unionByName(further), "route")
-        twice = written(jumps.join(jumps.toDF("source", "prev", "further"), ["source", "prev"]).select(*key, F.col("further").alias("prev")), "jumps")
+        twice = _kept(jumps.join(jumps.toDF("source", "prev", "further"), ["source", "prev"]).select(*key, F.col("further").alias("prev")), "jumps")
         discard(rows, jumps)
         rows, jumps, now, steps = new, twice, new.count(), steps * 2
         if now == n:
