@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from waygrid.functions import geo
 from waygrid.operators import aggregates, ordered, raster
 from waygrid.operators.spatial import nearest_within
+from waygrid.plans.scratch import written
 from waygrid.queries import query
 from waygrid.sources.fixtures import fixture
 
@@ -88,9 +89,12 @@ def underground_levels(spark, sf):
     """A place is underground if anything near it lies deep enough."""
     targets = fixture(spark, sf, "people").select("pid", F.col("x").alias("tx"), F.col("y").alias("ty"))
     sites = fixture(spark, sf, "sites")
-    near = nearest_within(sites, targets, 450, "id", "pid", k=2**31 - 1).groupBy("id").agg(F.min(F.col("pid") % 40).alias("depth"))
-    level = F.when(F.col("depth").isNull(), "unknown").when(F.col("depth") < 10, "underground").otherwise("surface")
-    return sites.select("id").join(near, "id", "left").select("id", level.alias("level"))
+    # One place that is deep enough settles it, else one at all, so nobody meets all that are near.
+    deep = written(nearest_within(sites, targets.filter("pid % 40 < 10"), 450, "id", "pid").select("id"), "deep")
+    rest = written(sites.join(deep.hint("merge"), "id", "left_anti"), "sites")
+    near = nearest_within(rest, targets, 450, "id", "pid").select("id", F.lit("surface").alias("level"))
+    found = near.unionByName(deep.select("id", F.lit("underground").alias("level")))
+    return sites.select("id").join(found.hint("merge"), "id", "left").fillna("unknown", ["level"])
 
 
 @query("""SELECT id, x, y, round(z, 6) AS z FROM (SELECT s.id, s.x, s.y, (SELECT avg(h) FROM $cells g WHERE abs(g.r - floor(s.x / 250)) <= 1 AND abs(g.c - floor(s.y / 250)) <= 1) AS z FROM $sites s) q WHERE z IS NOT NULL""")
