@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waygrid.functions import geo, text
 from waygrid.operators import lines, ordered, raster
 from waygrid.operators.spatial import in_buckets, nearest_segments, nearest_within, point_buckets
-from waygrid.plans.scratch import shared_dir
+from waygrid.plans.scratch import shared_dir, written
 from waygrid.queries import query
 from waygrid.sources.fixtures import fixture
 
@@ -62,11 +62,20 @@ def minimap_offsets(spark, sf):
 OPEN = """SELECT s.id, s.x, s.y, k, d * 100 AS d, s.x + cos(k * pi() / 4) * d * 100 AS ox, s.y + sin(k * pi() / 4) * d * 100 AS oy FROM $sites s, (SELECT unnest(range(8)) AS k) a, (SELECT unnest(range(1, 13)) AS d) b"""
 
 
+#: Sites that are worth a task, each with its 96 spots.
+SITES = 5_000
+
+
+def spot_at():
+    """``ox, oy`` of the ``n``th spot at bearing ``k``; the bearing is multiplied first, as in the SQL, to the last bit."""
+    a = F.col("k") * F.pi() / 4
+    return {"ox": F.col("x") + F.cos(a) * F.col("n") * 100, "oy": F.col("y") + F.sin(a) * F.col("n") * 100}
+
+
 def open_spots(sites):
-    """Spots ``k, d, ox, oy`` around each site in eight bearings; the bearing is multiplied first, as in the SQL, to the last bit."""
+    """Spots ``k, n, d, ox, oy`` around each site in eight bearings."""
     spots = sites.select("id", "x", "y", F.explode(F.expr("sequence(0, 7)")).alias("k")).withColumn("n", F.explode(F.expr("sequence(1, 12)"))).withColumn("d", F.col("n") * 100)
-    a = F.col("k") * F.pi() / 4
-    return spots.withColumns({"ox": F.col("x") + F.cos(a) * F.col("n") * 100, "oy": F.col("y") + F.sin(a) * F.col("n") * 100})
+    return spots.withColumns(spot_at())
 
 
 @query(f"""WITH o AS (SELECT p.*, row_number() OVER (PARTITION BY id, k ORDER BY d) AS n FROM ({OPEN}) p JOIN $cells g ON g.r = CAST(floor(p.ox / 250) AS BIGINT) AND g.c = CAST(floor(p.oy / 250) AS BIGINT) AND g.v < 2),
@@ -75,10 +84,18 @@ b AS (SELECT f.*, row_number() OVER (PARTITION BY f.id ORDER BY f.place) AS m FR
 SELECT id, k, d FROM a UNION ALL SELECT id, k, d FROM b WHERE m = 1""")
 def open_around(spark, sf):
     """The nearest open spot in each of eight bearings; of these the nearest and the next one far enough from it."""
-    spots = open_spots(fixture(spark, sf, "sites"))
-    spots = spots.withColumns({"r": F.floor(F.col("ox") / 250), "c": F.floor(F.col("oy") / 250)})
-    free = spots.join(fixture(spark, sf, "cells").filter("v < 2").select("r", "c"), ["r", "c"])
-    found = free.groupBy("id", "k").agg(F.min(F.struct("d", "k", "ox", "oy")).alias("s"))
+    sites = fixture(spark, sf, "sites").select("id", "x", "y")
+    cell = lambda v: F.floor(F.col(v) / 250)
+    spots = open_spots(sites.repartition(sites.count() // SITES + 1)).withColumns({"r": cell("ox"), "c": cell("oy")})
+    # Cells farther than any spot are left out first, so that few cells needn't have all spots sent to them.
+    seen = sites.agg(*(f(cell(v)).alias(f"{n}{v}") for v in "xy" for n, f in (("low", F.min), ("high", F.max)))).first()
+    free = fixture(spark, sf, "cells").filter("v < 2").select("r", "c")
+    if seen["lowx"] is not None and seen["lowy"] is not None:
+        free = free.filter(F.col("r").between(seen["lowx"] - 6, seen["highx"] + 6) & F.col("c").between(seen["lowy"] - 6, seen["highy"] + 6))
+    free = spots.join(written(free, "cells"), ["r", "c"])
+    # The nearest spot is told by its number alone and its place worked out again: a least row would have all spots sorted.
+    nearest = free.groupBy("id", "x", "y", "k").agg(F.min("n").alias("n"))
+    found = nearest.select("id", F.struct((F.col("n") * 100).alias("d"), "k", *(c.alias(n) for n, c in spot_at().items())).alias("s"))
     found = found.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("s"))  # eight at most
     far = F.filter("s", lambda p: geo.distance(p["ox"], p["oy"], F.col("s")[0]["ox"], F.col("s")[0]["oy"]) >= 400)
     return found.select("id", F.explode(F.concat(F.slice("s", 1, 1), F.slice(far, 1, 1))).alias("p")).select("id", F.col("p.k").cast("bigint").alias("k"), F.col("p.d").cast("bigint").alias("d"))
